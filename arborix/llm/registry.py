@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_decontaminate
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .simhash import op5_simhash
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_simhash": op5_simhash,
+    "op8_decontaminate": op8_decontaminate,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
