@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .decontaminate import op8_decontaminate
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .langid import op2_language_id
 from .simhash import op5_simhash
+from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_simhash": op5_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
 }
 ORACLE_SQL = {
