@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op9_bpe
 from .decontaminate import op8_decontaminate
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .langid import op2_language_id
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
+    "op9_bpe": op9_bpe,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
