@@ -7,9 +7,11 @@ from .decontaminate import op8_decontaminate
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .langid import op2_language_id
 from .simhash import op5_simhash
+from .token_store import op1_token_store
 from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_token_store": op1_token_store,
     "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_simhash": op5_simhash,
