@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe
+from .chat import OP10_SQL, op10_chat
 from .decontaminate import op8_decontaminate
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .langid import op2_language_id
 from .simhash import op5_simhash
 from .token_store import op1_token_store
 from .toxicity import op7_toxicity
+from .urlfilter import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_simhash": op5_simhash,
+    "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_bpe": op9_bpe,
+    "op10_chat": op10_chat,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
+    "op6_url_filter": OP6_SQL,
+    "op10_chat": OP10_SQL,
 }
