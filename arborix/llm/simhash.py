@@ -87,12 +87,103 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2, id_col:
     return prints.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, the one with the smallest id; rows with a null id stay."""
-    gone = near_duplicates(docs, shingle, radius, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id"))
-    return docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
-
-
 def op5_simhash(spark, sf_dir):
     out = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near duplicates by a similarity. Texts whose shingle sets have a Jaccard similarity of 0.8 differ in about 10 of the 64 bits, beyond what
+# Hamming balls of segments can reach at a bearable number of probes. For this the segments are minwise: each holds
+# ROWS minima of the shingle hashes, similar texts share a whole segment with probability 1 - (1 - s^ROWS)^BANDS, and
+# what the segment tables give is verified: with complete signatures first, then exactly by the shingle sets.
+
+#: A signature's share of equal slots may be so much below the similarity, four standard errors.
+BANDS, ROWS, SLOTS, MARGIN = 20, 5, 256, 0.1
+
+
+def _signatures(size: int):
+    def run(batches):
+        import numpy as np
+        import xxhash
+
+        join, h = b" ".join, xxhash.xxh64_intdigest
+        odd = np.random.default_rng(SEED).integers(0, 1 << 63, (2, SLOTS), dtype=np.uint64)
+        times, plus = odd[0][:, None] * np.uint64(2) + np.uint64(1), odd[1][:, None]
+        for batch in batches:
+            sig, keys = [], []
+            for text in batch.column(1).to_pylist():
+                words = text.lower().split()
+                parts = map(join, zip(*(words[i:] for i in range(size)))) if len(words) > size else [join(words)]
+                hashes = np.unique(np.fromiter(map(h, parts, repeat(SEED)), np.uint64))
+                least = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
+                for at in range(0, len(hashes), 4096):
+                    part = (hashes[at : at + 4096] ^ plus) * times
+                    np.minimum(least, part.min(axis=1), out=least)
+                mixed = least ^ (least >> np.uint64(33))
+                sig.append(mixed.astype("<u2").tobytes())
+                keys.append([_signed(h(least[b * ROWS : b * ROWS + ROWS].tobytes(), b)) for b in range(BANDS)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "sig", "keys"])
+
+    return run
+
+
+def _sets(size: int):
+    def run(batches):
+        import numpy as np
+        import xxhash
+
+        join, h = b" ".join, xxhash.xxh64_intdigest
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                words = text.lower().split()
+                parts = map(join, zip(*(words[i:] for i in range(size)))) if len(words) > size else [join(words)]
+                out.append(np.unique(np.fromiter(map(h, parts, repeat(SEED)), np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    return run
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _agree(batches):
+    import numpy as np
+
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, SLOTS) for i in (2, 3))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).mean(axis=1))], ["u", "v", "share"])
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of the documents that have near duplicates; ids must be integers, rows with null ids are left out.
+
+    In each segment table a document is compared with the two ends of its bucket, which are other ones in each
+    table, so the comparisons grow with the documents and not with the square of a bucket. Documents whose
+    signatures are equal are one for this.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("t")).where("id IS NOT NULL")
+    signed = written(rows.mapInArrow(_signatures(shingle), "id long, sig binary, keys array<bigint>"), "signatures")
+    one = written(signed.groupBy("sig").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "sigs")
+    keys = one.select("rep", F.posexplode("keys").alias("band", "key")).withColumn("order", F.xxhash64("band", "rep"))
+    ends = keys.groupBy("band", "key").agg(F.min_by("rep", "order").alias("a"), F.max_by("rep", "order").alias("b")).where("a <> b")
+    met = keys.join(ends, ["band", "key"]).select("rep", F.explode(F.array("a", "b")).alias("end")).where("rep <> end")
+    pairs = met.select(F.least("rep", "end").alias("u"), F.greatest("rep", "end").alias("v")).distinct()
+    sigs = one.select("rep", "sig")
+    both = pairs.join(sigs.withColumnsRenamed({"rep": "u", "sig": "su"}), "u").join(sigs.withColumnsRenamed({"rep": "v", "sig": "sv"}), "v")
+    maybe = written(both.select("u", "v", "su", "sv").mapInArrow(_agree, "u long, v long, share double").where(F.col("share") >= similarity - MARGIN), "maybe")
+    wanted = maybe.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = written(rows.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles array<bigint>").dropDuplicates(["id"]), "shingles")
+    both = maybe.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    close = both.where(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9)
+    copies = signed.select("id", "sig").join(sigs, "sig").where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
+    return connected_components(close.select("u", "v").unionByName(copies)).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
+
+
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near duplicates, the one with the smallest id; rows with a null id stay."""
+    gone = similar_groups(docs, shingle, similarity, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id"))
+    return docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
