@@ -8,6 +8,7 @@ from .decontaminate import op8_decontaminate
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .langid import op2_language_id
 from .simhash import op5_simhash
+from .suffix_dedup import op4_suffix_dedup
 from .token_store import op1_token_store
 from .toxicity import op7_toxicity
 from .urlfilter import OP6_SQL, op6_url_filter
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
