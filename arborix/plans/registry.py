@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import network  # noqa: F401
+from .common import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "t07_descriptors"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
