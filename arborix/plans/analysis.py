@@ -257,7 +257,7 @@ def _tiles(spark, d):
     return V.strided_tiles(_f(spark, d, "fx_voxels"), DIMS, (32, 32), (16, 16)).withColumn("value", F.col("value") / 255)
 
 
-@query("d01_balanced_tiles", f"{_TILES}, s AS (SELECT image_id, ox, oy, len(list_filter(v, x -> x > 0.1)) AS n1, len(list_filter(v, x -> x > 0.9)) AS n9, min(ox * 1000 + oy) OVER (PARTITION BY image_id) = ox * 1000 + oy AS k FROM (SELECT image_id, ox, oy, list(value) AS v FROM tl GROUP BY ALL)) SELECT image_id, ox, oy FROM s WHERE n1 > 1000 OR n9 > 70 OR k")
+@query("d01_balanced_tiles", f"{_TILES}, s AS (SELECT image_id, ox, oy, len(list_filter(v, lambda x: x > 0.1)) AS n1, len(list_filter(v, lambda x: x > 0.9)) AS n9, min(ox * 1000 + oy) OVER (PARTITION BY image_id) = ox * 1000 + oy AS k FROM (SELECT image_id, ox, oy, list(value) AS v FROM tl GROUP BY ALL)) SELECT image_id, ox, oy FROM s WHERE n1 > 1000 OR n9 > 70 OR k")
 def d01(spark, d):
     return P.balanced_tiles(_tiles(spark, d), 0.0, core=70)
 
