@@ -10,7 +10,8 @@ k-mers at equal offsets. Consecutive starts of one k-mer are a run. Runs are com
    by refining their interleave: a pass sorts it stably by the symbols before its suffixes, so it is
    ordered by one symbol more; no suffixes of the union are sorted. The passes carry the common prefixes along;
    after length / BLOCK passes suffixes that share `length` bytes are one interval, and intervals of two or more are repeats.
-3. A k-mer with more than HOT different texts would not fit a task: its strings are counted by grouping instead.
+3. A k-mer with more than HOT different texts would not fit a task: the hashes of its strings are dealt into as many
+   buckets as it takes, and equal ones are found in each.
 
 Ids must be unique; positions are bytes of the UTF-8 text.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, small_batches, table, written
 
-LENGTH, KMER, BLOCK = 400, 32, 25
+LENGTH, KMER, BLOCK = 400, 32, 100
 SHARDS, BUNDLE, HOT = 4, 1 << 20, 2000
 BASE = 0x9E3779B97F4A7C15
 
@@ -219,23 +220,56 @@ def _contested(length: int):
     return run
 
 
-def _windows(length: int):
+def _windows(length: int, hot: int):
+    """The starts and hashes of a text's strings, one row for each bucket of its k-mer."""
+
     def run(batches):
         import numpy as np
 
         for batch in batches:
-            rows, starts, keys = [], [], []
-            for r, t in enumerate(batch.column(2).to_pylist()):
+            rows, buckets, starts, keys = [], [], [], []
+            for r, (t, texts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 w = _hashes(np.frombuffer(t, np.uint8), length)
-                rows += [r] * len(w)
-                starts += range(len(w))
-                keys += w.view(np.int64).tolist()
+                n = min(LENGTH, 1 + 2 * texts // hot)
+                of = (w % np.uint64(n)).astype(np.int64)
+                for b in np.unique(of).tolist():
+                    s = np.flatnonzero(of == b)
+                    rows.append(r)
+                    buckets.append(b)
+                    starts.append(s)
+                    keys.append(w[s].view(np.int64))
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int32()), pa.array(keys, pa.int64())], ["h", "d", "s", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(buckets, pa.int32()), batch.column(1).take(at), pa.array(starts, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], ["h", "b", "d", "s", "w"])
 
     return run
 
 
+def _equal_windows(batches):
+    """Starts whose hash occurs twice in a bucket; rows come in the order of (h, b)."""
+    import numpy as np
+
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
+
+    def solve():
+        w = np.concatenate([np.asarray(x[4]) for x in held])
+        _, which, n = np.unique(w, return_inverse=True, return_counts=True)
+        often, at, found = n[which] > 1, 0, []
+        for x in held:
+            found.append(intervals([s for s, o in zip(x[3], often[at : at + len(x[3])].tolist()) if o]))
+            at += len(x[3])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.binary()), pa.array(found, kind)], ["h", "d", "spans"])
+
+    held: list = []
+    for batch in batches:
+        for x in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and x[:2] != held[-1][:2]:
+                yield solve()
+                held = []
+            held.append(x)
+    if held:
+        yield solve()
+
+
 def _texts(length: int):
     """Cuts the texts of runs out of their documents."""
 
@@ -292,11 +326,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     contested = kinds.join(several, "h").select("h", "d", "one", "texts")
     wanted = contested.groupBy(F.col("one.id").alias("id")).agg(F.collect_list(F.struct("h", "d", F.col("one.a").alias("a"), F.col("one.z").alias("z"))).alias("runs"))
     cut = texts.join(wanted, "id").select("t", "runs").mapInArrow(_texts(length), "h long, d binary, t binary").dropDuplicates(["h", "d"])
-    cut = written(cut.join(several.where(F.col("texts") > hot).select("h", F.lit(True).alias("hot")), "h", "left"), "contested")
-    by_bwt = cut.where("hot IS NULL").select("h", "d", "t").repartition("h").sortWithinPartitions("h", "d").mapInArrow(_contested(length), f"h long, d binary, spans {_SPANS}")
-    windows = cut.where("hot").select("h", "d", "t").mapInArrow(_windows(length), "h long, d binary, s int, w long")
-    often = windows.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w")
-    by_count = windows.join(often, ["h", "w"]).groupBy("h", "d").agg(F.transform(F.collect_list("s"), lambda s: F.struct(s.alias("a"), s.alias("z"))).alias("spans"))
+    cut = written(cut.join(several.where(F.col("texts") > hot).select("h", "texts"), "h", "left"), "contested")
+    by_bwt = cut.where("texts IS NULL").select("h", "d", "t").repartition("h").sortWithinPartitions("h", "d").mapInArrow(_contested(length), f"h long, d binary, spans {_SPANS}")
+    windows = cut.where("texts IS NOT NULL").select("h", "d", "t", "texts").mapInArrow(_windows(length, hot), "h long, b int, d binary, s array<int>, w array<long>")
+    by_count = windows.repartition("h", "b").sortWithinPartitions("h", "b").mapInArrow(_equal_windows, f"h long, d binary, spans {_SPANS}")
     found = by_bwt.unionByName(by_count).where(F.size("spans") > 0)
     # a run whose text occurs again is a repeat from end to end
     whole = runs.join(kinds.where("n > 1").select("h", "d"), ["h", "d"], "left_semi").select("id", F.array(F.struct("a", "z")).alias("spans"))
