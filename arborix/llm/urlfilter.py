@@ -154,10 +154,12 @@ def _judge(name: str):
 def _handed_out(spark: SparkSession, entries: list[tuple[str, str, str]]) -> str:
     import hashlib
 
+    sc = spark.sparkContext
     name = "urls-" + hashlib.blake2b(repr(sorted(entries)).encode(), digest_size=12).hexdigest() + ".bin"
-    path = os.path.join(tempfile.mkdtemp(), name)
-    write_array(entries, path)
-    spark.sparkContext.addFile(path)
+    if not any(f.endswith("/" + name) for f in sc.listFiles):  # a file of this name has these entries
+        path = os.path.join(tempfile.mkdtemp(), name)
+        write_array(entries, path)
+        sc.addFile(path)
     return name
 
 
