@@ -111,11 +111,11 @@ def f08(spark, d):
     return _f(spark, d, "fx_edges").select("edge_id", F.round(e1, 6).alias("e1"), F.round(e2, 6).alias("e2"), F.round(A.principal_angle(a, b, c), 6).alias("theta"))
 
 
-@query("f08_eigen3_invariants", f"{EDGES} SELECT edge_id, round(length + diameter + soam, 4) AS trace, round(length * diameter * soam + 2 * clr * clr * clr - (length + diameter + soam) * clr * clr, 2) AS det FROM fx_edges WHERE length < 100")
+@query("f08_eigen3_invariants", f"{EDGES} SELECT edge_id, round(length + diameter + soam, 2) AS trace, round(length * diameter * soam + 2 * clr * clr * clr - (length + diameter + soam) * clr * clr, 1) AS det FROM fx_edges WHERE length < 100")
 def f08b(spark, d):
     a, b, c, k = (F.col(x) for x in ("length", "diameter", "soam", "clr"))
     e = A.eigen3(a, b, c, k, k, k)
-    return _f(spark, d, "fx_edges").where("length < 100").select("edge_id", e.alias("e")).select("edge_id", F.round(F.expr("e[0] + e[1] + e[2]"), 4).alias("trace"), F.round(F.expr("e[0] * e[1] * e[2]"), 2).alias("det"))
+    return _f(spark, d, "fx_edges").where("length < 100").select("edge_id", e.alias("e")).select("edge_id", F.round(F.expr("e[0] + e[1] + e[2]"), 2).alias("trace"), F.round(F.expr("e[0] * e[1] * e[2]"), 1).alias("det"))
 
 
 @query("f11_factor_pairs", "SELECT c_custkey, CAST(f AS BIGINT) AS a, CAST(c_custkey // f AS BIGINT) AS b FROM customer, range(1, 200) t(f) WHERE f <= c_custkey AND c_custkey % f = 0 AND c_custkey BETWEEN 1 AND 150")

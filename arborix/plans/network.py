@@ -293,13 +293,13 @@ def t02(spark, d):
     return b.select(*N.KEYS, F.round(F.col("b0") / F.col("n_edges"), 6).alias("comps_per_edge"), F.round(F.col("b1") / F.col("n_edges"), 6).alias("loops_per_edge"))
 
 
-@query("s09_descriptor_pivot", f"{EDGES}, m AS (SELECT sample_id, mask_id || CAST(edge_id % 3 AS VARCHAR) AS mask_id, length FROM fx_edges), p AS (SELECT sample_id, dense_rank() OVER (ORDER BY mask_id) AS k, length FROM m) SELECT sample_id, {', '.join(f'{r(f"avg(CASE WHEN k = {k} THEN length END)")} AS mask_{k}' for k in (1, 2, 3))} FROM p GROUP BY sample_id")
+@query("s09_descriptor_pivot", f"{EDGES}, m AS (SELECT sample_id, mask_id || CAST(edge_id % 3 AS VARCHAR) AS mask_id, length FROM fx_edges), p AS (SELECT sample_id, dense_rank() OVER (ORDER BY mask_id) AS k, length FROM m) SELECT sample_id, {', '.join(f'{r(f"avg(CASE WHEN k = {k} THEN length END)", 4)} AS mask_{k}' for k in (1, 2, 3))} FROM p GROUP BY sample_id")
 def s09(spark, d):
     from ..sources.tables import descriptor_pivot
 
     e = _edges(spark, d).withColumn("mask_id", F.concat("mask_id", (F.col("edge_id") % 3).cast("string")))
     wide = descriptor_pivot(e.groupBy(*N.KEYS).agg(F.avg("length").alias("length")), "length")
-    return wide.select("sample_id", *(F.round(c, 6).alias(c) for c in wide.columns[1:]))
+    return wide.select("sample_id", *(F.round(c, 4).alias(c) for c in wide.columns[1:]))
 
 
 # -- filtrations and barcodes
