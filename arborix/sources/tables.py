@@ -16,11 +16,11 @@ def path_column(pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), pattern, group)
 
 
-def discover_samples(spark: SparkSession, root: str) -> DataFrame:
-    """(sample_id, mask_id, n_files) from paths root/<sample>/Skeletons/<mask>/...; the summary folder is no sample."""
+def discover_samples(spark: SparkSession, root: str, leave_out: tuple[str, ...] = ()) -> DataFrame:
+    """(sample_id, mask_id, n_files) from paths root/<sample>/Skeletons/<mask>/...; folders to leave out, such as that of summaries, are no samples."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
     parts = files.select(F.regexp_extract("path", r"/([^/]+)/[Ss]keletons/([^/]+)/", 1).alias("sample_id"), F.regexp_extract("path", r"/[Ss]keletons/([^/]+)/", 1).alias("mask_id"))
-    return parts.where("sample_id <> '' AND sample_id <> 'TDA_Summary'").groupBy("sample_id", "mask_id").agg(F.count("*").alias("n_files"))
+    return parts.where(F.col("sample_id") != "").where(~F.col("sample_id").isin(*leave_out)).groupBy("sample_id", "mask_id").agg(F.count("*").alias("n_files"))
 
 
 READERS = {"parquet": "parquet", "csv": "csv", "orc": "orc", "json": "json"}
