@@ -36,8 +36,10 @@ from .common import drop, new_path, small_batches, table, written
 
 VOCABULARY = "word_bpe_49k.json"
 #: A cut where the hash of the last RUN ids is 0 in its upper MASK_BITS bits; chunks have LEAST to MOST ids.
-RUN, MASK_BITS, LEAST, MOST = 8, 8, 64, 1024
-CACHE = 300_000
+RUN, MASK_BITS, LEAST, MOST = 8, 9, 64, 2048
+CACHE = 800_000
+#: Texts of one batch; words that a batch repeats are looked up once.
+BATCH = "4000"
 #: Chunks of a shard, and the most shards.
 SHARD_CHUNKS, SHARDS = 10_000, 20_000
 END_ID = 2
@@ -49,55 +51,97 @@ class WordEncoder:
     """Encodes texts with the tokenizers library, each word once.
 
     White space separates words in this vocabulary's pre-tokeniser and is dropped, so the ids of a text are
-    those of its words; within a word a run of letters is a piece of its own. Ids are kept as little-endian 4-byte strings.
+    those of its words; within a word a run of letters is a piece of its own and its last id, and no other, ends a word. So new
+    runs of letters are encoded together, as one text of many, and told apart by the ids that end words.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
+        import numpy as np
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.seen: dict[str, bytes] = {"": b""}
+        self.whole: dict[str, bytes] = {}
 
-    @staticmethod
-    def _bytes(ids) -> bytes:
+    def _learn_runs(self, runs: list[str]) -> None:
         import numpy as np
 
-        return np.array(ids, "<u4").tobytes()
+        for at in range(0, len(runs), 5000):
+            part = runs[at : at + 5000]
+            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1 if (ids < len(self.ends)).all() else ()
+            if len(stops) != len(part):
+                self._learn_whole(part)
+                continue
+            data, begin = ids.tobytes(), 0
+            for w, stop in zip(part, (stops * 4).tolist()):
+                self.seen[w] = data[begin:stop]
+                begin = stop
+
+    def _learn_whole(self, words: list[str]) -> None:
+        import numpy as np
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes words that are not known yet: runs of Latin letters in one batch, the others whole."""
-        parts = []
-        new: dict[str, None] = {}
-        seen = self.seen
-        for w in words:
-            m = _CORE.fullmatch(w)
-            core, rest = (m[1].lower(), m[2]) if m and (not m[2] or (m[2][0].isascii() and not m[2][0].isalnum())) else ("", w)
-            parts.append((w, core, rest))
-            for x in (core, rest):
-                if x and x not in seen:
-                    new[x] = None
-        todo = list(new)
-        for x, e in zip(todo, self.tok.encode_batch_fast(todo, add_special_tokens=False)):
-            seen[x] = self._bytes(e.ids)
-        for w, core, rest in parts:
-            if w not in seen:
-                seen[w] = seen[core] + seen[rest]
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [re.split(r"[ \n\t\r]+", t) if t and ("\t" in t or "\r" in t) else t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False)):
+            self.seen[w] = np.array(e.ids, "<u4").tobytes()
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian 4-byte strings."""
         if len(self.seen) > CACHE:
             self.seen = {"": b""}
-        seen = self.seen
-        missing = set().union(*split).difference(seen.keys()) if split else ()
-        if missing:
-            self.learn(list(missing))
-        get = seen.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if len(self.whole) > CACHE // 2:
+            self.whole = {}
+        seen, whole, parts, runs, others = self.seen, self.whole, [], {}, {}
+        match = _CORE.fullmatch
+        for w in words:
+            if w in whole:
+                continue
+            m = match(w)
+            if m:
+                core, rest = m.groups()
+                if rest and (not rest[0].isascii() or rest[0].isalnum()):
+                    core, rest = "", w
+                else:
+                    core = core.lower()
+            else:
+                core, rest = "", w
+            parts.append((w, core, rest))
+            if core not in seen:
+                runs[core] = None
+            if rest not in seen:
+                others[rest] = None
+        self._learn_runs(list(runs))
+        self._learn_whole(list(others))
+        for w, c, r in parts:
+            whole[w] = seen[c] + seen[r] if r else seen[c]
+        return list(map(whole.__getitem__, words))
+
+    def encode_batch(self, texts: pa.Array):
+        """(ids of all texts after each other, end of each text in them); null is the empty text."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        flat = pc.fill_null(texts, "")
+        for c in "\n\t\r":
+            flat = pc.replace_substring(flat, c, " ")
+        lists = pc.split_pattern(flat, " ")
+        coded = lists.flatten().dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        known = self.encode_words(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids = np.frombuffer(b"".join(map(known.__getitem__, which.tolist())), "<u4")
+        ends = np.concatenate([[0], np.cumsum(lengths[which])])
+        offsets = lists.offsets.to_numpy()
+        return ids, ends[offsets[1:] - offsets[0]]
 
 
 def cuts(ids, run: int = RUN, bits: int = MASK_BITS, least: int = LEAST, most: int = MOST) -> list[int]:
@@ -155,9 +199,9 @@ def _chunks(path: str):
         encoder = _encoders[path]
         for batch in batches:
             at, seqs, names, ns, datas = [], [], [], [], []
-            end = np.array([END_ID], "<u4").tobytes()
-            for row, coded in enumerate(encoder.encode_batch(batch.column(1).to_pylist())):
-                ids = np.frombuffer(coded + end, "<u4")
+            coded, ends = encoder.encode_batch(batch.column(1))
+            for row, (a, z) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+                ids = np.append(coded[a:z], np.uint32(END_ID))
                 begin = 0
                 for seq, stop in enumerate(cuts(ids)):
                     part = ids[begin:stop]
@@ -185,8 +229,13 @@ def _shards(chunks: DataFrame, size: int) -> DataFrame:
     """chunks with the shard of each row, by ranges of ids that hold about so many rows."""
     shards = min(SHARDS, max(1, -(-chunks.count() // size)))
     edges = chunks.approxQuantile("id", [i / shards for i in range(1, shards)], 0.1 / shards) if shards > 1 else []
-    listed = ", ".join(f"{e}D" for e in sorted(set(edges)))
-    return chunks.withColumn("shard", F.expr(f"int(width_bucket(id, array({listed})))" if edges else "IF(id IS NULL, NULL, 0)"))
+    if not edges:
+        return chunks.withColumn("shard", F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+
+    splits = [float("-inf"), *sorted(set(edges)), float("inf")]
+    of = Bucketizer(splits=splits, inputCol="_id", outputCol="_shard").transform(chunks.withColumn("_id", F.col("id").cast("double")))
+    return of.withColumn("shard", F.col("_shard").cast("int")).drop("_id", "_shard")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shard_chunks: int = SHARD_CHUNKS) -> None:
@@ -194,11 +243,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     coded = written(rows.mapInArrow(_chunks(tokenizer), "id long, seq int, name binary, n int, data binary"), "coded")
+    small_batches(spark)
     coded.groupBy("name").agg(F.first("n").alias("n"), F.first("data").alias("data")).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    marked = _shards(coded.select("id", "seq", "name", "n"), shard_chunks)
-    if marked.where("id IS NULL OR shard IS NULL").limit(1).count():
+    if coded.where("id IS NULL").limit(1).count():
         raise ValueError("document ids must not be null")
+    marked = _shards(coded.select("id", "seq", "name", "n"), shard_chunks)
     marked.repartition("shard").sortWithinPartitions("shard", "id", "seq").write.option("compression", "zstd").parquet(f"{path}/recipes")
     recipes = spark.read.parquet(f"{path}/recipes")
     per_doc = recipes.groupBy("shard", "id").agg(F.count("*").cast("int").alias("n_chunks"), F.countDistinct("seq").cast("int").alias("n_seq"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("names"))
