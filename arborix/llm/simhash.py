@@ -99,6 +99,8 @@ def op5_simhash(spark, sf_dir):
 
 #: A signature's share of equal slots may be so much below the similarity, four standard errors.
 BANDS, ROWS, SLOTS, MARGIN = 20, 5, 256, 0.1
+#: Members of a bucket that one task holds twice at most.
+BLOCK = 2048
 
 
 def _signatures(size: int):
@@ -156,12 +158,65 @@ def _agree(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).mean(axis=1))], ["u", "v", "share"])
 
 
+def _close(rows: DataFrame, maybe: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): the pairs of maybe whose shingle sets are similar enough, exactly."""
+    wanted = maybe.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = written(rows.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles array<bigint>").dropDuplicates(["id"]), "shingles")
+    both = maybe.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9).select("u", "v")
+
+
+def _within(least: float):
+    """A group (band, key, i, j) -> (u, v) of members of blocks i and j whose signatures agree enough; each pair in its first common band only."""
+
+    def run(found: pa.Table) -> pa.Table:
+        import numpy as np
+
+        found = found.combine_chunks()
+        band, i, j = (found.column(c)[0].as_py() for c in ("band", "i", "j"))
+        block, rep, comp = (found.column(c).to_numpy() for c in ("block", "rep", "comp"))
+        sig = np.frombuffer(b"".join(found.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS)
+        earlier = np.array(found.column("keys").to_pylist(), np.int64).reshape(-1, BANDS)[:, :band]
+        left = np.flatnonzero(block == i)
+        right = left if i == j else np.flatnonzero(block == j)
+        u, v = [], []
+        for at, x in enumerate(left):
+            other = right[at + 1 :] if i == j else right
+            other = other[comp[other] != comp[x]]
+            if band and len(other):
+                other = other[~(earlier[other] == earlier[x]).any(axis=1)]
+            if len(other):
+                other = other[(sig[other] == sig[x]).mean(axis=1) >= least]
+            u += [rep[x]] * len(other)
+            v += rep[other].tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _rest(keys: DataFrame, one: DataFrame, ends: DataFrame, linked: DataFrame, least: float) -> DataFrame:
+    """(u, v): members of a bucket that are in different groups of linked and of which neither is an end, with signatures that agree enough.
+
+    A bucket is dealt into blocks and every two blocks meet in one group, so that no task holds a bucket and
+    no pair is a row before its signatures are compared.
+    """
+    groups = linked.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    named = keys.join(ends, ["band", "key"]).where("rep <> a AND rep <> b").select("rep", "band", "key").join(groups, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = named.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    crowd = named.join(mixed.select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), ["band", "key"])
+    crowd = crowd.withColumn("block", F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    crowd = crowd.select("rep", "band", "key", "comp", "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
+    full = crowd.join(one.select("rep", "sig", "keys"), "rep")
+    return full.groupBy("band", "key", "i", "j").applyInArrow(_within(least), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) of the documents that have near duplicates; ids must be integers, rows with null ids are left out.
 
-    In each segment table a document is compared with the two ends of its bucket, which are other ones in each
-    table, so the comparisons grow with the documents and not with the square of a bucket. Documents whose
-    signatures are equal are one for this.
+    All members of a bucket are compared. First each with the two ends of its bucket, which are other ones in
+    each table and link most groups; then all other pairs of the bucket that these links leave in different groups, since a
+    pair within a group changes nothing. Documents whose signatures are equal are one for this.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("t")).where("id IS NOT NULL")
@@ -174,13 +229,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     sigs = one.select("rep", "sig")
     both = pairs.join(sigs.withColumnsRenamed({"rep": "u", "sig": "su"}), "u").join(sigs.withColumnsRenamed({"rep": "v", "sig": "sv"}), "v")
     maybe = written(both.select("u", "v", "su", "sv").mapInArrow(_agree, "u long, v long, share double").where(F.col("share") >= similarity - MARGIN), "maybe")
-    wanted = maybe.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = written(rows.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles array<bigint>").dropDuplicates(["id"]), "shingles")
-    both = maybe.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    close = both.where(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9)
+    close = written(_close(rows, maybe, shingle, similarity), "close")
+    rest = written(_rest(keys, one, ends, connected_components(close), similarity - MARGIN), "rest")
+    close = close.unionByName(_close(rows, rest, shingle, similarity))
     copies = signed.select("id", "sig").join(sigs, "sig").where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
-    return connected_components(close.select("u", "v").unionByName(copies)).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
+    return connected_components(close.unionByName(copies)).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

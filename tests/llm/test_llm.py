@@ -269,6 +269,43 @@ def test_simhash_odd_inputs(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.similar_groups(empty).count() == 0
 
 
+def test_crowded_buckets(spark):
+    """2,000 variants at 0.82 of one base and mostly 0.68 of each other: all of them are linked, through the base alone."""
+    import random
+
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(204)]
+    data = [(1000, " ".join(base))]
+    for n in range(2000):
+        words = list(base)
+        for i in draw.sample(range(4, 200, 5), 4):
+            words[i] = f"v{n}x{i}"
+        data.append((n if n < 1000 else n + 1, " ".join(words)))
+    got = simhash.similar_groups(spark.createDataFrame(data, "doc_id long, text string").repartition(4))
+    assert sum(r.component_id == 0 for r in got.collect()) >= 1999  # each meets the base in a bucket with a chance of 0.9999
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_members_of_buckets_are_all_compared(spark, monkeypatch, block):
+    """Close pairs among texts of one template, all pairs by brute force."""
+    import random
+
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    draw, base = random.Random(6), [f"w{i}" for i in range(200)]
+    data = []
+    for n in range(120):
+        words = list(base)
+        for i in draw.sample(range(2, 200, 5), 7):
+            words[i] = f"v{n}x{i}"
+        other = list(words)
+        other[199] = "end"
+        data += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in data)}
+    want = groups(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(got.get(i, i) == want[i] for i in sets)
+
+
 # -- 6
 
 def test_urls(spark):
