@@ -24,6 +24,11 @@ def as_bytes(col: str = "text"):
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that gone(_id, _text: xxhash64 of the bytes) does not have; null ids are told apart by their texts."""
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(as_bytes(text_col)) == F.col("_text")), "left_anti")
+
+
 def crc_mod(col: str, n: int):
     """crc32 of the column's value as text, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

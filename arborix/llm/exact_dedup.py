@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, drop, table, written
+from .common import as_bytes, drop, table, without, written
 
 BLOCK_BYTES = 1024
 #: At most so many block hashes count as frequent; their distinct blocks are broadcast (2,000 KB-sized blocks).
@@ -80,22 +80,27 @@ def named_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per input row: id, keep_id (largest id of its group), group_size, kept, text_sha256."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    """exact_groups with v, which tells the texts of an id apart."""
     text = as_bytes(text_col)
     named = written(named_documents(docs, id_col, text_col, block_bytes), "named")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("v"), F.sha2(text, 256).alias("text_sha256"))
     named = named.withColumnsRenamed({"id": "id2", "v": "v2"})
-    rows = rows.join(named, F.col("id").eqNullSafe(F.col("id2")) & (F.col("v") == F.col("v2"))).select("id", "level", "name", "text_sha256")
+    rows = rows.join(named, F.col("id").eqNullSafe(F.col("id2")) & (F.col("v") == F.col("v2"))).select("id", "v", "level", "name", "text_sha256")
     groups = rows.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     out = rows.join(groups, ["level", "name"])
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select(F.col("id").alias(id_col), "v", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per input row: id, keep_id (largest id of its group), group_size, kept, text_sha256."""
+    return _grouped(docs, id_col, text_col, block_bytes).drop("v")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose text no row with a larger id has."""
-    gone = exact_groups(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_id"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    gone = _grouped(docs, id_col, text_col, BLOCK_BYTES).where("NOT kept").select(F.col(id_col).alias("_id"), F.col("v").alias("_text"))
+    return without(docs, gone, id_col, text_col)
 
 
 def op3_exact_dedup(spark, sf_dir):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, table, written
+from .common import as_bytes, crc_mod, small_batches, table, without, written
 from .words import word_counts, words_of
 
 DISCOUNT, LEAST, POWER, ENTRIES = 0.75, 5, 0.5, 100_000
@@ -56,17 +56,18 @@ def _compare(shared, power: float):
                 hit = [v for w in found if (v := model.get(w))]
                 long = max(1, len(found)) ** power
                 out.append([sum(r for r, share in hit if share >= least) / long for least in PRUNE])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["id", "ratio"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.float64()))], ["id", "v", "ratio"])
 
     return run
 
 
 def ratios(docs: DataFrame, model: dict, power: float = POWER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ratio): the length-normalised log-likelihood ratio, for each amount of pruning."""
+    """(id, v, ratio): the text's hash and the length-normalised log-likelihood ratio, for each amount of pruning."""
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(_compare(spark.sparkContext.broadcast(model), power), f"id {kind}, ratio array<double>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(as_bytes(text_col)).alias("v"))
+    return rows.mapInArrow(_compare(spark.sparkContext.broadcast(model), power), f"id {kind}, v long, ratio array<double>")
 
 
 def calibrate(judged: DataFrame) -> tuple[int, float, float]:
@@ -91,8 +92,8 @@ def calibrate(judged: DataFrame) -> tuple[int, float, float]:
     return best[1:]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
-    """One row per document: id, held_out (fold 0), score, predicted. Labels are read in the folds other than 0."""
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int) -> DataFrame:
+    """toxicity with _text, the text's hash."""
     fold = crc_mod(id_col, folds)
     known = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("label"))
     join = lambda rows, least, most, key: rows.join(known.where(crc_mod("_id", folds).between(least, most)).hint("merge"), F.col(key) == F.col("_id"))
@@ -100,16 +101,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = train(join(texts, 2, folds - 1, id_col).select("text", "label"))
     held = F.coalesce(fold == 0, F.lit(False)).alias("held_out")
     if model is None:
-        return docs.select(id_col, held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    all_rows = written(ratios(docs, model, POWER, id_col, text_col).withColumnRenamed("id", id_col), "toxicity")
+        return docs.select(id_col, F.xxhash64(as_bytes(text_col)).alias("_text"), held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    all_rows = written(ratios(docs, model, POWER, id_col, text_col).withColumnsRenamed({"id": id_col, "v": "_text"}), "toxicity")
     k, at, slope = calibrate(join(all_rows, 1, 1, id_col).select("ratio", "label"))
     score = 1 / (1 + F.exp(-slope * (F.col("ratio")[k] - at)))
-    return all_rows.select(id_col, held, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return all_rows.select(id_col, "_text", held, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
+    """One row per document: id, held_out (fold 0), score, predicted. Labels are read in the folds other than 0."""
+    return _judged(docs, labels, id_col, text_col, folds).drop("_text")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    bad = toxicity(docs, labels, id_col, text_col).where("predicted = 1").select(F.col(id_col).alias("_bad"))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    bad = _judged(docs, labels, id_col, text_col, 5).where("predicted = 1").select(F.col(id_col).alias("_id"), "_text")
+    return without(docs, bad, id_col, text_col)
 
 
 def op7_toxicity(spark, sf_dir):

@@ -178,9 +178,10 @@ def judge(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col
         mine = [tuple(r) for r in listed.where(F.pmod(F.xxhash64("host"), F.lit(parts)) == k).collect()]
         found = rows.mapInArrow(_judge(_handed_out(spark, mine)), schema)
         out = found if out is None else out.unionByName(found)
-    if parts > 1:  # of the parts' answers for a row the longest rule; rows that repeat are told apart by nothing and stay one
+    if parts > 1:  # of the parts' answers for a row the longest rule; rows that repeat come back as often as they were
         best = F.max_by(F.struct("rule", "verdict"), F.coalesce(F.length("rule"), F.lit(-1))).alias("r")
-        out = out.groupBy("id", "host", "path").agg(best, F.bool_or("listed").alias("listed")).select("id", "host", "path", "r.*", "listed")
+        out = out.groupBy("id", "host", "path").agg(best, F.bool_or("listed").alias("listed"), F.count("*").alias("n"))
+        out = out.withColumn("_", F.explode(F.sequence(F.lit(1), F.expr(f"n div {parts}")))).select("id", "host", "path", "r.*", "listed")
     verdict = F.coalesce("verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict)
 

@@ -434,6 +434,37 @@ def test_chat_odd_inputs(spark):
     assert chat.render(spark.createDataFrame([], schema)).count() == 0
 
 
+# -- rows without an id, or with the id of another text
+
+def test_rows_are_dropped_by_id_and_text(spark):
+    same = "this very text is in two rows of the table"
+    docs = spark.createDataFrame([(None, same), (7, same), (None, "a clean text without an id"), (8, "first text of eight"), (8, "second text of eight"), (9, "first text of eight")], "doc_id long, text string")
+    kept = exact_dedup.drop_exact_duplicates(docs).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(7, same), (None, "a clean text without an id"), (8, "second text of eight"), (9, "first text of eight")]))
+
+    bench = spark.createDataFrame([("i", "this very text is"), (None, "second text of eight")], "item_id string, text string")
+    for block in (decontaminate.BLOCK_BYTES, 1):
+        kept = decontaminate.drop_contaminated(docs, bench, block_bytes=block).collect()
+        assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(None, "a clean text without an id"), (8, "first text of eight"), (9, "first text of eight")]))
+
+    known = [(i, "awful idiot talk here" if i % 2 else "quiet talk about things here") for i in range(200)]
+    docs = spark.createDataFrame([*known, (None, known[1][1]), (None, known[0][1]), (300, known[1][1]), (300, known[0][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    assert sorted(str(r.doc_id) for r in toxicity.drop_toxic(docs, labels).collect() if r.doc_id is None or r.doc_id >= 200) == ["300", "None"]
+
+
+def test_blocks_of_items_or_rules_do_not_change_rows(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (1, "four five six"), (1, "one two three"), (None, "one two three"), (None, "seven eight"), (None, "seven eight")], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", "one two three"), ("b", "two three"), ("c", "seven eight"), (None, "five six")], "item_id string, text string")
+    one, many = (sorted(map(str, decontaminate.contamination(docs, bench, block_bytes=b).collect())) for b in (decontaminate.BLOCK_BYTES, 20))
+    assert one == many and len(one) == 6
+
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (1, "http://a.com/x"), (None, "http://b.com/"), (None, "http://b.com/"), (2, None)], "page_id long, url string")
+    rules = spark.createDataFrame([("a.com", "/", "block"), ("b.com", "/", "allow"), ("c.com", "", "listed")], "host string, path string, verdict string")
+    one, many = (sorted(map(str, urlfilter.judge(pages, rules, max_bytes=b).collect())) for b in (urlfilter.MAX_BYTES, 20))
+    assert one == many and len(one) == 5
+
+
 # -- pipeline
 
 def test_pipeline(spark):
