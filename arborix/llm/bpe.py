@@ -1,10 +1,11 @@
 """Byte-level BPE with forced boundaries.
 
-A byte pair that occurs inside no vocabulary token is a certain cut: no merge can reach across it. Texts are cut
-first at spaces after other characters, where the pair is such a cut and the pre-tokeniser's pattern
-starts afresh on either side; each distinct fragment is then cut by the pattern and, within its pieces, at all remaining
-certain cuts; the fragments that are left are merged independently and concatenated. Each task keeps what it has encoded, up
-to a bound, so a word is merged once for many documents. Decoding looks tokens up and joins their bytes.
+A byte pair that occurs inside no vocabulary token is a certain cut: no merge can reach across it. A batch of texts is
+one buffer of bytes, cut first where a run of letters or of other marks ends, if the pair there is such a cut: the
+pre-tokeniser's pattern starts afresh at these places. Each distinct fragment is then cut by the pattern and, by a table of all
+byte pairs, at the remaining certain cuts. The fragments that are left are merged independently, and a text's ids
+are those of its fragments one after the other. Each task keeps what it has encoded, up to a bound and by age, so
+a word is merged once for many documents. Decoding looks tokens up and joins their bytes.
 
 Special tokens found in a text are their ids, as the tokenizers library does by default. The vocabulary
 file is a parameter and must be at the same path on every executor.
@@ -22,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import ragged, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 400_000
+#: Fragments of each of the two generations that a task keeps.
+CACHE = 300_000
+#: Fragments that are handed to the merger at once.
+PORTION = 20_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -40,129 +44,163 @@ class ForcedBoundaryBpe:
     """Encoder and decoder of one vocabulary file. Built once a Python worker."""
 
     def __init__(self, path: str):
+        import os
+
+        import numpy as np
         import regex
 
-        spec = json.load(open(path, encoding="utf-8"))
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         symbols = byte_symbols()
-        as_bytes = lambda s: bytes(symbols[c] for c in s)
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.id_of = {as_bytes(k): v for k, v in spec["model"]["vocab"].items() if k not in self.specials}
-        self.bytes_of = {v: k for k, v in self.id_of.items()} | {v: k.encode() for k, v in self.specials.items()}
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.rank = {(as_bytes(a), as_bytes(b)): i for i, (a, b) in enumerate(merges)}
-        inside = {t[i : i + 2] for t in self.id_of for i in range(len(t) - 1)}
-        self.joined = frozenset((p[0], p[1]) for p in inside)
-        #: characters before a space at which a text may be cut first: ASCII ones other than white space whose pair with a space is in no token
-        first = "".join(chr(a) for a in range(33, 127) if (a, 32) not in self.joined)
-        self.first_set = frozenset(first)
+        id_of = {bytes(symbols[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in self.specials}
+        words = [b""] * (1 + max([*id_of.values(), *self.specials.values()]))
+        for k, v in [*id_of.items(), *((k.encode(), v) for k, v in self.specials.items())]:
+            words[v] = k
+        self.words = words
+        self.bytes_of = pa.array(words, pa.binary())
+        self.text_of = pa.array([str(i) for i in range(len(words))], pa.string())
+        #: joined[a, b]: some token has the bytes a and b side by side
+        self.joined = np.zeros((256, 256), bool)
+        for t in id_of:
+            for a, b in zip(t, t[1:]):
+                self.joined[a, b] = True
+        #: kinds of bytes: 1 a letter, 2 a digit or other mark, 3 white space or a control, 4 the apostrophe, 0 part of a longer character
+        self.kind = np.array([0 if a > 127 else 4 if a == 39 else 1 if chr(a).isalpha() else 3 if a < 33 or a == 127 else 2 for a in range(256)], np.uint8)
+        self.symbol_of = {b: c for c, b in symbols.items()}
         self.pieces = regex.compile(PATTERN)
         self.special_cut = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
-        self.seen: dict[str, tuple[int, str, bytes]] = {}
-        self.merged: dict[bytes, list[int]] = {}
-
-    def certain_cuts(self, piece: bytes) -> list[bytes]:
-        joined, begin, out = self.joined, 0, []
-        for i in range(1, len(piece)):
-            if (piece[i - 1], piece[i]) not in joined:
-                out.append(piece[begin:i])
-                begin = i
-        out.append(piece[begin:])
-        return out
-
-    def merge(self, fragment: bytes) -> list[int]:
-        """Merges of one fragment, lowest rank first."""
-        whole = self.merged.get(fragment)
-        if whole is not None:
-            return whole
-        parts = [fragment[i : i + 1] for i in range(len(fragment))]
-        rank = self.rank
-        if len(parts) > 200:
-            parts = self._merge_long(parts)
-        else:
-            while len(parts) > 1:
-                best, at = None, -1
-                for i in range(len(parts) - 1):
-                    r = rank.get((parts[i], parts[i + 1]))
-                    if r is not None and (best is None or r < best):
-                        best, at = r, i
-                if best is None:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        out = [self.id_of[p] for p in parts]
-        if len(self.merged) > CACHE:
-            self.merged.clear()
-        self.merged[fragment] = out
-        return out
-
-    def _merge_long(self, parts: list[bytes]) -> list[bytes]:
-        """The same by a heap of pairs, for fragments in which a scan for each merge would be quadratic."""
-        import heapq
-
-        rank, n = self.rank, len(parts)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = [True] * n
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank.get((parts[i], parts[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if not alive[i] or j >= n or parts[i] != a or parts[j] != b:
-                continue
-            parts[i], alive[j] = a + b, False
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := rank.get((parts[x], parts[y]))) is not None:
-                    heapq.heappush(heap, (r, x, parts[x], parts[y]))
-        return [p for p, k in zip(parts, alive) if k]
-
-    def encode_fragment(self, fragment: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.pieces.findall(fragment):
-            for part in self.certain_cuts(piece.encode()):
-                out += self.merge(part)
-        return out
-
-    def fragments(self, text: str) -> list[str]:
-        """Fragments of a text without special tokens; each but the first starts with a space."""
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return parts
-        out, now, first = [], parts[0], self.first_set
-        for p in parts[1:]:
-            if now and now[-1] in first:
-                out.append(now)
-                now = " " + p
-            else:  # no certain cut: white space or a character outside ASCII comes before
-                now += " " + p
-        out.append(now)
-        return out
-
-    def _known(self, fragment: str) -> tuple[int, str, bytes]:
-        ids = self.encode_fragment(fragment)
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        out = self.seen[fragment] = (len(ids), ",".join(map(str, ids)), self.decode(ids))
-        return out
+        # the merger sees one fragment at a time: no normaliser, pre-tokeniser, special tokens or post-processor
+        bare = spec | {"added_tokens": [], "truncation": None, "padding": None} | dict.fromkeys(("normalizer", "pre_tokenizer", "post_processor", "decoder"))
+        self.merger = Tokenizer.from_str(json.dumps(bare))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def first_cuts(self, data):
+        """Where a piece of the pattern ends for certain, as booleans; the pair there is in no token.
+
+        A run of letters ends at any other ASCII character, one of other marks at a space, and a mark other than
+        the apostrophe, which may start a contraction, and digits ends at a letter. Letters of two bytes that start with 0xC3 are known too.
+        """
+        import numpy as np
+
+        cut = np.zeros(len(data) + 1, bool)
+        if len(data) < 2:
+            return cut
+        now = self.kind[data]
+        latin = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        now[1:][latin] = 1
+        a, b = now[:-1], now[1:]
+        ends = (a == 1) & (b > 1) | ((a == 2) | (a == 4)) & (data[1:] == 32) | (a == 2) & (b == 1) & (data[1:] < 128)
+        at = np.flatnonzero(ends)
+        cut[1 + at[~self.joined[data[at], data[at + 1]]]] = True
+        return cut
+
+    def certain_cuts(self, pieces: list[bytes]):
+        """(begins, ends) of the fragments of the joined pieces, by the table of byte pairs."""
+        import numpy as np
+
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = ~self.joined[data[:-1], data[1:]]
+        cut[np.cumsum(sizes) - sizes] = True
+        begins = np.flatnonzero(cut[:-1])
+        return begins, np.append(begins[1:], len(data))
+
+    def _learn(self, fragments: list[str]) -> None:
+        import numpy as np
+
+        for at in range(0, len(fragments), PORTION):
+            part = fragments[at : at + PORTION]
+            found = [[f] if f[1:].isalpha() and (f[0] == " " or f[0].isalpha()) else self.pieces.findall(f) for f in part]
+            pieces = [p.encode() for ps in found for p in ps]
+            begins, ends = self.certain_cuts(pieces)
+            # the last byte of each fragment tells to which one a cut belongs
+            stops = np.cumsum(np.fromiter((len(f.encode()) for f in part), np.int64, len(part)))
+            written = b"".join(pieces).decode("latin-1").translate(self.symbol_of)
+            coded = self.merger.encode([written[a:z] for a, z in zip(begins.tolist(), ends.tolist())], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4")
+            of = np.searchsorted(stops, begins, "right")[np.array(coded.word_ids, np.int64)] if len(ids) else np.zeros(0, np.int64)
+            bounds = 4 * np.searchsorted(of, np.arange(len(part) + 1))
+            data, bounds = ids.tobytes(), bounds.tolist()
+            for f, a, z in zip(part, bounds, bounds[1:]):
+                self.young[f] = data[a:z]
+
+    def _known(self, fragments: list[str]) -> list[bytes]:
+        """Ids of each distinct fragment as little-endian 4-byte strings."""
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = []
+        for f in fragments:
+            if f not in young:
+                if f in old:
+                    young[f] = old[f]
+                else:
+                    new.append(f)
+        self._learn(new)
+        return list(map(young.__getitem__, fragments))
+
+    def _encode_plain(self, texts: pa.Array):
+        """(ids of all texts after each other, end of each text in them); no text is null or has special tokens."""
+        import numpy as np
+
+        texts = pa.concat_arrays([texts.cast(pa.large_string())])  # one buffer that starts at 0
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + n + 1]
+        raw = texts.buffers()[2]
+        data = np.frombuffer(raw, np.uint8)[: offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+        cut = self.first_cuts(data)
+        cut[offsets] = True
+        cut[-1] = True
+        edges = np.flatnonzero(cut)
+        if len(data) == 0:
+            return np.zeros(0, "<u4"), np.zeros(n, np.int64)
+        parts = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype("<i8").tobytes()), raw).dictionary_encode()
+        which = parts.indices.to_numpy(zero_copy_only=False)
+        known = self._known(parts.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, ends = ragged(np.frombuffer(b"".join(known), "<u4"), sizes, which)
+        return ids, np.append(0, ends)[np.searchsorted(edges, offsets[1:])]
+
+    def encode_batch(self, texts: pa.Array):
+        """(ids of all texts after each other, end of each text in them); null is the empty text."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        has = pc.match_substring(texts, next(iter(self.specials))).to_numpy(zero_copy_only=False) if len(self.specials) == 1 else np.full(len(texts), bool(self.specials))
+        if not has.any():
+            return self._encode_plain(texts)
+        parts, special, last = [], [], []
+        for t, h in zip(texts.to_pylist(), has.tolist()):
+            for k, p in enumerate(self.special_cut.split(t) if h else [t]):
+                special.append(self.specials[p] if k % 2 else -1)
+                parts.append("" if k % 2 else p)
+            last.append(len(parts) - 1)
+        ids, ends = self._encode_plain(pa.array(parts, pa.large_string()))
+        special = np.array(special)
+        at = np.flatnonzero(special >= 0)
+        ids = np.insert(ids, ends[at], special[at].astype("<u4"))
+        return ids, (ends + np.cumsum(special >= 0))[last]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_batch(pa.array([text], pa.string()))[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
-    def parts(self, text: str) -> list[tuple[int, str, bytes]]:
-        """(number of ids, ids joined by commas, decoded bytes) of each fragment."""
-        out, seen = [], self.seen
-        for k, part in enumerate(self.special_cut.split(text) if self.special_cut else [text]):
-            if k % 2:
-                i = self.specials[part]
-                out.append((1, str(i), self.bytes_of[i]))
-            elif part:
-                for f in self.fragments(part):
-                    out.append(seen.get(f) or self._known(f))
-        return out
+        return b"".join(map(self.words.__getitem__, ids))
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts(text) if ids for i in ids.split(",")]
+    def decoded(self, ids, ends):
+        """The bytes of all texts in one buffer, and the end of each text in it."""
+        import numpy as np
+
+        out = self.bytes_of.take(pa.array(ids.astype(np.int64))).cast(pa.large_binary())
+        offsets = np.frombuffer(out.buffers()[1], "<i8")[out.offset : out.offset + len(out) + 1]
+        return memoryview(out.buffers()[2] or b"")[: offsets[-1]], offsets[ends]
 
 
 _made: dict[str, ForcedBoundaryBpe] = {}
@@ -174,26 +212,40 @@ def encoder(path: str) -> ForcedBoundaryBpe:
     return _made[path]
 
 
+def _as_text(data, begins: list[int], ends: list[int]):
+    """The bytes of each text; what is not UTF-8 becomes replacement characters, as in the library."""
+    try:
+        str(data, "utf-8")
+        plain = not any(a < z and data[a] & 0xC0 == 0x80 for a, z in zip(begins, ends))
+    except UnicodeDecodeError:
+        plain = False
+    for a, z in zip(begins, ends):
+        yield data[a:z] if plain else bytes(data[a:z]).decode("utf-8", "replace").encode()
+
+
 def _encode(path: str, with_ids: bool):
     def run(batches):
         from hashlib import sha256
 
+        import numpy as np
+        import pyarrow.compute as pc
+
         bpe = encoder(path)
         for batch in batches:
-            n, ids_sha, text_sha, ids = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                parts = bpe.parts(text or "")
-                joined = ",".join([p[1] for p in parts if p[0]])
-                n.append(sum([p[0] for p in parts]))
-                ids_sha.append(sha256(joined.encode()).hexdigest())
-                # bytes that are not UTF-8 decode to replacement characters, as in the library
-                text_sha.append(sha256(b"".join([p[2] for p in parts]).decode("utf-8", "replace").encode()).hexdigest())
-                if with_ids:
-                    ids.append([int(x) for x in joined.split(",")] if joined else [])
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
+            ids, ends = bpe.encode_batch(batch.column(1))
+            offsets = pa.array(np.append(0, ends), pa.int64())
+            joined = pc.binary_join(pa.LargeListArray.from_arrays(offsets, bpe.text_of.take(pa.array(ids.astype(np.int64)))), ",")
+            data, stops = bpe.decoded(ids, ends)
+            stops = stops.tolist()
+            columns = [
+                batch.column(0),
+                pa.array(np.diff(np.append(0, ends)), pa.int64()),
+                pa.array([sha256(x.as_buffer() or b"").hexdigest() for x in joined]),
+                pa.array([sha256(t).hexdigest() for t in _as_text(data, [0, *stops[:-1]], stops)]),
+            ]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(offsets.cast(pa.int32()), pa.array(ids.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
