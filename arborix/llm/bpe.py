@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, small_batches, table
+from .common import small_batches, table
+from .fragments import Known, buffer, distinct, first_cuts, ragged
 
 VOCABULARY = "byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -68,36 +69,13 @@ class ForcedBoundaryBpe:
         for t in id_of:
             for a, b in zip(t, t[1:]):
                 self.joined[a, b] = True
-        #: kinds of bytes: 1 a letter, 2 a digit or other mark, 3 white space or a control, 4 the apostrophe, 0 part of a longer character
-        self.kind = np.array([0 if a > 127 else 4 if a == 39 else 1 if chr(a).isalpha() else 3 if a < 33 or a == 127 else 2 for a in range(256)], np.uint8)
         self.symbol_of = {b: c for c, b in symbols.items()}
         self.pieces = regex.compile(PATTERN)
         self.special_cut = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         # the merger sees one fragment at a time: no normaliser, pre-tokeniser, special tokens or post-processor
         bare = spec | {"added_tokens": [], "truncation": None, "padding": None} | dict.fromkeys(("normalizer", "pre_tokenizer", "post_processor", "decoder"))
         self.merger = Tokenizer.from_str(json.dumps(bare))
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def first_cuts(self, data):
-        """Where a piece of the pattern ends for certain, as booleans; the pair there is in no token.
-
-        A run of letters ends at any other ASCII character, one of other marks at a space, and a mark other than
-        the apostrophe, which may start a contraction, and digits ends at a letter. Letters of two bytes that start with 0xC3 are known too.
-        """
-        import numpy as np
-
-        cut = np.zeros(len(data) + 1, bool)
-        if len(data) < 2:
-            return cut
-        now = self.kind[data]
-        latin = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7)
-        now[1:][latin] = 1
-        a, b = now[:-1], now[1:]
-        ends = (a == 1) & (b > 1) | ((a == 2) | (a == 4)) & (data[1:] == 32) | (a == 2) & (b == 1) & (data[1:] < 128)
-        at = np.flatnonzero(ends)
-        cut[1 + at[~self.joined[data[at], data[at + 1]]]] = True
-        return cut
+        self.known = Known(self._learn, CACHE)
 
     def certain_cuts(self, pieces: list[bytes]):
         """(begins, ends) of the fragments of the joined pieces, by the table of byte pairs."""
@@ -111,7 +89,8 @@ class ForcedBoundaryBpe:
         begins = np.flatnonzero(cut[:-1])
         return begins, np.append(begins[1:], len(data))
 
-    def _learn(self, fragments: list[str]) -> None:
+    def _learn(self, fragments: list[str]):
+        """(fragment, its ids as little-endian 4-byte strings) of distinct fragments."""
         import numpy as np
 
         for at in range(0, len(fragments), PORTION):
@@ -127,42 +106,18 @@ class ForcedBoundaryBpe:
             of = np.searchsorted(stops, begins, "right")[np.array(coded.word_ids, np.int64)] if len(ids) else np.zeros(0, np.int64)
             bounds = 4 * np.searchsorted(of, np.arange(len(part) + 1))
             data, bounds = ids.tobytes(), bounds.tolist()
-            for f, a, z in zip(part, bounds, bounds[1:]):
-                self.young[f] = data[a:z]
-
-    def _known(self, fragments: list[str]) -> list[bytes]:
-        """Ids of each distinct fragment as little-endian 4-byte strings."""
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = []
-        for f in fragments:
-            if f not in young:
-                if f in old:
-                    young[f] = old[f]
-                else:
-                    new.append(f)
-        self._learn(new)
-        return list(map(young.__getitem__, fragments))
+            yield from ((f, data[a:z]) for f, a, z in zip(part, bounds, bounds[1:]))
 
     def _encode_plain(self, texts: pa.Array):
         """(ids of all texts after each other, end of each text in them); no text is null or has special tokens."""
         import numpy as np
 
-        texts = pa.concat_arrays([texts.cast(pa.large_string())])  # one buffer that starts at 0
-        n = len(texts)
-        offsets = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + n + 1]
-        raw = texts.buffers()[2]
-        data = np.frombuffer(raw, np.uint8)[: offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
-        cut = self.first_cuts(data)
-        cut[offsets] = True
-        cut[-1] = True
-        edges = np.flatnonzero(cut)
-        if len(data) == 0:
-            return np.zeros(0, "<u4"), np.zeros(n, np.int64)
-        parts = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype("<i8").tobytes()), raw).dictionary_encode()
-        which = parts.indices.to_numpy(zero_copy_only=False)
-        known = self._known(parts.dictionary.to_pylist())
+        data, raw, offsets = buffer(texts)
+        cut = first_cuts(data)
+        at = np.flatnonzero(cut)
+        cut[at[self.joined[data[at - 1], data[at]]]] = False  # some token has this pair
+        edges, which, fragments = distinct(raw, cut, offsets)
+        known = self.known.get(fragments)
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         ids, ends = ragged(np.frombuffer(b"".join(known), "<u4"), sizes, which)
         return ids, np.append(0, ends)[np.searchsorted(edges, offsets[1:])]

@@ -32,14 +32,3 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> Dat
 def crc_mod(col: str, n: int):
     """crc32 of the column's value as text, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
-
-
-def ragged(values, sizes, which):
-    """Groups of values (sizes[k] of them in group k) in the order of which: (values, end of each group)."""
-    import numpy as np
-
-    n = sizes[which]
-    ends = np.cumsum(n)
-    begins = np.cumsum(sizes) - sizes
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.repeat(begins[which] - (ends - n), n) + np.arange(total)], ends

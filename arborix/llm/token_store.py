@@ -4,8 +4,8 @@ A rolling hash over the last ids of a document cuts its id stream into chunks, s
 cut alike wherever they stand. A chunk is named by the hash of its bytes and stored once. Layout of a store:
 
     chunks/    name binary(16), n int, data binary   ids, little-endian, 2 bytes each if all fit, else 4
-    recipes/   shard int, id, seq int, name, n       the chunks of every document, in order
-    manifest/  shard int, id, n_chunks int, n_tokens long, root binary(32)
+    recipes/   shard int, id, row long, seq int, name, n       the chunks of every document, in order
+    manifest/  shard int, id, row long, n_chunks int, n_tokens long, root binary(32)
     shards/    shard int, n_docs long, n_tokens long, root binary(32)
 
 Documents are dealt into shards by ranges of their id. root of a document is the Merkle root over its chunk names,
@@ -17,14 +17,14 @@ Only names and counts are shuffled a second time, chunk bytes once. A chunk that
 is one row after the first aggregation, which runs in the tasks before the shuffle; the joins on names
 are equi-joins that adaptive execution splits.
 
-Defined cases: null is the empty text, which has the end id only; ids of documents must be unique and not null, else
-writing raises; an empty table makes an empty store; further columns are ignored.
+Defined cases: null is the empty text, which has the end id only; row numbers the documents, so rows that repeat an id, or have none,
+are documents of their own: those without an id come first, those of one id in the order of their roots; an empty table
+makes an empty store; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 
 import pyarrow as pa
@@ -32,27 +32,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bpe import byte_symbols
 from .common import drop, new_path, small_batches, table, written
+from .fragments import Known, buffer, distinct, first_cuts, ragged
 
 VOCABULARY = "word_bpe_49k.json"
 #: A cut where the hash of the last RUN ids is 0 in its upper MASK_BITS bits; chunks have LEAST to MOST ids.
 RUN, MASK_BITS, LEAST, MOST = 8, 9, 64, 2048
-CACHE = 800_000
-#: Texts of one batch; words that a batch repeats are looked up once.
-BATCH = "4000"
+#: Fragments of each of the two generations that a task keeps.
+CACHE = 300_000
+#: Fragments that are handed to the library at once.
+PORTION = 20_000
 #: Chunks of a shard, and the most shards.
 SHARD_CHUNKS, SHARDS = 10_000, 20_000
 END_ID = 2
 
-_CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)(.*)", re.S)
-
-
 class WordEncoder:
-    """Encodes texts with the tokenizers library, each word once.
+    """Encodes texts with the tokenizers library, each fragment once.
 
-    White space separates words in this vocabulary's pre-tokeniser and is dropped, so the ids of a text are
-    those of its words; within a word a run of letters is a piece of its own and its last id, and no other, ends a word. So new
-    runs of letters are encoded together, as one text of many, and told apart by the ids that end words.
+    This vocabulary's pre-tokeniser drops white space and keeps runs of letters and other marks apart, so the ids of a
+    text are those of its fragments. Runs of Latin letters, lower-cased, are words to the library's model as they
+    are; all other fragments go through the whole tokeniser, and so do texts with special tokens.
     """
 
     def __init__(self, path: str):
@@ -67,90 +67,74 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.seen: dict[str, bytes] = {"": b""}
-        self.whole: dict[str, bytes] = {}
-
-    def _learn_runs(self, runs: list[str]) -> None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.specials = [t["content"] for t in spec["added_tokens"]]
+        bare = spec | {"added_tokens": [], "truncation": None, "padding": None} | dict.fromkeys(("normalizer", "pre_tokenizer", "post_processor", "decoder"))
+        self.model = Tokenizer.from_str(json.dumps(bare))
+        self.symbol_of = {b: c for c, b in byte_symbols().items()}
+        self.lower = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+        self.space = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+        self.known = Known(self._learn, CACHE)
+
+    def _learn(self, fragments: list[str]):
+        """(fragment, its ids as little-endian 4-byte strings) of distinct fragments."""
         import numpy as np
 
-        for at in range(0, len(runs), 5000):
-            part = runs[at : at + 5000]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1 if (ids < len(self.ends)).all() else ()
-            if len(stops) != len(part):
-                self._learn_whole(part)
-                continue
-            data, begin = ids.tobytes(), 0
-            for w, stop in zip(part, (stops * 4).tolist()):
-                self.seen[w] = data[begin:stop]
-                begin = stop
-
-    def _learn_whole(self, words: list[str]) -> None:
+        plain = [f for f in fragments if f.isalpha() and (f.isascii() or max(f) <= "\xff")]
+        for at in range(0, len(plain), PORTION):
+            part = plain[at : at + PORTION]
+            words = "\n".join(part).lower().encode().decode("latin-1").translate(self.symbol_of).split(self.symbol_of[10])
+            coded = self.model.encode(words, is_pretokenized=True, add_special_tokens=False)
+            data = np.array(coded.ids, "<u4").tobytes()
+            bounds = (4 * np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
+            yield from ((f, data[a:z]) for f, a, z in zip(part, bounds, bounds[1:]))
+        done = set(plain)
+        others = [f for f in fragments if f not in done]
+        for f, e in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False)):
+            yield f, np.array(e.ids, "<u4").tobytes()
+
+    def _encode_plain(self, texts: pa.Array):
         import numpy as np
 
-        for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False)):
-            self.seen[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as little-endian 4-byte strings."""
-        if len(self.seen) > CACHE:
-            self.seen = {"": b""}
-        if len(self.whole) > CACHE // 2:
-            self.whole = {}
-        seen, whole, parts, runs, others = self.seen, self.whole, [], {}, {}
-        match = _CORE.fullmatch
-        for w in words:
-            if w in whole:
-                continue
-            m = match(w)
-            if m:
-                core, rest = m.groups()
-                if rest and (not rest[0].isascii() or rest[0].isalnum()):
-                    core, rest = "", w
-                else:
-                    core = core.lower()
-            else:
-                core, rest = "", w
-            parts.append((w, core, rest))
-            if core not in seen:
-                runs[core] = None
-            if rest not in seen:
-                others[rest] = None
-        self._learn_runs(list(runs))
-        self._learn_whole(list(others))
-        for w, c, r in parts:
-            whole[w] = seen[c] + seen[r] if r else seen[c]
-        return list(map(whole.__getitem__, words))
+        data, _, offsets = buffer(texts)
+        data = self.lower[data]
+        cut = first_cuts(data)
+        space = self.space[data]
+        cut[1:-1] |= space[1:] & ~space[:-1]  # white space goes with what follows it, and is taken off
+        edges, which, fragments = distinct(pa.py_buffer(data), cut, offsets)
+        known = self.known.get([f.strip(" \t\n\v\f\r") for f in fragments])
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, ends = ragged(np.frombuffer(b"".join(known), "<u4"), sizes, which)
+        return ids, np.append(0, ends)[np.searchsorted(edges, offsets[1:])]
 
     def encode_batch(self, texts: pa.Array):
         """(ids of all texts after each other, end of each text in them); null is the empty text."""
         import numpy as np
         import pyarrow.compute as pc
 
-        flat = pc.fill_null(texts, "")
-        for c in "\n\t\r":
-            flat = pc.replace_substring(flat, c, " ")
-        lists = pc.split_pattern(flat, " ")
-        coded = lists.flatten().dictionary_encode()
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        known = self.encode_words(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        ids = np.frombuffer(b"".join(map(known.__getitem__, which.tolist())), "<u4")
-        ends = np.concatenate([[0], np.cumsum(lengths[which])])
-        offsets = lists.offsets.to_numpy()
-        return ids, ends[offsets[1:] - offsets[0]]
-
-
-def cuts(ids, run: int = RUN, bits: int = MASK_BITS, least: int = LEAST, most: int = MOST) -> list[int]:
-    """Ends of the chunks of one document's ids, by a rolling polynomial hash of the last run ids."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        has = np.zeros(len(texts), bool)
+        for s in self.specials:
+            has |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        ids, ends = self._encode_plain(pc.if_else(pa.array(has), "", texts) if has.any() else texts)
+        if has.any():
+            rows = np.flatnonzero(has)
+            whole = [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts.take(pa.array(rows)).to_pylist(), add_special_tokens=False)]
+            sizes = np.zeros(len(texts), np.int64)
+            sizes[rows] = [len(w) for w in whole]
+            ids = np.insert(ids, np.repeat(ends[rows], sizes[rows]), np.concatenate(whole))
+            ends = ends + np.cumsum(sizes)
+        return ids, ends
+
+
+def marks(ids, run: int = RUN, bits: int = MASK_BITS):
+    """Places after which a cut may be, by a rolling polynomial hash of the last run ids."""
     import numpy as np
 
     n = len(ids)
-    if n <= least:
-        return [n]
+    if n < run:
+        return np.zeros(0, np.int64)
     h = np.zeros(n - run + 1, np.uint64)
     x = ids.astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -159,9 +143,15 @@ def cuts(ids, run: int = RUN, bits: int = MASK_BITS, least: int = LEAST, most: i
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xD6E8FEB86659FD93)
-    marks = np.flatnonzero((h >> np.uint64(64 - bits)) == 0) + run
+    return np.flatnonzero((h >> np.uint64(64 - bits)) == 0) + run
+
+
+def cuts(n: int, marks: list[int], least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of the chunks of a document of n ids; marks are those within it, counted from its first id."""
     out, begin = [], 0
-    for m in [*marks.tolist(), n]:
+    if n <= least:
+        return [n]
+    for m in [*marks, n]:
         while m - begin > most:
             begin += most
             out.append(begin)
@@ -173,8 +163,11 @@ def cuts(ids, run: int = RUN, bits: int = MASK_BITS, least: int = LEAST, most: i
     return out
 
 
-def pack(ids) -> bytes:
-    return ids.astype("<u2").tobytes() if len(ids) == 0 or ids.max() < 1 << 16 else ids.astype("<u4").tobytes()
+def with_end(ids, ends, end_id: int = END_ID):
+    """ids and ends with the end id after each document."""
+    import numpy as np
+
+    return np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
 
 
 def unpack(data: bytes, n: int):
@@ -198,22 +191,31 @@ def _chunks(path: str):
             _encoders[path] = WordEncoder(path)
         encoder = _encoders[path]
         for batch in batches:
-            at, seqs, names, ns, datas = [], [], [], [], []
-            coded, ends = encoder.encode_batch(batch.column(1))
-            for row, (a, z) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
-                ids = np.append(coded[a:z], np.uint32(END_ID))
-                begin = 0
-                for seq, stop in enumerate(cuts(ids)):
-                    part = ids[begin:stop]
-                    data = pack(part)
-                    at.append(row)
-                    seqs.append(seq)
-                    ns.append(len(part))
-                    names.append(chunk_name(len(part), data))
-                    datas.append(data)
-                    begin = stop
+            ids, ends = with_end(*encoder.encode_batch(batch.column(2)))
+            begins = np.append(0, ends[:-1])
+            found = marks(ids)
+            # a mark counts if the ids it looks back on are all of its document
+            doc = np.searchsorted(ends, found, "left")
+            inside = found - begins[doc]
+            fits = inside >= RUN
+            found, doc = inside[fits], doc[fits]
+            bounds = np.searchsorted(doc, np.arange(len(ends) + 1)).tolist()
+            found = found.tolist()
+            at, seqs, stops = [], [], []
+            for row, (a, n) in enumerate(zip(begins.tolist(), (ends - begins).tolist())):
+                own = cuts(n, found[bounds[row] : bounds[row + 1]])
+                at += [row] * len(own)
+                seqs += range(len(own))
+                stops += [a + x for x in own]
+            stops = np.array(stops, np.int64)
+            sizes = np.diff(np.append(0, stops))
+            wide = np.maximum.reduceat(ids, stops - sizes) >= 1 << 16 if len(stops) else []
+            short, long = ids.astype("<u2").tobytes(), ids.tobytes()
+            datas = [long[4 * (z - n) : 4 * z] if w else short[2 * (z - n) : 2 * z] for z, n, w in zip(stops.tolist(), sizes.tolist(), wide)]
+            names = [chunk_name(n, d) for n, d in zip(sizes.tolist(), datas)]
+            place = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(seqs, pa.int32()), pa.array(names, pa.binary()), pa.array(ns, pa.int32()), pa.array(datas, pa.binary())], ["id", "seq", "name", "n", "data"]
+                [batch.column(0).take(place), batch.column(1).take(place), pa.array(seqs, pa.int32()), pa.array(names, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(datas, pa.binary())], ["id", "row", "seq", "name", "n", "data"]
             )
 
     return run
@@ -228,13 +230,13 @@ def merkle(col: str) -> F.Column:
 def _shards(chunks: DataFrame, size: int) -> DataFrame:
     """chunks with the shard of each row, by ranges of ids that hold about so many rows."""
     shards = min(SHARDS, max(1, -(-chunks.count() // size)))
-    edges = chunks.approxQuantile("id", [i / shards for i in range(1, shards)], 0.1 / shards) if shards > 1 else []
+    edges = chunks.where("id IS NOT NULL").approxQuantile("id", [i / shards for i in range(1, shards)], 0.1 / shards) if shards > 1 else []
     if not edges:
         return chunks.withColumn("shard", F.lit(0))
     from pyspark.ml.feature import Bucketizer
 
     splits = [float("-inf"), *sorted(set(edges)), float("inf")]
-    of = Bucketizer(splits=splits, inputCol="_id", outputCol="_shard").transform(chunks.withColumn("_id", F.col("id").cast("double")))
+    of = Bucketizer(splits=splits, inputCol="_id", outputCol="_shard").transform(chunks.withColumn("_id", F.coalesce(F.col("id").cast("double"), F.lit(float("-inf")))))
     return of.withColumn("shard", F.col("_shard").cast("int")).drop("_id", "_shard")
 
 
@@ -242,31 +244,22 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     """Encodes docs and writes a store; path is a folder that all executors can write."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
-    coded = written(rows.mapInArrow(_chunks(tokenizer), "id long, seq int, name binary, n int, data binary"), "coded")
-    small_batches(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("t"))
+    coded = written(rows.mapInArrow(_chunks(tokenizer), "id long, row long, seq int, name binary, n int, data binary"), "coded")
     coded.groupBy("name").agg(F.first("n").alias("n"), F.first("data").alias("data")).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    if coded.where("id IS NULL").limit(1).count():
-        raise ValueError("document ids must not be null")
-    marked = _shards(coded.select("id", "seq", "name", "n"), shard_chunks)
-    marked.repartition("shard").sortWithinPartitions("shard", "id", "seq").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    marked = _shards(coded.select("id", "row", "seq", "name", "n"), shard_chunks)
+    marked.repartition("shard").sortWithinPartitions("shard", "id", "row", "seq").write.option("compression", "zstd").parquet(f"{path}/recipes")
     recipes = spark.read.parquet(f"{path}/recipes")
-    per_doc = recipes.groupBy("shard", "id").agg(F.count("*").cast("int").alias("n_chunks"), F.countDistinct("seq").cast("int").alias("n_seq"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("names"))
-    per_doc = per_doc.select("shard", "id", "n_chunks", "n_seq", "n_tokens", F.transform("names", lambda x: x["name"]).alias("names"))
-    per_doc = per_doc.withColumn("root", merkle("names")).drop("names")
-    per_doc.repartition("shard").sortWithinPartitions("shard", "id").write.option("compression", "zstd").parquet(f"{path}/manifest")
-    manifest = spark.read.parquet(f"{path}/manifest")
-    if manifest.where("n_seq < n_chunks").limit(1).count():
-        raise ValueError("document ids must be unique")
-    shard_table(manifest).write.parquet(f"{path}/shards")
+    per_doc = recipes.groupBy("shard", "id", "row").agg(F.count("*").cast("int").alias("n_chunks"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("names"))
+    per_doc = per_doc.withColumn("root", merkle("names.name")).drop("names")
+    per_doc.repartition("shard").sortWithinPartitions("shard", "id", "root", "row").write.option("compression", "zstd").parquet(f"{path}/manifest")
+    shard_table(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/shards")
     drop(coded)
 
 
 def shard_table(manifest: DataFrame) -> DataFrame:
-    per_shard = manifest.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("id", "root"))).alias("roots"))
-    per_shard = per_shard.withColumn("roots", F.transform("roots", lambda x: x["root"]))
-    return per_shard.withColumn("root", merkle("roots")).drop("roots")
+    per_shard = manifest.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("id", "root", "row"))).alias("roots"))
+    return per_shard.withColumn("root", merkle("roots.root")).drop("roots")
 
 
 def _verify_chunks(batches):
@@ -319,35 +312,35 @@ def combine(crc: int, more: int, n_bytes: int) -> int:
 
 
 def _combine_rows(batches):
+    """Puts the CRCs of a document's chunks together; parts come last, the other columns are handed on."""
     for batch in batches:
         out = []
-        for parts in batch.column(1).to_pylist():
+        for parts in batch.column(batch.num_columns - 1).to_pylist():
             crc = 0
             for p in parts:
                 crc = combine(crc, p["crc"], 4 * p["n"])
             out.append(crc)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["id", "crc"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.int64())], [*batch.schema.names[:-1], "crc"])
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """(id, start, n_tokens, crc, root) of every document, all read from the files and verified."""
+    """(id, row, start, n_tokens, root, crc) of every document, all read from the files and verified."""
     chunks = spark.read.parquet(f"{path}/chunks").select("name", "n", "data").mapInArrow(_verify_chunks, "name binary, crc long")
     recipes = spark.read.parquet(f"{path}/recipes")
     found = recipes.join(chunks, "name", "left").withColumn("crc", F.coalesce("crc", F.raise_error(F.concat(F.lit("missing chunk "), F.hex("name"))).cast("long")))
-    docs = found.groupBy("id").agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "n", "crc", "name"))).alias("parts"))
-    docs = docs.select("id", "n_tokens", F.transform("parts", lambda p: F.struct(p["n"].alias("n"), p["crc"].alias("crc"))).alias("parts"), F.transform("parts", lambda p: p["name"]).alias("names"))
-    docs = docs.withColumn("root", merkle("names"))
-    manifest = spark.read.parquet(f"{path}/manifest").select("shard", "id", F.col("n_tokens").alias("said"), F.col("root").alias("said_root"))
-    docs = manifest.join(docs, "id", "left")
+    docs = found.groupBy("row").agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "n", "crc", "name"))).alias("parts"))
+    docs = docs.withColumn("root", merkle("parts.name"))
+    manifest = spark.read.parquet(f"{path}/manifest").select("shard", "id", "row", F.col("n_tokens").alias("said"), F.col("root").alias("said_root"))
+    docs = manifest.join(docs, "row", "left")
     wrong = F.coalesce((F.col("said") != F.col("n_tokens")) | (F.col("said_root") != F.col("root")), F.lit(True))
     docs = docs.withColumn("root", F.when(wrong, F.raise_error(F.concat(F.lit("document fails its manifest: "), F.col("id").cast("string"))).cast("binary")).otherwise(F.col("root")))
     # ids before a shard are in its table, those before a document within the shard are summed there
     shards = spark.read.parquet(f"{path}/shards").select("shard", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     docs = docs.join(shards, "shard")
-    inside = Window.partitionBy("shard").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("shard").orderBy(F.col("id").asc_nulls_first(), "said_root", "row").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("start", F.col("before") + F.coalesce(F.sum("said").over(inside), F.lit(0)))
-    crcs = docs.select("id", "parts").mapInArrow(_combine_rows, "id long, crc long")
-    return docs.select("id", "start", "n_tokens", "root").join(crcs, "id")
+    parts = F.transform("parts", lambda p: F.struct(p["n"].alias("n"), p["crc"].alias("crc"))).alias("parts")
+    return docs.select("id", "row", "start", "n_tokens", "root", parts).mapInArrow(_combine_rows, "id long, row long, start long, n_tokens long, root binary, crc long")
 
 
 def verify_shards(spark: SparkSession, path: str) -> None:
@@ -361,15 +354,15 @@ def verify_shards(spark: SparkSession, path: str) -> None:
 
 def _rebuild(batches):
     for batch in batches:
-        ids = [[int(i) for p in parts for i in unpack(p["data"], p["n"])] for parts in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], ["id", "ids"])
+        ids = [[int(i) for p in parts for i in unpack(p["data"], p["n"])] for parts in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64()))], ["id", "row", "ids"])
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(id, ids) of every document, put together from the stored chunks."""
+    """(id, row, ids) of every document, put together from the stored chunks."""
     chunks = spark.read.parquet(f"{path}/chunks").select("name", "data")
-    parts = spark.read.parquet(f"{path}/recipes").join(chunks, "name").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "data"))).alias("parts"))
-    return parts.mapInArrow(_rebuild, "id long, ids array<bigint>")
+    parts = spark.read.parquet(f"{path}/recipes").join(chunks, "name").groupBy("id", "row").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "data"))).alias("parts"))
+    return parts.mapInArrow(_rebuild, "id long, row long, ids array<bigint>")
 
 
 def op1_token_store(spark, sf_dir):
