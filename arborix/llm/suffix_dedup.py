@@ -10,14 +10,16 @@ k-mers at equal offsets. Consecutive starts of one k-mer are a run. Runs are com
    by refining their interleave: a pass sorts it stably by the symbols before its suffixes, so it is
    ordered by one symbol more; no suffixes of the union are sorted. The passes carry the common prefixes along;
    after length / BLOCK passes suffixes that share `length` bytes are one interval, and intervals of two or more are repeats.
-3. A k-mer with more than HOT different texts would not fit a task: the hashes of its strings are dealt into as many
-   buckets as it takes, and equal ones are found in each.
+3. A k-mer with more than HOT different texts would not fit a task: the digests of its strings are dealt into as many
+   buckets as it takes, and equal ones are found in each. A bucket is read as a stream, of which a task keeps the different digests.
 
-Ids must be unique; positions are bytes of the UTF-8 text.
+Texts and strings of hot k-mers are equal if their 128-bit BLAKE2b digests are; the others are compared as symbols. Runs whose
+text is among the FREQUENT most frequent ones are marked by a broadcast of that many digests, so no task gets all of them.
 
-Defined cases: null is the empty text; texts shorter than `length` are kept whole; rows that repeat an id
-count as documents of their own, and what is found in any is removed from each; a null id is kept whole and gives no
-repeats; an empty table gives an empty result; further columns are ignored.
+Positions are bytes of the UTF-8 text.
+
+Defined cases: null is the empty text; texts shorter than `length` are kept whole; every row is a document of its own, whether
+its id is null, or repeats with the same or another text; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ from .common import as_bytes, small_batches, table, written
 
 LENGTH, KMER, BLOCK = 400, 32, 100
 SHARDS, BUNDLE, HOT = 4, 1 << 20, 2000
+#: Bytes of text that are hashed at once; positions in so many, and one text more, fit POSITION_BITS.
+PORTION, POSITION_BITS = 4 << 20, 24
+#: The number of run texts that are broadcast, and how often each occurs at least.
+FREQUENT, OFTEN = 10_000, 1000
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -58,23 +64,24 @@ def _hashes(data, size: int):
         return out ^ (out >> np.uint64(32))
 
 
-def find_runs(texts: list[bytes], length: int = LENGTH, kmer: int = KMER):
-    """Yields (row, first start, last start, k-mer hash as a signed long, text of the run)."""
+def find_runs(texts: list[bytes], length: int = LENGTH, kmer: int = KMER, portion: int = PORTION):
+    """Yields (row, first start, last start, k-mer hash as a signed long, text of the run).
+
+    Longer texts are taken in portions that overlap by length - 1 bytes, so that all starts are hashed alike.
+    """
     import numpy as np
 
-    long = [(r, t) for r, t in enumerate(texts) if len(t) >= length]
-    begin = 0
+    long = [(r, o, t[o : o + portion + length - 1] if len(t) > portion else t) for r, t in enumerate(texts) for o in range(0, len(t) - length + 1, portion)]
+    begin, low = 0, np.uint64((1 << POSITION_BITS) - 1)
     while begin < len(long):
         some, size = [], 0
-        while begin < len(long) and (not some or size < 4 << 20):
+        while begin < len(long) and (not some or size < portion):
             some.append(long[begin])
-            size += len(long[begin][1])
+            size += len(long[begin][2])
             begin += 1
-        joined = b"".join(t for _, t in some)
+        joined = b"".join(t for _, _, t in some)
         data = np.frombuffer(joined, np.uint8)
         hashes = _hashes(data, kmer)
-        bits = max(24, int(len(hashes)).bit_length())
-        low = np.uint64((1 << bits) - 1)
         least = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
         wide, n = length - kmer + 1, 1
         while 2 * n <= wide:
@@ -84,13 +91,13 @@ def find_runs(texts: list[bytes], length: int = LENGTH, kmer: int = KMER):
             least = np.minimum(least[: len(least) - (wide - n)], least[wide - n :])
         where = (least & low).astype(np.int64)
         at = 0
-        for row, t in some:
+        for row, offset, t in some:
             starts = where[at : at + len(t) - length + 1]
             cuts = np.flatnonzero(starts[1:] != starts[:-1]) + 1
             first = [0, *cuts.tolist()]
             last = [*(cuts - 1).tolist(), len(starts) - 1]
             for a, z in zip(first, last):
-                yield row, a, z, int(hashes[starts[a]].astype(np.int64)), t[a : z + length]
+                yield row, a + offset, z + offset, int(hashes[starts[a]].astype(np.int64)), t[a : z + length]
             at += len(t)
 
 
@@ -104,7 +111,8 @@ def _runs(length: int):
                 z.append(last)
                 h.append(key)
                 d.append(hashlib.blake2b(text, digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(h, pa.int64()), pa.array(d, pa.binary())], ["id", "a", "z", "h", "d"])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(h, pa.int64()), pa.array(d, pa.binary())], ["id", "v", "a", "z", "h", "d"])
 
     return run
 
@@ -221,53 +229,56 @@ def _contested(length: int):
 
 
 def _windows(length: int, hot: int):
-    """The starts and hashes of a text's strings, one row for each bucket of its k-mer."""
+    """The starts and digests of a text's strings, one row for each bucket of its k-mer that it has some in."""
 
     def run(batches):
-        import numpy as np
+        from collections import defaultdict
 
         for batch in batches:
-            rows, buckets, starts, keys = [], [], [], []
+            rows, buckets, starts, digests = [], [], [], []
             for r, (t, texts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                w = _hashes(np.frombuffer(t, np.uint8), length)
-                n = min(LENGTH, 1 + 2 * texts // hot)
-                of = (w % np.uint64(n)).astype(np.int64)
-                for b in np.unique(of).tolist():
-                    s = np.flatnonzero(of == b)
+                n, of = 1 + 2 * texts // hot, defaultdict(list)
+                for s in range(len(t) - length + 1):
+                    w = hashlib.blake2b(t[s : s + length], digest_size=16).digest()
+                    of[int.from_bytes(w[:8], "little") % n].append((s, w))
+                for b, found in of.items():
                     rows.append(r)
                     buckets.append(b)
-                    starts.append(s)
-                    keys.append(w[s].view(np.int64))
+                    starts.append([s for s, _ in found])
+                    digests.append(b"".join(w for _, w in found))
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(buckets, pa.int32()), batch.column(1).take(at), pa.array(starts, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], ["h", "b", "d", "s", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(buckets, pa.int64()), batch.column(1).take(at), pa.array(starts, pa.list_(pa.int32())), pa.array(digests, pa.binary())], ["h", "b", "d", "s", "w"])
 
     return run
 
 
 def _equal_windows(batches):
-    """Starts whose hash occurs twice in a bucket; rows come in the order of (h, b)."""
-    import numpy as np
-
+    """Starts whose digest occurs twice in a bucket; rows come in the order of (h, b)."""
     kind = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
-
-    def solve():
-        w = np.concatenate([np.asarray(x[4]) for x in held])
-        _, which, n = np.unique(w, return_inverse=True, return_counts=True)
-        often, at, found = n[which] > 1, 0, []
-        for x in held:
-            found.append(intervals([s for s, o in zip(x[3], often[at : at + len(x[3])].tolist()) if o]))
-            at += len(x[3])
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.binary()), pa.array(found, kind)], ["h", "d", "spans"])
-
-    held: list = []
+    now, seen = None, {}  # digest -> its first place, until that is handed on too
     for batch in batches:
-        for x in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and x[:2] != held[-1][:2]:
-                yield solve()
-                held = []
-            held.append(x)
-    if held:
-        yield solve()
+        hs, ds, found = [], [], []
+        for h, b, d, starts, w in zip(*(c.to_pylist() for c in batch.columns)):
+            if (h, b) != now:
+                now, seen = (h, b), {}
+            again = []
+            for k, s in enumerate(starts):
+                x = w[16 * k : 16 * k + 16]
+                if x not in seen:
+                    seen[x] = (d, s)
+                    continue
+                again.append(s)
+                if seen[x]:
+                    first, at = seen[x]
+                    seen[x] = None
+                    hs.append(h)
+                    ds.append(first)
+                    found.append([{"a": at, "z": at}])
+            if again:
+                hs.append(h)
+                ds.append(d)
+                found.append(intervals(again))
+        yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ds, pa.binary()), pa.array(found, kind)], ["h", "d", "spans"])
 
 
 def _texts(length: int):
@@ -318,24 +329,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """One row per document: id, n_bytes, n_removed, spans (removed byte ranges), kept_sha256, kept (the remaining bytes)."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("t"))
-    runs = written(texts.where("id IS NOT NULL").mapInArrow(_runs(length), f"id {kind}, a int, z int, h long, d binary"), "runs")
+    texts = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("t"), F.xxhash64(as_bytes(text_col)).alias("v"))
+    runs = written(texts.mapInArrow(_runs(length), f"id {kind}, v long, a int, z int, h long, d binary"), "runs")
     # one row for each text of a k-mer; how many different ones the k-mer has decides how it goes on
-    kinds = written(runs.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("id", "a", "z")).alias("one")), "runkinds")
+    kinds = written(runs.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("id", "v", "a", "z")).alias("one")), "runkinds")
     several = kinds.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1")
     contested = kinds.join(several, "h").select("h", "d", "one", "texts")
-    wanted = contested.groupBy(F.col("one.id").alias("id")).agg(F.collect_list(F.struct("h", "d", F.col("one.a").alias("a"), F.col("one.z").alias("z"))).alias("runs"))
-    cut = texts.join(wanted, "id").select("t", "runs").mapInArrow(_texts(length), "h long, d binary, t binary").dropDuplicates(["h", "d"])
+    wanted = contested.groupBy(F.col("one.id").alias("id2"), F.col("one.v").alias("v2")).agg(F.collect_list(F.struct("h", "d", F.col("one.a").alias("a"), F.col("one.z").alias("z"))).alias("runs"))
+    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("v") == F.col("v2"))
+    cut = texts.join(wanted, same).select("t", "runs").mapInArrow(_texts(length), "h long, d binary, t binary").dropDuplicates(["h", "d"])
     cut = written(cut.join(several.where(F.col("texts") > hot).select("h", "texts"), "h", "left"), "contested")
     by_bwt = cut.where("texts IS NULL").select("h", "d", "t").repartition("h").sortWithinPartitions("h", "d").mapInArrow(_contested(length), f"h long, d binary, spans {_SPANS}")
-    windows = cut.where("texts IS NOT NULL").select("h", "d", "t", "texts").mapInArrow(_windows(length, hot), "h long, b int, d binary, s array<int>, w array<long>")
+    windows = cut.where("texts IS NOT NULL").select("h", "d", "t", "texts").mapInArrow(_windows(length, hot), "h long, b long, d binary, s array<int>, w binary")
     by_count = windows.repartition("h", "b").sortWithinPartitions("h", "b").mapInArrow(_equal_windows, f"h long, d binary, spans {_SPANS}")
-    found = by_bwt.unionByName(by_count).where(F.size("spans") > 0)
+    found = by_bwt.unionByName(by_count).where(F.size("spans") > 0).groupBy("h", "d").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     # a run whose text occurs again is a repeat from end to end
-    whole = runs.join(kinds.where("n > 1").select("h", "d"), ["h", "d"], "left_semi").select("id", F.array(F.struct("a", "z")).alias("spans"))
-    single = runs.join(kinds.where("n = 1").select("h", "d").join(found, ["h", "d"]), ["h", "d"]).select("id", F.expr("transform(spans, s -> struct(s.a + a AS a, s.z + a AS z))").alias("spans"))
-    spans = whole.unionByName(single).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    out = texts.join(spans, "id", "left").mapInArrow(_cut(length), f"id {kind}, n_bytes long, n_removed long, spans array<struct<a:long,z:long>>, kept_sha256 string, kept binary")
+    often = written(kinds.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h", "d").limit(FREQUENT).select("h", "d", F.lit(True).alias("often")), "often")
+    marked = runs.join(F.broadcast(often), ["h", "d"], "left")
+    itself = F.array(F.struct("a", "z")).alias("spans")
+    whole = marked.where("often").select("id", "v", itself)
+    rare = marked.where("often IS NULL").join(kinds.where(F.col("n") < OFTEN).select("h", "d", "n").unionByName(kinds.where(F.col("n") >= OFTEN).select("h", "d", "n").join(often.select("h", "d"), ["h", "d"], "left_anti")).join(found, ["h", "d"], "left").where("n > 1 OR spans IS NOT NULL"), ["h", "d"])
+    moved = F.when(F.col("n") > 1, F.array(F.struct("a", "z"))).otherwise(F.expr("transform(spans, s -> struct(s.a + a AS a, s.z + a AS z))"))
+    spans = whole.unionByName(rare.select("id", "v", moved.alias("spans"))).groupBy(F.col("id").alias("id2"), F.col("v").alias("v2")).agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    out = texts.join(spans, same, "left").select("id", "t", "spans").mapInArrow(_cut(length), f"id {kind}, n_bytes long, n_removed long, spans array<struct<a:long,z:long>>, kept_sha256 string, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -215,13 +215,35 @@ def test_suffix_dedup_made_up(spark, hot):
     assert got == dict(enumerate(removed(made)))
 
 
-def test_suffix_dedup_odd_inputs(odd, empty):
-    got = suffix_dedup.remove_repeats(odd).collect()
-    assert len(got) == odd.count()
-    assert {r.n_removed for r in got if r.doc_id == 8} == {5000} and all(r.n_removed == 0 for r in got if r.doc_id is None)
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_suffix_dedup_odd_inputs(spark, odd, empty, hot):
+    """Every row is a document, whatever its id: also ids that are null or repeat with the same or another text."""
+    shared, draw = "shared passage " * 40, __import__("random").Random(1)
+    own = lambda: "".join(draw.choice("abcdefgh ") for _ in range(600))
+    data = [(1, shared), (1, own()), (1, own() + shared), (None, own()), (None, own() + shared), (None, "z" * 900), (2, shared), (3, "again " * 100), (3, "again " * 100)]
+    more = spark.createDataFrame(data, "doc_id long, text string")
+    rows = odd.select("doc_id", "text").unionByName(more).collect()
+    df = odd.unionByName(more, allowMissingColumns=True)
+    want = removed([(r.text or "").encode() for r in rows])
+    got = suffix_dedup.remove_repeats(df, hot=hot).collect()
+    assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256)) for r in got) == sorted(str((r.doc_id, *w)) for r, w in zip(rows, want))
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_frequent_runs_and_portions(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "OFTEN", 3)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 1)
+    draw = __import__("random").Random(3)
+    word = lambda n: bytes(draw.choice(b"abcdef ") for _ in range(n))
+    base = [word(700), word(500)]
+    made = [word(50) + base[k % 2] + word(30) for k in range(12)] + [base[0], base[0], base[0] + base[1]]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(made)], "doc_id long, text string")
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()} == dict(enumerate(removed(made)))
+    text = word(20_000)
+    starts = lambda portion: sorted((s, h) for _, a, z, h, _ in suffix_dedup.find_runs([b"x" * 10, text], 400, portion=portion) for s in range(a, z + 1))
+    assert starts(1 << 22) == starts(3000) and len(starts(3000)) == len(text) - 399
+
+
 # -- 5
 
 def simhashes(texts, size):
