@@ -1,12 +1,14 @@
 """SimHash near-duplicates by multi-index hashing.
 
 Fingerprints come from word shingles; a bit is set if it is set in over half of the shingle hashes. Only
-distinct fingerprints are linked. The 64 bits are cut into segments; within each segment a Hamming ball
-of radius 1 is enumerated, the rest of the fingerprint being kept, and the ball's elements are the
-keys of that segment's table. Two fingerprints at distance 2 or less meet at a key (the one in the middle),
-and at most 65 distinct fingerprints can meet at one, so no key is hot and no group's
-pairs are listed: neighbours in key order are linked after their complete distance is verified, which links all
-of the key. Documents then get the smallest id of their fingerprint's connected component.
+distinct fingerprints are linked. The 64 bits are cut into segments, each with a table keyed by the segment's value.
+Of two fingerprints within the radius some segment differs by radius / segments bits at most, so each looks up a Hamming ball of that radius around its
+value in every table, and what it meets is verified by the complete distance. Of two values one bit apart only the one with an odd number of
+set bits looks the other up.
+
+A value that very many fingerprints have is split: there the rest of a fingerprint is the key, with one bit flipped or none, on both sides.
+Two that are within the radius meet at the rest in the middle, and at most 65 fingerprints can meet at one, so no key is hot.
+Documents then get the smallest id of their fingerprint's connected component.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; texts shorter than a
 shingle give one shingle of all their words; repeated rows give repeated results; a null id is a row of its own that gets the
@@ -21,12 +23,13 @@ from itertools import repeat
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
 from .common import as_bytes, small_batches, table, written
 
-SEGMENTS = 4
+SEGMENTS = 2
+#: Fingerprints with one value of a segment beyond which its table is split.
+CROWD = 1000
 SEED = 42
 
 
@@ -59,21 +62,30 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("t")).mapInArrow(_fingerprints(shingle), f"id {kind}, fp long")
 
 
-def links(prints: DataFrame, radius: int = 2, segments: int = SEGMENTS) -> DataFrame:
+def links(prints: DataFrame, radius: int = 2, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
     """(u, v): verified links between distinct fingerprints; their components are those of all pairs within the radius."""
-    if radius not in (1, 2):
-        raise ValueError("radius 1 or 2")
+    if radius not in (1, 2) or segments < 2 or 64 % segments:
+        raise ValueError("radius 1 or 2, and segments that divide the 64 bits")
     width = 64 // segments
+    near = radius // segments  # differing bits of the segment that differs least
     whole = prints.select("fp").where("fp IS NOT NULL").distinct()
-    if radius == 1:  # the middle of a pair is one of its ends
-        near = F.expr(f"transform(sequence(0, 63), i -> struct(i div {width} AS seg, fp ^ shiftleft(1L, i) AS key, true AS probe))")
-        keys = whole.select("fp", F.explode(near).alias("k")).select("fp", "k.*")
-        return keys.join(whole.withColumnRenamed("fp", "key"), "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("key"))) <= 1).select(F.col("fp").alias("u"), F.col("key").alias("v"))
-    # one ball for each segment; its centre, the fingerprint itself, is the same key in all segments and is put in once
-    balls = F.flatten(F.array(F.array(F.col("fp")), *(F.expr(f"transform(sequence({s * width}, {(s + 1) * width - 1}), i -> fp ^ shiftleft(1L, i))") for s in range(segments))))
-    keys = whole.select("fp", F.explode(balls).alias("key"))
-    met = keys.withColumn("v", F.lag("fp").over(Window.partitionBy("key").orderBy("fp"))).where("v IS NOT NULL")
-    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= radius).select(F.col("fp").alias("u"), "v").distinct()
+    bits = "-1L" if width == 64 else f"{(1 << width) - 1}L"
+    value = F.expr(f"transform(sequence(0, {segments - 1}), s -> struct(s AS seg, shiftrightunsigned(fp, s * {width}) & {bits} AS value))")
+    tables = whole.select("fp", F.explode(value).alias("t")).select("fp", "t.*")
+    crowded = tables.groupBy("seg", "value").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("seg", "value", F.lit(True).alias("split"))
+    stored = tables.join(crowded, ["seg", "value"], "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    # the fingerprint outside of the segment, as it is and with each bit flipped
+    rest = f"fp & ~shiftleft({bits}, seg * {width})"
+    flips = f"transform(filter(sequence(0, 63), i -> i div {width} <> seg), i -> ({rest}) ^ shiftleft(1L, i))"
+    by_rest = F.explode(F.expr(f"IF(split, concat(array({rest}), {flips}), array(0L))")).alias("rest")
+    ball = "array(value)"
+    if near:
+        ball = f"IF(bit_count(value) % 2 = 1, concat(array(value), transform(sequence(0, {width - 1}), i -> value ^ shiftleft(1L, i))), array(value))"
+    probes = tables.select("fp", "seg", F.explode(F.expr(ball)).alias("value")).join(crowded, ["seg", "value"], "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    left = probes.select(F.col("fp").alias("u"), "seg", "value", "split", by_rest)
+    right = stored.select(F.col("fp").alias("v"), "seg", "value", "split", by_rest)
+    met = left.join(right, ["seg", "value", "split", "rest"]).where("u <> v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

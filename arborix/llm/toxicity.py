@@ -1,14 +1,16 @@
-"""Toxicity by two class-conditional Kneser-Ney models over expressions.
+"""Toxicity by two class-conditional Kneser-Ney models of word pairs.
 
-Each class has discounted counts of expressions (words, counted once a text); what is discounted, and all
-rare expressions, back off to counts that the classes share. A text's score compares its toxic and ordinary log-likelihoods,
-normalised by a power of its length: evidence sits in few words, so the square root keeps long texts
-comparable with short ones. Expressions whose class estimates differ by little are pruned to the
-shared counts, as in entropy pruning; how much, and the threshold, are chosen on a fold of the training rows
-that the counts leave out.
+Each class estimates a word after another from its discounted pair counts; what is discounted falls back to the word's
+continuation counts in the class (after how many different words it came), and what is discounted there to those that the classes share.
+So a rare expression, or one seen in a single wording, takes the shared estimate. A text counts an expression once.
 
-The join with labels, whose number has no bound, always shuffles training texts by id; counts are summed in tasks before they are shuffled. The model
-that is broadcast holds the class-specific expressions that are left, ENTRIES at most.
+A text's score compares its toxic and ordinary log-likelihoods, normalised by a power of its length: evidence sits in few words,
+so the square root keeps long texts comparable with short ones. Expressions whose counts do not differ between the
+classes by more than chance, by the likelihood-ratio statistic G2, are pruned: a pair to its word and a word to the shared estimate, which
+favours no class. How much is pruned, and the threshold, are chosen on a fold of the training rows that the counts leave out.
+
+The models are fitted on TRAIN_ROWS labelled rows at most, those of the smallest hashes of their ids; so the ids that are broadcast to the
+texts have a bound, and so has what is left of the counts after pruning. Everything else reads all rows and whole texts.
 
 Defined cases: null and empty texts have no evidence and a score below 0.5; labels that are null are left out and of repeated ones the larger counts; with one class only, or no labels, every score is 0; repeated
 rows get repeated results; further columns are ignored.
@@ -23,27 +25,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, crc_mod, small_batches, table, without, written
-from .words import word_counts, words_of
+from .words import FLUSH, words_of
 
-DISCOUNT, LEAST, POWER, ENTRIES = 0.75, 5, 0.5, 100_000
-#: Shares of the largest log ratio that one expression can have, below which it is pruned.
-PRUNE = (0.3, 0.6, 0.85)
+#: Labelled rows that the models and the threshold are fitted on, at most.
+TRAIN_ROWS = 50_000
+DISCOUNT, POWER = 0.75, 0.5
+#: Values of G2 below which an expression is pruned; one is chosen.
+PRUNE = (12.0, 16.0, 20.0, 30.0)
 STEP = 0.02
 
 
-def train(labelled: DataFrame, discount: float = DISCOUNT, least: int = LEAST, entries: int = ENTRIES) -> dict | None:
-    """labelled(text, label 0/1) -> {word: log ratio}, or None if a class is missing."""
-    counts = written(word_counts(labelled, once=True).groupBy("word").agg(*(F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in "01")), "classcounts")
-    n0, n1, k0, k1 = counts.agg(F.sum("n0"), F.sum("n1"), F.expr("count_if(n0 > 0)"), F.expr("count_if(n1 > 0)")).first()
-    if not n0 or not n1:
+def pairs_of(words: list[str]) -> set[tuple[str, str]]:
+    """Each word with the one before it, the empty one at the start."""
+    return set(zip(["", *words], words))
+
+
+def _count(batches):
+    """(label, u, w, n): in how many texts a word w stands, with u null, and stands after u."""
+    from collections import Counter
+
+    def out():
+        keys = [(c, k) for c in counts for k in counts[c]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([c for c, _ in keys], pa.int32()), pa.array([k[0] for _, k in keys], pa.string()), pa.array([k[1] for _, k in keys], pa.string()), pa.array([counts[c][k] for c, k in keys], pa.int64())], ["label", "u", "w", "n"]
+        )
+
+    counts: dict[int, Counter] = {}
+    for batch in batches:
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = words_of(text)
+            counts.setdefault(label, Counter()).update([*pairs_of(found), *((None, w) for w in set(found))])
+        if sum(map(len, counts.values())) > 2 * FLUSH:
+            yield out()
+            counts.clear()
+    yield out()
+
+
+def _g2(a: str, b: str, texts: tuple[int, int]) -> F.Column:
+    """The likelihood-ratio statistic of an expression that a of the ordinary and b of the toxic texts have."""
+    n0, n1 = map(float, texts)
+    both = (F.col(a) + F.col(b)) / (n0 + n1)
+    part = lambda x, n, q: F.when(x > 0, x * F.log(x / n / q)).otherwise(0.0)
+    terms = (part(F.col(c), n, both) + part(n - F.col(c), n, 1 - both) for c, n in ((a, n0), (b, n1)))
+    return 2 * sum(terms, F.lit(0.0))
+
+
+def train(labelled: DataFrame, discount: float = DISCOUNT, least: float = min(PRUNE)) -> dict | None:
+    """labelled(text, label 0/1) -> {"words": {w: (log ratio, G2)}, "pairs": {(u, w): ...}}, or None if a class is missing."""
+    small_batches(labelled.sparkSession)
+    rows = labelled.select("text", F.col("label").cast("int").alias("label")).where("label IN (0, 1)")
+    texts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(texts) < 2:
+        return None
+    texts = (texts[0], texts[1])
+    sums = rows.mapInArrow(_count, "label int, u string, w string, n long").groupBy("u", "w").agg(*(F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in (0, 1)))
+    counts = written(sums, "classcounts")
+    pairs = counts.where("u IS NOT NULL")
+    continued = written(pairs.groupBy("w").agg(*(F.count_if(F.col(f"n{c}") > 0).alias(f"k{c}") for c in (0, 1)), F.count("*").alias("k")), "continued")
+    k0, k1, k, t0, t1 = continued.agg(F.sum("k0"), F.sum("k1"), F.sum("k"), F.count_if(F.col("k0") > 0), F.count_if(F.col("k1") > 0)).first()
+    if not k0 or not k1:
         return None
-    back = (discount * k0 / n0, discount * k1 / n1)  # what each class leaves to the shared counts
-    shared = (F.col("n0") + F.col("n1")) / float(n0 + n1)
-    p0, p1 = (F.greatest(F.col(f"n{c}") - discount, F.lit(0.0)) / float(n) + back[c] * shared for c, n in ((0, n0), (1, n1)))
-    largest = max(math.log(((n0 + n1) / n1 + back[1]) / back[0]), math.log(((n0 + n1) / n0 + back[0]) / back[1]))
-    kept = counts.where(F.col("n0") + F.col("n1") >= least).withColumn("r", F.log(p1 / p0))
-    kept = kept.withColumn("share", F.abs("r") / largest).where(F.col("share") >= min(PRUNE))
-    return {r.word: (r.r, r.share) for r in kept.orderBy(F.desc("share"), "word").limit(entries).select("word", "r", "share").collect()}
+    lower = lambda c, total, types: F.greatest(F.col(f"k{c}") - discount, F.lit(0.0)) / float(total) + discount * types / total * F.col("k") / float(k)
+    words = continued.select("w", lower(0, k0, t0).alias("p0"), lower(1, k1, t1).alias("p1"))
+    g2 = _g2("n0", "n1", texts).alias("g2")
+    one = counts.where("u IS NULL").select("w", g2).where(F.col("g2") >= least).join(words, "w").select("w", F.log(F.col("p1") / F.col("p0")).alias("r"), "g2")
+    after = pairs.groupBy("u").agg(*(f for c in (0, 1) for f in (F.sum(f"n{c}").alias(f"c{c}"), F.count_if(F.col(f"n{c}") > 0).alias(f"f{c}"))))
+    two = pairs.select("u", "w", "n0", "n1", g2).where(F.col("g2") >= least).join(words, "w").join(after, "u")
+    higher = lambda c: F.when(F.col(f"c{c}") == 0, F.col(f"p{c}")).otherwise((F.greatest(F.col(f"n{c}") - discount, F.lit(0.0)) + discount * F.col(f"f{c}") * F.col(f"p{c}")) / F.col(f"c{c}"))
+    two = two.select("u", "w", F.log(higher(1) / higher(0)).alias("r"), "g2")
+    return {"words": {r.w: (r.r, r.g2) for r in one.collect()}, "pairs": {(r.u, r.w): (r.r, r.g2) for r in two.collect()}}
+
+
+def evidence(model: dict, words: list[str], prune: tuple[float, ...] = PRUNE) -> list[float]:
+    """Log-likelihood ratio of a text's words for each amount of pruning."""
+    single, pairs = model["words"], model["pairs"]
+    out = [0.0] * len(prune)
+    for i in [i for i, w in enumerate(words) if w in model["heads"]]:
+        tries = [x for x in (pairs.get((words[i - 1] if i else "", words[i])), single.get(words[i])) if x]
+        for k, least in enumerate(prune):
+            for r, g2 in tries:
+                if g2 >= least:
+                    out[k] += r
+                    break
+    return out
 
 
 def _compare(shared, power: float):
@@ -53,9 +117,8 @@ def _compare(shared, power: float):
             out = []
             for text in batch.column(1).to_pylist():
                 found = words_of(text)
-                hit = [v for w in found if (v := model.get(w))]
                 long = max(1, len(found)) ** power
-                out.append([sum(r for r, share in hit if share >= least) / long for least in PRUNE])
+                out.append([x / long for x in evidence(model, found)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.float64()))], ["id", "v", "ratio"])
 
     return run
@@ -67,6 +130,7 @@ def ratios(docs: DataFrame, model: dict, power: float = POWER, id_col: str = "do
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(as_bytes(text_col)).alias("v"))
+    model = model | {"heads": frozenset(model["words"]) | {w for _, w in model["pairs"]}}
     return rows.mapInArrow(_compare(spark.sparkContext.broadcast(model), power), f"id {kind}, v long, ratio array<double>")
 
 
@@ -92,18 +156,18 @@ def calibrate(judged: DataFrame) -> tuple[int, float, float]:
     return best[1:]
 
 
-def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """toxicity with _text, the text's hash."""
     fold = crc_mod(id_col, folds)
-    known = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("label"))
-    join = lambda rows, least, most, key: rows.join(known.where(crc_mod("_id", folds).between(least, most)).hint("merge"), F.col(key) == F.col("_id"))
+    known = labels.where("toxic IS NOT NULL").where(crc_mod("doc_id", folds) > 0).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("label"))
+    known = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(train_rows))
     texts = docs.select(id_col, F.col(text_col).alias("text")).where(fold >= 2)
-    model = train(join(texts, 2, folds - 1, id_col).select("text", "label"))
+    model = train(texts.join(known, F.col(id_col) == F.col("_id")).select("text", "label"))
     held = F.coalesce(fold == 0, F.lit(False)).alias("held_out")
     if model is None:
         return docs.select(id_col, F.xxhash64(as_bytes(text_col)).alias("_text"), held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     all_rows = written(ratios(docs, model, POWER, id_col, text_col).withColumnsRenamed({"id": id_col, "v": "_text"}), "toxicity")
-    k, at, slope = calibrate(join(all_rows, 1, 1, id_col).select("ratio", "label"))
+    k, at, slope = calibrate(all_rows.where(fold == 1).join(known, F.col(id_col) == F.col("_id")).select("ratio", "label"))
     score = 1 / (1 + F.exp(-slope * (F.col("ratio")[k] - at)))
     return all_rows.select(id_col, "_text", held, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
