@@ -1,9 +1,9 @@
 """Language identification by words first, backing off to ever shorter character n-grams.
 
 A known word adds its log frequency in each language. An unseen word adds the mean over its
-longest n-grams that are known, from 5 characters down to 1, word ends included. Counts come
-from all training rows; the model keeps the most frequent words and n-grams, by documented bounds, so what is
-broadcast does not grow with the corpus.
+longest n-grams that are known, from 5 characters down to 1, word ends included. Words and n-grams are counted over all words of
+all training rows. Of each language the model keeps its own most frequent ones, so that a large language does not squeeze out a
+small one, by bounds that are parameters; what is broadcast does not grow with the corpus.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; if nothing was learned all are `und`; ties go to the first
 language in alphabetical order; repeated rows count as often as they occur; further columns are ignored.
@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, table
-from .words import word_counts, words_of
+from .common import crc_mod, small_batches, table, written
+from .words import FLUSH, word_counts, words_of
 
-#: Bounds of the model and the least count of a word.
+#: Bounds of the model over all languages, dealt out evenly, the least count of a word, and the longest n-gram.
 WORDS, GRAMS, LEAST, LONGEST = 100_000, 200_000, 2, 5
 CACHE = 300_000
 
@@ -30,34 +30,59 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+def _count_grams(longest: int):
+    def run(batches):
+        from collections import Counter
+
+        def out():
+            keys = [(c, g) for c in counts for g in counts[c]]
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in keys], pa.string()), pa.array([g for _, g in keys], pa.string()), pa.array([counts[c][g] for c, g in keys], pa.int64())], ["label", "word", "n"])
+
+        counts: dict[str, Counter] = {}
+        for batch in batches:
+            for label, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                of = counts.setdefault(label, Counter())
+                for k in range(1, longest + 1):
+                    for g in grams(word, k):
+                        of[g] += n
+            if sum(map(len, counts.values())) > FLUSH:
+                yield out()
+                counts.clear()
+        yield out()
+
+    return run
+
+
+def _most_frequent(counts: DataFrame, langs: list[str], size: int, least: int) -> dict[str, list[int]]:
+    """{word: its count in each language} of each language's most frequent words of counts(label, word, n); size bounds them all together."""
+    each = max(1, size // len(langs))
+    tops = [counts.where((F.col("label") == c) & (F.col("n") >= least)).orderBy(F.desc("n"), "word").limit(each).select("word") for c in langs]
+    chosen = tops[0]
+    for t in tops[1:]:
+        chosen = chosen.unionByName(t)
+    at, out = {c: i for i, c in enumerate(langs)}, {}
+    for r in counts.join(F.broadcast(chosen.distinct()), "word", "left_semi").collect():  # at most `size` words
+        out.setdefault(r.word, [0] * len(langs))[at[r.label]] += r.n
+    return out
+
+
 def train(labelled: DataFrame, words: int = WORDS, max_grams: int = GRAMS, least: int = LEAST, longest: int = LONGEST) -> dict:
     """labelled(text, label) -> model."""
-    counts = word_counts(labelled)
+    counts = written(word_counts(labelled), "wordcounts")
     langs = sorted(r.label for r in counts.select("label").distinct().collect())
     if not langs:
         return {"langs": [], "words": {}, "grams": {}}
-    wide = counts.groupBy("word").pivot("label", langs).agg(F.sum("n")).na.fill(0, langs)
-    total = sum((F.col(f"`{c}`") for c in langs), F.lit(0))
-    wide = wide.withColumn("_all", total).where(F.col("_all") >= least).orderBy(F.desc("_all"), "word").limit(words)
-    rows = [(r["word"], [r[c] for c in langs]) for r in wide.collect()]
-    by_gram: dict[str, list[int]] = {}
-    for w, c in rows:
-        for n in range(1, longest + 1):
-            for g in grams(w, n):
-                old = by_gram.setdefault(g, [0] * len(langs))
-                for i, x in enumerate(c):
-                    old[i] += x
-    kept = sorted(by_gram.items(), key=lambda kv: (-sum(kv[1]), kv[0]))[:max_grams]
-
-    def logs(pairs):
-        pairs = list(pairs)
-        sums = [sum(c[i] for _, c in pairs) + 0.5 * len(pairs) for i in range(len(langs))]
-        return {k: [math.log((x + 0.5) / s) for x, s in zip(c, sums)] for k, c in pairs}
-
-    table_of: dict[str, list[float]] = {}
+    by_gram = counts.select("label", "word", "n").mapInArrow(_count_grams(longest), "label string, word string, n long").groupBy("label", "word").agg(F.sum("n").alias("n"))
+    by_gram = written(by_gram, "gramcounts")
+
+    def logs(kept):
+        sums = [sum(c[i] for c in kept.values()) + 0.5 * len(kept) for i in range(len(langs))]
+        return {k: [math.log((x + 0.5) / s) for x, s in zip(c, sums)] for k, c in kept.items()}
+
+    kept, table_of = _most_frequent(by_gram, langs, max_grams, 1), {}
     for n in range(1, longest + 1):
-        table_of |= logs((k, c) for k, c in kept if len(k) == n)
-    return {"langs": langs, "words": logs(rows), "grams": table_of, "longest": longest}
+        table_of |= logs({k: c for k, c in kept.items() if len(k) == n})
+    return {"langs": langs, "words": logs(_most_frequent(counts, langs, words, least)), "grams": table_of, "longest": longest}
 
 
 def word_score(model: dict, word: str) -> list[float]:

@@ -1,14 +1,14 @@
-"""URL filtering by a sorted array of xxhash keys.
+"""URL filtering by sorted arrays of xxhash keys.
 
 List entries are (host, path, verdict): rules that allow or block, and listed hosts, which are blocked where no
-rule fits. Their 64-bit keys are sorted into one array, with the
+rule fits. Their 64-bit keys are sorted into an array, with the
 entries themselves beside it in the same order. The file is handed to every executor once and memory-mapped. A
 batch of URLs is cut into all (host suffix, path prefix) candidates that some entry could equal by its lengths; their
 keys are looked up by one vectorised binary search, and what is found is compared with the stored string, so a
 colliding key decides nothing. The longest rule that fits wins.
 
-A list over MAX_BYTES is not handed out: it is cut into parts by the hash of its hosts, each is probed in
-turn, and the longest rule over all parts wins.
+A list of more than MAX_BYTES becomes several such files, dealt by the hash of its hosts; the driver holds one at a time, tasks map and probe
+them all in one pass over the pages.
 
 Defined cases: a null URL, or one without ://, has empty host and path and fits no entry; a URL that nothing fits is allowed; entries that repeat count once, and of
 those that differ in verdict alone block wins; null entries are left out; repeated rows get repeated
@@ -17,23 +17,23 @@ results; further columns are ignored.
 
 from __future__ import annotations
 
-import os
 import struct
-import tempfile
 
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import new_path, small_batches, table, written
 
 #: The query's rules come first; a host that is on the block list is judged by it where no rule fits.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-BLOCKED_HOSTS = ["spam-farm.example.org", "cheap-pills.example.com"]
+#: Hosts are listed that have one of these between dots or hyphens.
+BLOCKED_TERMS = ["ads", "adult", "bets", "casino", "pills", "spam"]
 BITS = {"allow": 1, "block": 2, "listed": 4}
-#: Bytes of the file that each executor maps.
-MAX_BYTES = 256 << 20
+#: Bytes of one file.
+MAX_BYTES = 32 << 20
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -48,8 +48,8 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.encode().lower().decode(), path
 
 
-def write_array(entries: list[tuple[str, str, str]], path: str) -> None:
-    """One file: header, sorted keys, offsets of the strings in key order, verdicts, lengths that occur, strings."""
+def array_bytes(entries: list[tuple[str, str, str]]) -> bytes:
+    """A file: header, sorted keys, offsets of the strings in key order, shapes that occur, verdicts, strings."""
     import numpy as np
     import xxhash
 
@@ -58,21 +58,15 @@ def write_array(entries: list[tuple[str, str, str]], path: str) -> None:
         s = f"{host}{at}".encode()
         best[s] = best.get(s, 0) | BITS[verdict]
     rows = sorted((xxhash.xxh64_intdigest(s), s, v) for s, v in best.items())
-    strings = b"".join(s for _, s, _ in rows)
     offsets = np.cumsum([0, *(len(s) for _, s, _ in rows)], dtype="<i8")
     # only candidates whose path and host have as many characters and labels as some entry are probed
     shapes = sorted({(host.count(".") + 1, len(at)) for host, at, _ in entries})
-    with open(path, "wb") as f:
-        f.write(struct.pack("<qq", len(rows), len(shapes)))
-        f.write(np.array([k for k, _, _ in rows], "<u8").tobytes())
-        f.write(offsets.astype("<i8").tobytes())
-        f.write(np.array(shapes, "<i8").reshape(-1, 2).tobytes())
-        f.write(bytes(v for _, _, v in rows))
-        f.write(strings)
+    parts = [struct.pack("<qq", len(rows), len(shapes)), np.array([k for k, _, _ in rows], "<u8").tobytes(), offsets.tobytes(), np.array(shapes, "<i8").reshape(-1, 2).tobytes()]
+    return b"".join([*parts, bytes(v for _, _, v in rows), *(s for _, s, _ in rows)])
 
 
 class DigestArray:
-    """A mapped file of write_array()."""
+    """A mapped file of array_bytes()."""
 
     def __init__(self, path: str):
         import numpy as np
@@ -121,31 +115,37 @@ def candidates(host: str, path: str, shapes) -> list[str]:
 _mapped: dict[str, DigestArray] = {}
 
 
-def _judge(name: str):
+def _judge(names: list[str]):
     def run(batches):
         import numpy as np
 
-        if name not in _mapped:
-            _mapped[name] = DigestArray(SparkFiles.get(name))
-        array = _mapped[name]
+        arrays = []
+        for name in names:
+            if name not in _mapped:
+                _mapped[name] = DigestArray(SparkFiles.get(name))
+            arrays.append(_mapped[name])
+        shapes = sorted({s for a in arrays for s in a.shapes})
         for batch in batches:
             split = [split_url(u) for u in batch.column(1).to_pylist()]
             rows, wanted = [], []
             for r, (host, path) in enumerate(split):
                 if host:
-                    for c in candidates(host, path, array.shapes):
+                    for c in candidates(host, path, shapes):
                         rows.append(r)
                         wanted.append(c.encode())
-            found = array.find(wanted)
-            rule, verdict, listed = [None] * len(split), [None] * len(split), [False] * len(split)
-            for j in np.flatnonzero(found >= 0).tolist():
-                r, s, bits = rows[j], wanted[j].decode(), array.verdicts[found[j]]
-                if bits & 4:
-                    listed[r] = True
-                if bits & 3 and (rule[r] is None or len(s) > len(rule[r])):
-                    rule[r], verdict[r] = s, "block" if bits & 2 else "allow"
+            rule, verdict = [None] * len(split), [None] * len(split)
+            listed = [False] * len(split)
+            for array in arrays:
+                found = array.find(wanted)
+                for j in np.flatnonzero(found >= 0).tolist():
+                    r, s, bits = rows[j], wanted[j].decode(), array.verdicts[found[j]]
+                    if bits & 4:
+                        listed[r] = True
+                    if bits & 3 and (rule[r] is None or len(s) > len(rule[r])):
+                        rule[r], verdict[r] = s, "block" if bits & 2 else "allow"
+            verdict = [v or ("block" if x else "allow") for v, x in zip(verdict, listed)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([h for h, _ in split], pa.string()), pa.array([p for _, p in split], pa.string()), pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(listed)], ["id", "host", "path", "rule", "verdict", "listed"]
+                [batch.column(0), pa.array([h for h, _ in split], pa.string()), pa.array([p for _, p in split], pa.string()), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["id", "host", "path", "rule", "verdict"]
             )
 
     return run
@@ -157,9 +157,12 @@ def _handed_out(spark: SparkSession, entries: list[tuple[str, str, str]]) -> str
     sc = spark.sparkContext
     name = "urls-" + hashlib.blake2b(repr(sorted(entries)).encode(), digest_size=12).hexdigest() + ".bin"
     if not any(f.endswith("/" + name) for f in sc.listFiles):  # a file of this name has these entries
-        path = os.path.join(tempfile.mkdtemp(), name)
-        write_array(entries, path)
-        sc.addFile(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{new_path(spark, 'urls')}/{name}")
+        files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        out = files.create(at)
+        out.write(array_bytes(entries))
+        out.close()
+        sc.addFile(files.makeQualified(at).toString())
     return name
 
 
@@ -169,36 +172,36 @@ def judge(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col
     small_batches(spark)
     kind = pages.schema[id_col].dataType.simpleString()
     listed = entries.select("host", "path", "verdict").where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").distinct()
+    listed = written(listed, "urlentries")
     size = listed.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 17)).first()[0] or 0
     parts = 1 + int(size // max_bytes)
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u"))
-    schema = f"id {kind}, host string, path string, rule string, verdict string, listed boolean"
-    out = None
-    for k in range(parts):
-        mine = [tuple(r) for r in listed.where(F.pmod(F.xxhash64("host"), F.lit(parts)) == k).collect()]
-        found = rows.mapInArrow(_judge(_handed_out(spark, mine)), schema)
-        out = found if out is None else out.unionByName(found)
-    if parts > 1:  # of the parts' answers for a row the longest rule; rows that repeat come back as often as they were
-        best = F.max_by(F.struct("rule", "verdict"), F.coalesce(F.length("rule"), F.lit(-1))).alias("r")
-        out = out.groupBy("id", "host", "path").agg(best, F.bool_or("listed").alias("listed"), F.count("*").alias("n"))
-        out = out.withColumn("_", F.explode(F.sequence(F.lit(1), F.expr(f"n div {parts}")))).select("id", "host", "path", "r.*", "listed")
-    verdict = F.coalesce("verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict")
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict)
+    names = [_handed_out(spark, [tuple(r) for r in listed.where(F.pmod(F.xxhash64("host"), F.lit(parts)) == k).collect()]) for k in range(parts)]
+    out = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u")).mapInArrow(_judge(names), f"id {kind}, host string, path string, rule string, verdict string")
+    return out.withColumnRenamed("id", id_col)
+
+
+def hosts_with_terms(pages: DataFrame, terms: list[str], url_col: str = "url") -> DataFrame:
+    """(host, path, verdict): the hosts of pages with one of the terms between dots or hyphens, as listed ones."""
+    host = F.translate(F.regexp_extract(url_col, "(?s)^.*?://([^/?#]*)", 1), _UPPER, _LOWER)
+    return pages.select(host.alias("host")).distinct().where(F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, terms)))).select("host", F.lit("").alias("path"), F.lit("listed").alias("verdict"))
 
 
 def op6_url_filter(spark, sf_dir):
-    entries = RULES + [(h, "", "listed") for h in BLOCKED_HOSTS]
-    return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(entries, "host string, path string, verdict string"))
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return judge(pages, rules.unionByName(hosts_with_terms(pages, BLOCKED_TERMS)))
 
 
-_HOST = "CASE WHEN contains(url, '://') THEN lower(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')) ELSE '' END"
-_PATH = "CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END"
+_TEXT = "coalesce(url, '')"
+_HOST = f"CASE WHEN contains({_TEXT}, '://') THEN translate(regexp_extract({_TEXT}, '^.*?://([^/?#]*)', 1, 's'), '{_UPPER}', '{_LOWER}') ELSE '' END"
+_PATH = f"CASE WHEN contains({_TEXT}, '://') THEN regexp_extract({_TEXT}, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END"
 OP6_SQL = f"""
-WITH p AS (SELECT page_id, coalesce({_HOST}, '') AS host, coalesce({_PATH}, '') AS path FROM pages),
+WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
 r(rhost, rpath, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}),
 fits AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(v, length(rhost || rpath)) AS v
-         FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+         FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
+listed AS (SELECT DISTINCT host FROM p WHERE list_has_any(string_split_regex(host, '[.-]'), [{", ".join(f"'{t}'" for t in BLOCKED_TERMS)}]))
 SELECT p.page_id, host, path, rule,
-       coalesce(v, CASE WHEN {" OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in BLOCKED_HOSTS)} THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(v, CASE WHEN EXISTS (SELECT 1 FROM listed l WHERE p.host = l.host OR ends_with(p.host, '.' || l.host)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN fits USING (page_id)
 """

@@ -152,6 +152,41 @@ def test_language_backoff_and_odd_inputs(spark, odd, empty):
     assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
 
 
+def test_language_by_definition(spark):
+    """Predictions against counting and scoring by hand; language names may be anything."""
+    import math
+
+    names = ["pt.br", "word", "_all", "n`x"]
+    vocabulary = {c: [f"{'abcd'[k]}{w}" for w in ("la", "lala", "mi", "mimo", "xan")] for k, c in enumerate(names)}
+    draw = __import__("random").Random(2)
+    train = [(" ".join(draw.choices(vocabulary[c], k=12)), c) for c in names for _ in range(5)]
+    model = langid.train(spark.createDataFrame(train, "text string, label string"))
+    langs, words, marks = sorted(names), defaultdict(lambda: [0] * 4), defaultdict(lambda: [0] * 4)
+    for t, c in train:
+        for w in t.split():
+            words[w][langs.index(c)] += 1
+            for n in range(1, 6):
+                for g in langid.grams(w, n):
+                    marks[g][langs.index(c)] += 1
+    assert model["langs"] == langs and set(model["grams"]) == set(marks)
+    log = lambda kept, k: [math.log((x + 0.5) / (sum(v[i] for v in kept.values()) + 0.5 * len(kept))) for i, x in enumerate(kept[k])]
+    known = {w: c for w, c in words.items() if sum(c) >= 2 and max(c) >= 2}
+    for w in known:
+        assert all(map(math.isclose, model["words"][w], log(known, w)))
+    for g in marks:
+        assert all(map(math.isclose, model["grams"][g], log({k: v for k, v in marks.items() if len(k) == len(g)}, g)))
+    tests = {0: ("alala unseen", "pt.br"), 1: ("bmimo bxan", "word"), 2: ("cxanx", "_all"), 3: ("dmi", "n`x")}
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame([(i, t) for i, (t, _) in tests.items()], "doc_id long, text string"), model).collect()}
+    assert got == {i: c for i, (_, c) in tests.items()}
+
+
+def test_small_languages_keep_their_words(spark):
+    big = " ".join(f"big{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))
+    rows = [(big, "aa")] * 20 + [("tiny words of few", "bb")] * 2
+    model = langid.train(spark.createDataFrame(rows, "text string, label string"), words=40, max_grams=60)
+    assert {"tiny", "words", "of", "few"} <= set(model["words"]) and len(model["words"]) <= 40
+
+
 # -- 3
 
 def test_exact_dedup_odd_inputs(odd, empty):
@@ -347,7 +382,8 @@ def test_members_of_buckets_are_all_compared(spark, monkeypatch, block):
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "http://COM/x", "https://a.b.Example.com/en/p?q#f", "http://example.com/en", "http://www.example.com/en/1", "x://net/es/", "http://xnet/es/", "http://spam-farm.example.org", "http://m.spam-farm.example.org/?u=://", "http://a.com?x=/", "é://café.net/fr/é"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("rule", F.lit(1))
-    entries = [*urlfilter.RULES, *((h, "", "listed") for h in urlfilter.BLOCKED_HOSTS), (None, "/", "block")]
+    blocked = ["spam-farm.example.org", "cheap-pills.example.com"]
+    entries = [*urlfilter.RULES, *((h, "", "listed") for h in blocked), (None, "/", "block")]
     listed = spark.createDataFrame(entries, "host string, path string, verdict string")
 
     def judge(url):
@@ -357,7 +393,7 @@ def test_urls(spark):
         host = lower(host)
         under = lambda h: host == h or host.endswith("." + h)
         best = max(((h + p, v) for h, p, v in urlfilter.RULES if under(h) and path.startswith(p)), key=lambda x: len(x[0]), default=(None, None))
-        return host, path, best[0], best[1] or ("block" if any(map(under, urlfilter.BLOCKED_HOSTS)) else "allow")
+        return host, path, best[0], best[1] or ("block" if any(map(under, blocked)) else "allow")
 
     for size in (urlfilter.MAX_BYTES, 60):  # one array, and in parts
         got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages, listed, max_bytes=size).collect()}
@@ -366,11 +402,25 @@ def test_urls(spark):
     assert {r.verdict for r in urlfilter.judge(pages, listed.limit(0)).collect()} == {"allow"}
 
 
+def test_large_lists(spark):
+    """30,000 hosts in one file and in eight against a set."""
+    hosts = {f"h{i * 7919 % 90_001}.example.{'com' if i % 2 else 'org'}" for i in range(30_000)}
+    listed = spark.createDataFrame([(h, "", "listed") for h in hosts], "host string, path string, verdict string")
+    urls = [f"http://{'www.' if i % 3 else ''}h{i}.example.{'com' if i % 5 else 'org'}/p{i}" for i in range(0, 20_000, 3)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = {i: "block" if u.split("/")[2].removeprefix("www.") in hosts else "allow" for i, u in enumerate(urls)}
+    for size in (urlfilter.MAX_BYTES, 150_000):
+        assert {r.page_id: r.verdict for r in urlfilter.judge(pages, listed, max_bytes=size).collect()} == want
+    assert len(set(want.values())) == 2
+    named = urlfilter.hosts_with_terms(spark.createDataFrame([("http://A.Spam-x.org/",), ("x://spammer.org",), (None,), ("y://ads.com?q",)], "url string"), urlfilter.BLOCKED_TERMS)
+    assert {r.host for r in named.collect()} == {"a.spam-x.org", "ads.com"}
+
+
 def test_colliding_digests(tmp_path, monkeypatch):
     import xxhash
 
     monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda s, *a: 7)
-    urlfilter.write_array([("a.com", "/", "block"), ("b.com", "/", "allow")], str(tmp_path / "f"))
+    (tmp_path / "f").write_bytes(urlfilter.array_bytes([("a.com", "/", "block"), ("b.com", "/", "allow")]))
     array = urlfilter.DigestArray(str(tmp_path / "f"))
     assert [int(i) >= 0 for i in array.find([b"a.com/", b"b.com/", b"c.com/"])] == [True, True, False]
 
