@@ -42,3 +42,21 @@ def connected_components(edges: DataFrame, keys: list[str] = (), u: str = "u", v
     else:
         raise RuntimeError("components did not settle")
     return now.groupBy(*keys, F.col("u").alias("node")).agg(F.min("v").alias("component"))
+
+
+def roots(links: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """(keys, node, root) of a forest links(keys, node, parent): where following parents ends. A root's parent is itself, or it has no row.
+
+    Every round doubles how far a node sees, and is written; the depth of the forest costs its logarithm.
+    """
+    keys = list(keys)
+    now = written(links.select(*keys, "node", F.col("parent").alias("root")), "roots")
+    for _ in range(MAX_ROUNDS):
+        up = now.where("node <> root").select(*keys, F.col("node").alias("root"), F.col("root").alias("_up"))
+        after = written(now.join(up, [*keys, "root"], "left").select(*keys, "node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved")), "roots")
+        moved = after.where("_moved").limit(1).count()
+        drop(now)
+        now = after
+        if not moved:
+            return now.select(*keys, "node", "root")
+    raise RuntimeError("roots did not settle")

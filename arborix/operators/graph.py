@@ -111,6 +111,18 @@ def collapse_branches(edges: DataFrame, collapsed: DataFrame) -> DataFrame:
     return rest
 
 
+def collapsed_nodes(collapsed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sample_id, node_id, x, y, z): where a collapsed branch's node lies, the integer midpoint of its ends; its id is the smaller one."""
+    at = lambda side: nodes.select("sample_id", F.col("node_id").alias(side), *(F.col(c).alias(f"{c}{side}") for c in "xyz"))
+    both = collapsed.select("sample_id", "u", "v").join(at("u"), ["sample_id", "u"]).join(at("v"), ["sample_id", "v"])
+    return both.select("sample_id", F.least("u", "v").alias("node_id"), *(F.floor((F.col(f"{c}u") + F.col(f"{c}v")) / 2).cast("int").alias(c) for c in "xyz"))
+
+
+def compose(components: DataFrame) -> DataFrame:
+    """The branches of all components as one network: the component's key goes, nodes are told apart by their ids, rows and attributes stay."""
+    return components.drop("component")
+
+
 def matrix_offsets(nodes: DataFrame) -> DataFrame:
     """Offset of each component when components are laid out block by block in label order."""
     sizes = nodes.groupBy(*KEYS, "component").agg(F.count("*").alias("n_nodes"))

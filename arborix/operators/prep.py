@@ -6,12 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import ranked
+
 TILE = ["image_id", "ox", "oy"]
 
 
+def digest(seed: int, *columns: str) -> Column:
+    """32 pseudo-random bits of a row, from the MD5 digest of the seed and the columns as text."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def coin(seed: int, *columns: str) -> Column:
     """A repeatable number in [0, 1) for each row."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1_000_003)) / 1_000_003
+    return digest(seed, *columns) / (1 << 32)
 
 
 def balanced_tiles(tiles: DataFrame, rate: float, seed: int = 0, strong: int = 1000, core: int = 50) -> DataFrame:
@@ -28,30 +36,26 @@ def balanced_tiles_by_sum(tiles: DataFrame, rate: float, seed: int = 0) -> DataF
 
 
 def split(rows: DataFrame, key: str, share: float = 0.1, seed: int = 0) -> DataFrame:
-    """rows with `validation`: exactly max(1, floor(share * n)) keys, those of the smallest hashes.
-
-    Only keys are ranked: the cut is the hash at that rank, found by a sort of one long a key.
-    """
-    keys = rows.select(key).distinct().withColumn("_h", F.xxhash64(F.lit(seed), key))
-    n = keys.count()
-    take = max(1, int(n * share)) if n else 0
-    chosen = keys.orderBy("_h", key).limit(take).select(key).withColumn("validation", F.lit(True))
-    return rows.join(chosen, key, "left").na.fill(False, ["validation"])
+    """rows with `validation`: exactly max(1, floor(share * n)) keys, those of the smallest digests."""
+    placed = ranked(rows.select(key).distinct().withColumn("_h", digest(seed, key)), ["_h", key], "_k")
+    size = placed.agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("_take"))
+    chosen = placed.crossJoin(F.broadcast(size)).select(key, (F.col("_k") < F.col("_take")).alias("validation"))  # one row
+    return rows.join(chosen, key)
 
 
-def fold(name: Column, k: int, seed: int = 0) -> Column:
-    return F.pmod(F.crc32(F.concat(F.lit(f"{seed}:"), name.cast("string")).cast("binary")), F.lit(k)).cast("int")
+def fold(name: str, k: int, seed: int = 0) -> Column:
+    return (digest(seed, name) % k).cast("int")
 
 
 def train_and_held(rows: DataFrame, key: str, k: int, held: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    f = fold(F.col(key), k, seed)
+    f = fold(key, k, seed)
     return rows.where(f != held), rows.where(f == held)
 
 
 def random_crops(volumes: DataFrame, voxels: DataFrame, size: tuple[int, int], n: int, seed: int = 0) -> DataFrame:
     """n seeded crops of each image: (image_id, crop, tx, ty, z, value)."""
     w, h = size
-    at = lambda c, s, k: F.pmod(F.xxhash64(F.lit(seed + k), "image_id", "crop"), F.col(c) - s + 1).cast("int")
+    at = lambda c, s, k: (digest(seed + k, "image_id", "crop") % (F.col(c) - s + 1)).cast("int")
     crops = volumes.select("image_id", "nx", "ny", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("crop")).select("image_id", "crop", at("nx", w, 0).alias("ox"), at("ny", h, 1).alias("oy"))
     j = voxels.join(crops, "image_id").where((F.col("x") >= F.col("ox")) & (F.col("x") < F.col("ox") + w) & (F.col("y") >= F.col("oy")) & (F.col("y") < F.col("oy") + h))
     return j.select("image_id", "crop", (F.col("x") - F.col("ox")).alias("tx"), (F.col("y") - F.col("oy")).alias("ty"), "z", "value")
@@ -59,7 +63,7 @@ def random_crops(volumes: DataFrame, voxels: DataFrame, size: tuple[int, int], n
 
 def batches(rows: DataFrame, keys: list[str], order: str, size: int, seed: int | None = None) -> DataFrame:
     """rows with `batch` within their key, in order or in a seeded order."""
-    by = [F.xxhash64(F.lit(seed), order), F.col(order)] if seed is not None else [F.col(order)]
+    by = [digest(seed, order), F.col(order)] if seed is not None else [F.col(order)]
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*by)) - 1) / size))
 
 
@@ -98,7 +102,7 @@ def score_tiles(tiles: DataFrame, scorer, blank: bool = True) -> DataFrame:
 
 def sample_files(files: DataFrame, n: int, seed: int | None = None, column: str = "file") -> DataFrame:
     """The first n names, in order or in a seeded order."""
-    by = [F.xxhash64(F.lit(seed), column), F.col(column)] if seed is not None else [F.col(column)]
+    by = [digest(seed, column), F.col(column)] if seed is not None else [F.col(column)]
     return files.orderBy(*by).limit(n)
 
 

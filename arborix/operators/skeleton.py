@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import drop, written
+from .blocks import by_blocks
 from .components import connected_components
-from .voxels import BITS, KEYS, OFFSETS6, adjacency, neighbour_code, neighbour_counts, voxel_id
+from .ranks import ranked
+from .voxels import BITS, KEYS, OFFSETS6, adjacency, voxel_id
 
 # The deletion templates of the 12-subiteration thinning of Palagyi and Kuba (1999). The 26 neighbours are named a to z
 # in z, y, x order. A template holds if all of `off` are background, all of `on` foreground, one of `some` (if any) foreground,
@@ -51,44 +53,66 @@ def direction_places(direction: int) -> dict[str, tuple[int, int, int]]:
     return {name: at[p] for name, p in zip(_NAMES, _PLACES)}
 
 
-def deletable(code: Column, direction: int) -> Column:
-    """Whether a neighbour code matches a template in a direction; a voxel with one neighbour stays."""
+def deletable(code, direction: int):
+    """Whether neighbour codes, an array of integers, match a template in a direction; a voxel with one neighbour stays."""
+    import numpy as np
+
     places = direction_places(direction)
     mask = {n: 1 << BITS[(x, y, z)] for n, (z, y, x) in places.items()}
     bits = lambda names: sum(mask[n] for n in names)
-    hit = F.lit(False)
+    hit = np.zeros(len(code), bool)
     for t in TEMPLATES:
         fixed = bits(t["off"]) | bits(t["on"])
-        one = code.bitwiseAND(fixed) == bits(t["on"])
+        one = (code & fixed) == bits(t["on"])
         if t.get("some"):
-            one = one & (code.bitwiseAND(bits(t["some"])) != 0)
+            one &= (code & bits(t["some"])) != 0
         for pair in t.get("not_both", ()):
-            one = one & (code.bitwiseAND(bits(pair)) != bits(pair))
+            one &= (code & bits(pair)) != bits(pair)
         if t.get("one_of"):
-            one = one & (F.bit_count(code.bitwiseAND(bits(t["one_of"]))) == 1)
-        hit = hit | one
-    return hit & (F.bit_count(code) != 1)
-
-
-def thin(voxels: DataFrame, max_rounds: int = 200) -> DataFrame:
+            one &= np.bitwise_count(code & bits(t["one_of"])) == 1
+        hit |= one
+    return hit & (np.bitwise_count(code) != 1)
+
+
+def _thin_block(rounds: int):
+    """Rounds of twelve passes on one block; a pass sees one voxel far, so the halo must be 13 voxels a round."""
+
+    def run(array, low, high):
+        import numpy as np
+
+        here = np.pad(array != 0, 1)
+        offsets = [(bit, np.array(o)) for o, bit in BITS.items()]
+        for _ in range(rounds):
+            at = np.argwhere(here)
+            if not len(at):
+                break
+            faces = sum(here[tuple((at + np.array(o)).T)].astype(np.int8) for o in OFFSETS6)
+            border = at[faces < 6]
+            for k in range(len(DIRECTIONS)):
+                code = np.zeros(len(border), np.int64)
+                for bit, o in offsets:
+                    code |= here[tuple((border + o).T)].astype(np.int64) << bit
+                gone = deletable(code, k)
+                here[tuple(border[gone].T)] = False
+                border = border[~gone]
+        return here[tuple(slice(lo + 1, hi + 1) for lo, hi in zip(low, high))].astype(float)
+
+    return run
+
+
+def thin(voxels: DataFrame, max_rounds: int = 200, at_once: int = 2) -> DataFrame:
     """Parallel thinning: in each round twelve passes delete border voxels that match a template, until a round deletes none.
 
-    Border voxels, those with under six face neighbours, are fixed for the round. Each pass is a neighbour count by grouped
-    sums and a filter; every pass is written out, so lineage stays short.
+    Border voxels, those with under six face neighbours, are fixed for the round. Blocks with a halo run some rounds at once, so a
+    shuffle serves that many; the result is written after each.
     """
     now = written(voxels.select(*KEYS).distinct(), "thin")
     before = now.count()
-    for _ in range(max_rounds):
-        border = neighbour_counts(now, OFFSETS6).select(*KEYS, (F.col("n") < 6).alias("border"))
-        state = written(border, "thinround")
-        for k in range(len(DIRECTIONS)):
-            coded = neighbour_code(state)
-            after = written(coded.where(~(F.col("border") & deletable(F.col("code"), k))).select(*KEYS, "border"), "thinpass")
-            drop(state)
-            state = after
+    for _ in range(0, max_rounds, at_once):
+        after = by_blocks(now.withColumn("value", F.lit(1)), _thin_block(at_once), (13 * at_once,) * 3).select(*KEYS)
+        after = written(after, "thin")
         drop(now)
-        now = written(state.select(*KEYS), "thin")
-        drop(state)
+        now = after
         n = now.count()
         if n == before:
             return now
@@ -129,10 +153,10 @@ def graph_degrees(edges: DataFrame) -> DataFrame:
 def chains(edges: DataFrame) -> DataFrame:
     """Edges (image_id, u, v, length2) with `chain`, one label for edges that meet at nodes of degree two: the branches between junctions and ends.
 
-    The smallest number of an edge in its chain names it, an edge's number being its smaller node's index and its offset.
+    The smallest number of an edge in its chain names it, edges being numbered in the order of their images and nodes.
     """
     d = graph_degrees(edges)
-    e = edges.withColumn("e", F.xxhash64("u", "v"))
+    e = written(ranked(edges, ["image_id", "u", "v"], "e"), "numbered")
     inner = d.where("degree = 2").select("image_id", "node")
     touch = e.select("image_id", "e", F.explode(F.array("u", "v")).alias("node")).join(inner, ["image_id", "node"], "left_semi")
     links = touch.groupBy("image_id", "node").agg(F.min("e").alias("u"), F.max("e").alias("v"))

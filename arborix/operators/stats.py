@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import ranked
+
 
 def histogram(values: DataFrame, value: str, bins: int = 20, keys: list[str] = (), lo: float | None = None, hi: float | None = None) -> DataFrame:
     """(keys, bin, n): equal bins over a range, by default each key's own; the last bin is closed, empty bins have 0."""
@@ -42,16 +44,14 @@ def shared_ranges(branches: DataFrame, metrics: list[str], given: dict[str, tupl
 
 
 def holm(tests: DataFrame, alpha: float = 0.05, p: str = "p_value", step_down: bool = False, order: list[str] = ()) -> DataFrame:
-    """tests with `threshold` alpha / (m - rank) and `reject`; with step_down a test is kept once a smaller p was kept.
-
-    The window runs over all tests, of which there are as many as pairs of methods.
-    """
-    w = Window.orderBy(F.col(p).asc_nulls_last(), *order)
-    m = F.count("*").over(Window.partitionBy())
-    out = tests.withColumn("_k", F.row_number().over(w) - 1).withColumn("threshold", F.lit(alpha) / (m - F.col("_k"))).withColumn("reject", F.coalesce(F.col(p) < F.col("threshold"), F.lit(False)))
+    """tests with `threshold` alpha / (m - rank) and `reject`; with step_down a test is kept once a smaller p was kept."""
+    placed = ranked(tests, [F.col(p).asc_nulls_last(), *order], "_k")
+    out = placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("_all"))))  # one row
+    out = out.withColumn("threshold", F.lit(alpha) / (F.col("_all") - F.col("_k"))).withColumn("reject", F.coalesce(F.col(p) < F.col("threshold"), F.lit(False)))
     if step_down:
-        out = out.withColumn("reject", F.min(F.col("reject").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1)
-    return out.drop("_k")
+        first = out.agg(F.min(F.when(~F.col("reject"), F.col("_k"))).alias("_first"))
+        out = out.crossJoin(F.broadcast(first)).withColumn("reject", F.col("_k") < F.coalesce("_first", F.col("_all"))).drop("_first")
+    return out.drop("_k", "_all")
 
 
 def normal_tail(z: Column) -> Column:
@@ -81,7 +81,7 @@ def wilcoxon_pairs(scores: DataFrame, method: str = "method", case: str = "case_
     mean = F.col("n") * (F.col("n") + 1) / 4
     sd = F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48)
     z = F.abs(F.least("w_plus", "w_minus") - mean) / sd
-    return pairs.join(both, keys, "left").select(*keys, "n", "w_plus", "w_minus", F.least(F.lit(1.0), 2 * normal_tail(z)).alias("p_value"))
+    return pairs.join(both, keys, "left").select(*keys, "n", "w_plus", "w_minus", F.when(z.isNotNull(), F.least(F.lit(1.0), 2 * normal_tail(z))).alias("p_value"))
 
 
 def multiple_wilcoxon(scores: DataFrame, alpha: float = 0.05, **names) -> DataFrame:
@@ -89,9 +89,16 @@ def multiple_wilcoxon(scores: DataFrame, alpha: float = 0.05, **names) -> DataFr
 
 
 def running_median(history: DataFrame, keys: list[str], order: str, value: str, size: int = 51) -> DataFrame:
-    """history with the median of a centred window; the window is cut at the ends of the series."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(size // 2), size // 2)
-    return history.withColumn("median", F.percentile(value, F.lit(0.5)).over(w))
+    """history with the median of a centred window; beyond its ends a series goes on mirrored, its last value repeated."""
+    half = size // 2
+    w = Window.partitionBy(*keys)
+    rows = history.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+    # a series of n has the period 2n: row i also stands at 2nk + i and 2nk - 1 - i
+    turns = F.expr(f"sequence(-1 - {half} div (2 * _n), 1 + {half} div (2 * _n))")
+    places = F.flatten(F.transform(turns, lambda k: F.array(2 * F.col("_n") * k + F.col("_i"), 2 * F.col("_n") * k - 1 - F.col("_i"))))
+    wide = rows.withColumn("_at", F.explode(F.filter(places, lambda x: (x >= -half) & (x < F.col("_n") + half))))
+    middle = wide.withColumn("median", F.percentile(value, F.lit(0.5)).over(w.orderBy("_at").rowsBetween(-half, size - 1 - half)))
+    return middle.where("_at = _i").drop("_i", "_n", "_at")
 
 
 def sigmoid(x: Column) -> Column:
@@ -106,9 +113,17 @@ def safe_divide(a: Column, b: Column) -> Column:
     return a / F.when(b == 0, 1e-10).otherwise(b)
 
 
+def diameter_of(distance: Column, scale: float = 100.0) -> Column:
+    """Twice the distance to background, of a map that is held in parts of 1 / scale."""
+    return 2 * distance / scale
+
+
 def factor_pairs(n: Column) -> Column:
-    """All (f, n / f)."""
-    return F.transform(F.filter(F.sequence(F.lit(1), n), lambda f: n % f == 0), lambda f: F.struct(f.alias("a"), (n / f).cast("int").alias("b")))
+    """All (f, n / f) of a positive n: the factors up to its root, and theirs the other way round."""
+    small = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.sqrt(n)).cast("int"))), lambda f: n % f == 0)
+    pair = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    both = F.concat(F.transform(small, lambda f: pair(f, n / f)), F.transform(F.filter(small, lambda f: f * f != n), lambda f: pair(n / f, f)))
+    return F.when(n >= 1, F.array_sort(both)).otherwise(F.slice(both, 1, 0))
 
 
 def skeleton_strength(d: Column, most: Column, k: float = 2.0) -> Column:

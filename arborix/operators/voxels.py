@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.shared import written
+from .blocks import by_blocks, median
 from .components import connected_components
 
 KEYS = ["image_id", "x", "y", "z"]
@@ -117,20 +118,10 @@ def maximum_filter(voxels: DataFrame, dims, size=(5, 5, 3), value: str = "value"
 
 
 def median_filter(voxels: DataFrame, dims, size=(3, 3, 1), value: str = "value") -> DataFrame:
-    """Median of a box with reflected edges; the upper of two middle values."""
-    n = size[0] * size[1] * size[2]
-    b = box(size)
-    # a voxel is seen from each target whose reflected box holds it, so offsets go from targets to sources
-    grid = dense(voxels, dims, value)
-    seen = grid.select(*KEYS, offsets_column(b))
-    mirror = lambda c, m: F.when(c < 0, -c - 1).when(c >= m, 2 * m - 1 - c).otherwise(c)
-    seen = seen.select("image_id", *(F.col(c).alias(f"{c}t") for c in "xyz"), *(mirror(F.col(c) + F.col(f"_o.d{c}"), m).alias(c) for c, m in zip("xyz", dims)))
-    hit = seen.join(voxels.select(*KEYS, value), KEYS)
-    upper = n // 2  # of n values, the absent ones are zeros and come first
-    values = hit.groupBy("image_id", "xt", "yt", "zt").agg(F.array_sort(F.collect_list(value)).alias("v"))
-    zeros = F.lit(n) - F.size("v")
-    out = values.select("image_id", *(F.col(f"{c}t").alias(c) for c in "xyz"), F.when(F.lit(upper) < zeros, F.lit(0)).otherwise(F.get("v", F.lit(upper) - zeros)).alias(value))
-    return out.where(F.col(value) != 0)
+    """Median of a box with reflected edges; the upper of two middle values. Block by block: only blocks that have voxels are visited."""
+    kind = voxels.schema[value].dataType.simpleString()
+    out = by_blocks(voxels, median(size), tuple(s // 2 for s in size), dims, value)
+    return out.select(*KEYS, F.col("value").cast(kind).alias(value))
 
 
 def gaussian_weights(sigma: float) -> list[float]:
@@ -248,12 +239,13 @@ def skeleton_raster(line: DataFrame, pix=(1.0, 1.0, 1.0)) -> DataFrame:
     return line.select("sample_id", *(F.floor(F.col(c) / p).cast("int").alias(c) for c, p in zip("xyz", pix))).distinct()
 
 
-def swc_raster(swc: DataFrame, dims, n: int = 50) -> DataFrame:
-    """n points on each parent edge, cut to integers inside the volume; parents are found by id."""
-    up = swc.select(F.col("id").alias("parent"), *(F.col(c).alias(f"{c}p") for c in "xyz"))
-    pairs = swc.where("parent > -1").join(up, "parent").withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_t", F.col("_t") / (n - 1))
+def swc_raster(swc: DataFrame, dims, n: int = 50, keys: list[str] = ()) -> DataFrame:
+    """(keys, x, y, z): n points on each parent edge, cut to integers inside the volume; parents are found by id among the nodes of the same keys, such as the file."""
+    keys = list(keys)
+    up = swc.select(*keys, F.col("id").alias("parent"), *(F.col(c).alias(f"{c}p") for c in "xyz"))
+    pairs = swc.where("parent > -1").join(up, [*keys, "parent"]).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_t", F.col("_t") / (n - 1))
     at = lambda c, m: F.least(F.greatest((F.col(c) + (F.col(f"{c}p") - F.col(c)) * F.col("_t")).cast("int"), F.lit(0)), F.lit(m - 1)).alias(c)
-    return pairs.select(*(at(c, m) for c, m in zip("xyz", dims))).distinct()
+    return pairs.select(*keys, *(at(c, m) for c, m in zip("xyz", dims))).distinct()
 
 
 def combine_skeleton(skeleton: DataFrame, segmentation: DataFrame) -> DataFrame:
@@ -287,7 +279,7 @@ def to_eight_bit(value: Column) -> Column:
 
 def header_scale(voxels: DataFrame, volumes: DataFrame) -> DataFrame:
     """slope * value + inter where the slope is not 0 and the pair not (1, 0)."""
-    s = F.broadcast(volumes.select("image_id", "slope", "inter"))
+    s = volumes.select("image_id", "slope", "inter")
     on = (F.col("slope") != 0) & ~((F.col("slope") == 1) & (F.col("inter") == 0))
     return voxels.join(s, "image_id").withColumn("value", F.when(on, F.col("slope") * F.col("value") + F.col("inter")).otherwise(F.col("value"))).drop("slope", "inter")
 
@@ -322,7 +314,7 @@ def to_view(voxels: DataFrame, dims, view: str) -> DataFrame:
 
 def reorient(voxels: DataFrame, volumes: DataFrame) -> DataFrame:
     """Axes permuted and flipped by each volume's `axes` (e.g. [1, 0, 2]) and `flips`; the inverse uses the inverse permutation."""
-    v = voxels.join(F.broadcast(volumes.select("image_id", "axes", "flips", F.array("nx", "ny", "nz").alias("_n"))), "image_id")
+    v = voxels.join(volumes.select("image_id", "axes", "flips", F.array("nx", "ny", "nz").alias("_n")), "image_id")
     at = F.array(*"xyz")
     new = lambda k: (lambda a: F.when(F.get("flips", F.lit(k)), F.get("_n", a) - 1 - F.get(at, a)).otherwise(F.get(at, a)))(F.get("axes", F.lit(k)))
     return v.select("image_id", *(new(k).alias(c) for k, c in enumerate("xyz")), "value")
@@ -416,6 +408,13 @@ def value_range(voxels: DataFrame, n: int) -> DataFrame:
     return per.select("image_id", F.least("lo", zero).alias("lo"), F.greatest("hi", zero).alias("hi"))
 
 
+def overlay(voxels: DataFrame) -> DataFrame:
+    """(image_id, x, y, value, class): the sum along z of a mask's voxels, and 2 where a voxel with over one neighbour lies there, else 1 where one with one does, else 0."""
+    n = neighbour_counts(voxels.select(*KEYS).withColumn("value", F.lit(1)))
+    kind = F.max(F.when(F.col("n") > 1, 2).when(F.col("n") == 1, 1).otherwise(0))
+    return n.groupBy("image_id", "x", "y").agg(F.sum("value").alias("value"), kind.alias("class"))
+
+
 def projection(voxels: DataFrame) -> DataFrame:
     return voxels.groupBy("image_id", "x", "y").agg(F.sum("value").alias("value"))
 

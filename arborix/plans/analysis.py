@@ -10,6 +10,7 @@ from ..operators import prep as P
 from ..operators import scores as C
 from ..operators import stats as A
 from ..operators import voxels as V
+from ..operators.ranks import ranked
 from ..sources import tables as S
 from ..sources.fixtures import DIMS, ctes, fixture
 from .common import query, r
@@ -41,11 +42,11 @@ def a10(spark, d):
     return A.shared_ranges(_f(spark, d, "fx_edges"), ["length", "diameter", "soam"], {"length": (None, 1000.0)})
 
 
-_HOLM = "t AS (SELECT o_orderkey AS test, ((o_orderkey * 7919) % 9973) / 99730e0 AS p_value FROM orders WHERE o_orderkey % 50 = 0), k AS (SELECT *, row_number() OVER (ORDER BY p_value, test) - 1 AS i, count(*) OVER () AS m FROM t)"
+_HOLM = "t AS (SELECT o_orderkey AS test, ((o_orderkey * 7919) % 9973) / 99730e0 AS p_value FROM orders), k AS (SELECT *, row_number() OVER (ORDER BY p_value, test) - 1 AS i, count(*) OVER () AS m FROM t)"
 
 
 def _tests(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 50 = 0")
+    o = spark.read.parquet(f"{d}/orders.parquet")
     return o.select(F.col("o_orderkey").alias("test"), (((F.col("o_orderkey") * 7919) % 9973) / 99730).alias("p_value"))
 
 
@@ -59,34 +60,38 @@ def m12b(spark, d):
     return _rounded(A.holm(_tests(spark, d), step_down=True, order=["test"]), "threshold", digits=9)
 
 
+_TAIL = "exp(-z * z / 2) / 2.5066282746310002e0 * t * (0.319381530e0 + t * (-0.356563782e0 + t * (1.781477937e0 + t * (-1.821255978e0 + t * 1.330274429e0))))"
 _WX = f"""{SCORES}, dd AS (SELECT a.method AS m1, b.method AS m2, a.score - b.score AS d FROM fx_scores a JOIN fx_scores b USING (case_id) WHERE a.method < b.method AND a.score <> b.score),
 rk AS (SELECT m1, m2, abs(d) AS m, count(*) AS t, count(CASE WHEN d > 0 THEN 1 END) AS plus FROM dd GROUP BY ALL), rr AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY m1, m2 ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2e0 AS rank FROM rk),
-ws AS (SELECT m1, m2, CAST(sum(t) AS BIGINT) AS n, sum(rank * plus) AS wp, sum(rank * (t - plus)) AS wm FROM rr GROUP BY ALL), wb AS (SELECT * FROM ws UNION ALL SELECT m2, m1, n, wm, wp FROM ws), ms AS (SELECT DISTINCT method FROM fx_scores)
-SELECT a.method AS method_1, b.method AS method_2, n, CAST(wp AS DOUBLE) AS w_plus, CAST(wm AS DOUBLE) AS w_minus FROM ms a CROSS JOIN ms b LEFT JOIN wb ON m1 = a.method AND m2 = b.method"""
+ws AS (SELECT m1, m2, CAST(sum(t) AS BIGINT) AS n, sum(rank * plus) AS wp, sum(rank * (t - plus)) AS wm, sum(t * t * t - t) AS ties FROM rr GROUP BY ALL), wb AS (SELECT * FROM ws UNION ALL SELECT m2, m1, n, wm, wp, ties FROM ws), ms AS (SELECT DISTINCT method FROM fx_scores),
+wz AS (SELECT *, abs(least(wp, wm) - n * (n + 1) / 4e0) / sqrt(n * (n + 1) * (2 * n + 1) / 24e0 - ties / 48e0) AS z FROM wb), wt AS (SELECT *, 1 / (1 + 0.2316419e0 * z) AS t FROM wz), wp_ AS (SELECT *, least(1e0, 2 * {_TAIL}) AS p FROM wt),
+pw AS (SELECT a.method AS method_1, b.method AS method_2, n, CAST(wp AS DOUBLE) AS w_plus, CAST(wm AS DOUBLE) AS w_minus, p AS p_value FROM ms a CROSS JOIN ms b LEFT JOIN wp_ ON m1 = a.method AND m2 = b.method)"""
 
 
-@query("m13_wilcoxon_ranks", _WX)
+@query("m13_wilcoxon_ranks", f"{_WX} SELECT method_1, method_2, n, w_plus, w_minus, {r('p_value', 7)} AS p_value FROM pw")
 def m13(spark, d):
-    s = _f(spark, d, "fx_scores").withColumn("score", F.col("score"))
-    return A.wilcoxon_pairs(s).drop("p_value")
+    return _rounded(A.wilcoxon_pairs(_f(spark, d, "fx_scores")), "p_value", digits=7)
 
 
-@query("m13_multiple_wilcoxon")
+@query("m13_multiple_wilcoxon", f"{_WX}, hk AS (SELECT *, row_number() OVER (ORDER BY p_value NULLS LAST, method_1, method_2) - 1 AS k, count(*) OVER () AS m FROM pw) SELECT method_1, method_2, n, {r('0.05e0 / (m - k)', 7)} AS threshold, coalesce(p_value < 0.05e0 / (m - k), false) AS reject FROM hk")
 def m13b(spark, d):
-    return A.multiple_wilcoxon(_f(spark, d, "fx_scores"))
+    return _rounded(A.multiple_wilcoxon(_f(spark, d, "fx_scores")).select("method_1", "method_2", "n", "threshold", "reject"), "threshold", digits=7)
 
 
 @query("w05_rank", f"WITH {_HOLM} SELECT test, CAST(i AS BIGINT) AS rank FROM k")
 def w05(spark, d):
-    from pyspark.sql.window import Window
+    return ranked(_tests(spark, d), ["p_value", "test"]).select("test", "rank")
+
 
-    return _tests(spark, d).select("test", (F.row_number().over(Window.orderBy("p_value", "test")) - 1).cast("long").alias("rank"))
+_MIRROR = """s AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+t AS (SELECT event_type, event_id, value, i, n, unnest(range(-1 - 25 // (2 * n), 2 + 25 // (2 * n))) AS k FROM s),
+m AS (SELECT event_type, event_id, value, i, n, 2 * n * k + i AS place FROM t UNION ALL SELECT event_type, event_id, value, i, n, 2 * n * k - 1 - i FROM t)"""
 
 
-@query("w10_running_median", "SELECT event_type, event_id, median(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS median FROM events")
+@query("w10_running_median", f"WITH {_MIRROR} SELECT event_type, event_id, median FROM (SELECT event_type, event_id, i, place, median(value) OVER (PARTITION BY event_type ORDER BY place ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) AS median FROM m WHERE place >= -25 AND place < n + 25) WHERE place = i")
 def w10(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").withColumn("k", F.struct("ts", "event_id"))
-    return A.running_median(e, ["event_type"], "k", "value", 11).select("event_type", "event_id", "median")
+    return A.running_median(e, ["event_type"], "k", "value").select("event_type", "event_id", "median")
 
 
 _AV = "SELECT event_id, {0} AS v FROM events"
@@ -98,10 +103,9 @@ def f05(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round(A.sigmoid(v), 6).alias("sigmoid"), F.round(A.clip01(v), 6).alias("clipped"), (F.round(F.log10(A.clip01(v)), 6) + 0.0).alias("logged"))
 
 
-@query("f06_safe_divide", f"SELECT o_orderkey, {r('o_totalprice / CASE WHEN o_orderkey % 3 = 0 THEN 1e-10 ELSE o_orderkey % 3 END', 4)} AS q FROM orders WHERE o_orderkey % 3 <> 0")
+@query("f06_safe_divide", "SELECT o_orderkey, o_totalprice / CASE WHEN o_orderkey % 3 = 0 THEN 1e-10 ELSE o_orderkey % 3 END AS q FROM orders")
 def f06(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 3 <> 0")
-    return o.select("o_orderkey", F.round(A.safe_divide(F.col("o_totalprice"), F.col("o_orderkey") % 3), 4).alias("q"))
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", A.safe_divide(F.col("o_totalprice"), F.col("o_orderkey") % 3).alias("q"))
 
 
 @query("f08_eigen2", f"{EDGES}, m AS (SELECT edge_id, length AS a, diameter AS b, soam AS c FROM fx_edges) SELECT edge_id, {r('(a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b)')} AS e1, {r('(a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b)')} AS e2, {r('CASE WHEN atan2(2 * b, a - c) < 0 THEN atan2(2 * b, a - c) / 2 + pi() ELSE atan2(2 * b, a - c) / 2 END')} AS theta FROM m")
@@ -111,17 +115,37 @@ def f08(spark, d):
     return _f(spark, d, "fx_edges").select("edge_id", F.round(e1, 6).alias("e1"), F.round(e2, 6).alias("e2"), F.round(A.principal_angle(a, b, c), 6).alias("theta"))
 
 
-@query("f08_eigen3_invariants", f"{EDGES} SELECT edge_id, round(length + diameter + soam, 2) AS trace, round(length * diameter * soam + 2 * clr * clr * clr - (length + diameter + soam) * clr * clr, 1) AS det FROM fx_edges WHERE length < 100")
+#: The matrix [[a, k, k], [k, b, k], [k, k, c]] has the eigenvalues q + 2p cos(phi + 2 pi i / 3).
+_E3 = f"""{EDGES}, m AS (SELECT edge_id, length AS a, diameter AS b, soam AS c, clr AS k, (length + diameter + soam) / 3 AS q FROM fx_edges),
+p AS (SELECT *, sqrt((pow(a - q, 2) + pow(b - q, 2) + pow(c - q, 2) + 6 * k * k) / 6) AS p FROM m),
+h AS (SELECT *, acos(greatest(-1e0, least(1e0, ((a - q) * (b - q) * (c - q) + 2 * k * k * k - (a + b + c - 3 * q) * k * k) / pow(p, 3) / 2))) / 3 AS phi FROM p),
+v AS (SELECT edge_id, list_sort([{{'s': abs(x), 'v': x}} FOR x IN [q + 2 * p * cos(phi), q + 2 * p * cos(phi + 2 * pi() / 3), q + 2 * p * cos(phi + 4 * pi() / 3)]]) AS e FROM h)"""
+
+
+@query("f08_eigen3", f"{_E3} SELECT edge_id, {r('e[1].v', 4)} + 0e0 AS e1, {r('e[2].v', 4)} + 0e0 AS e2, {r('e[3].v', 4)} + 0e0 AS e3 FROM v")
 def f08b(spark, d):
     a, b, c, k = (F.col(x) for x in ("length", "diameter", "soam", "clr"))
     e = A.eigen3(a, b, c, k, k, k)
-    return _f(spark, d, "fx_edges").where("length < 100").select("edge_id", e.alias("e")).select("edge_id", F.round(F.expr("e[0] + e[1] + e[2]"), 2).alias("trace"), F.round(F.expr("e[0] * e[1] * e[2]"), 1).alias("det"))
+    return _f(spark, d, "fx_edges").select("edge_id", e.alias("e")).select("edge_id", *((F.round(F.col("e")[i], 4) + 0.0).alias(f"e{i + 1}") for i in range(3)))
+
+
+_V7 = "pow(l1, 2) + pow(l2, 2) + pow(l3, 2)"
+
+
+@query("f07_vesselness", f"{EDGES}, m AS (SELECT edge_id, soam / 50 - 0.05e0 AS l1, clr * 2 - 1.8e0 AS l2, -length / 10 AS l3 FROM fx_edges) SELECT edge_id, CASE WHEN l2 > 0 OR l3 > 0 THEN 0e0 ELSE {r(f'(1 - exp(-pow(abs(l2) / CASE WHEN l3 = 0 THEN 1e-10 ELSE abs(l3) END, 2) / (2 * 0.25e0))) * exp(-pow(abs(l1) / CASE WHEN l2 * l3 = 0 THEN 1e-10 ELSE sqrt(abs(l2 * l3)) END, 2) / (2 * 0.25e0)) * (1 - exp(-({_V7}) / (2 * 225e0)))', 9)} END AS value FROM m")
+def f07(spark, d):
+    e = F.array(F.col("soam") / 50 - 0.05, F.col("clr") * 2 - 1.8, -F.col("length") / 10)
+    return _f(spark, d, "fx_edges").select("edge_id", F.round(A.vesselness(e), 9).alias("value"))
 
 
-@query("f11_factor_pairs", "SELECT c_custkey, CAST(f AS BIGINT) AS a, CAST(c_custkey // f AS BIGINT) AS b FROM customer, range(1, 200) t(f) WHERE f <= c_custkey AND c_custkey % f = 0 AND c_custkey BETWEEN 1 AND 150")
+@query("f04_diameter", f"{POINTS} SELECT sample_id, edge_id, pos, 2 * (x * 100 + y) / 100e0 AS diameter FROM fx_points")
+def f04(spark, d):
+    return _f(spark, d, "fx_points").select("sample_id", "edge_id", "pos", A.diameter_of(F.col("x") * 100 + F.col("y")).alias("diameter"))
+
+
+@query("f11_factor_pairs", "SELECT c_custkey, f AS a, c_custkey // f AS b FROM (SELECT c_custkey, unnest(range(1, c_custkey + 1)) AS f FROM customer) WHERE c_custkey % f = 0")
 def f11(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey BETWEEN 1 AND 150")
-    p = c.select("c_custkey", F.explode(A.factor_pairs(F.col("c_custkey").cast("int"))).alias("p"))
+    p = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.explode(A.factor_pairs(F.col("c_custkey"))).alias("p"))
     return p.select("c_custkey", F.col("p.a").cast("long").alias("a"), F.col("p.b").cast("long").alias("b"))
 
 
@@ -171,12 +195,13 @@ def m03(spark, d):
     return _rounded(M.density_map(_f(spark, d, "fx_points"), (NX, NY), n=16), "density", digits=5)
 
 
-_TWO = "A AS (SELECT sample_id, x, y, z FROM fx_points WHERE pos % 7 = 0), B AS (SELECT sample_id, x, y, z FROM fx_points WHERE pos % 7 = 1)"
+#: Two networks of each sample: the even and the odd branches.
+_TWO = "A AS (SELECT sample_id, x, y, z FROM fx_points WHERE edge_id % 2 = 0), B AS (SELECT sample_id, x, y, z FROM fx_points WHERE edge_id % 2 = 1)"
 
 
 def _two(spark, d):
     p = _f(spark, d, "fx_points")
-    return tuple(p.where(F.col("pos") % 7 == k).select("sample_id", *"xyz") for k in (0, 1))
+    return tuple(p.where(F.col("edge_id") % 2 == k).select("sample_id", *"xyz") for k in (0, 1))
 
 
 @query("j05_nearest", f"{POINTS}, {_TWO}, ua AS (SELECT DISTINCT * FROM A), ub AS (SELECT DISTINCT * FROM B) SELECT ua.sample_id, ua.x, ua.y, ua.z, {r('sqrt(min(pow(ua.x - ub.x, 2) + pow(ua.y - ub.y, 2) + pow(ua.z - ub.z, 2)))')} AS dist FROM ua LEFT JOIN ub ON ub.sample_id = ua.sample_id GROUP BY ALL")
@@ -201,8 +226,8 @@ def j06(spark, d):
 
 @query("j11_greedy_matching")
 def j11(spark, d):
-    p = _f(spark, d, "fx_points")
-    a, b = (p.where(F.col("pos") % 50 == k).groupBy("sample_id", F.col("edge_id").alias("node_id")).agg(*(F.min_by(c, "pos").alias(c) for c in "xyz")) for k in (0, 1))
+    p = _f(spark, d, "fx_points").groupBy("sample_id", "edge_id").agg(*(F.min_by(c, "pos").alias(c) for c in "xyz"))
+    a, b = (p.where(F.col("edge_id") % 2 == k).withColumnRenamed("edge_id", "node_id") for k in (0, 1))
     return M.greedy_matching(a, b, 12.0)
 
 
@@ -238,14 +263,14 @@ def m10(spark, d):
     return _rounded(C.weighted_errors(_f(spark, d, "fx_pair")), "weighted_bce", "weighted_mse", "mse", "mse_known")
 
 
-_SETS = "t AS (SELECT image_id, x, y, z FROM fx_voxels WHERE value >= 248), p AS (SELECT image_id, x, y, z FROM fx_voxels WHERE value BETWEEN 243 AND 247)"
+_SETS = "t AS (SELECT image_id, x, y, z FROM fx_pair WHERE truth > 0.5), p AS (SELECT image_id, x, y, z FROM fx_pair WHERE pred > 0.5)"
 _WAY = lambda a, b: f"(SELECT image_id, avg(d) AS d FROM (SELECT {a}.image_id, {a}.x, {a}.y, {a}.z, sqrt(min(pow({a}.x - {b}.x, 2) + pow({a}.y - {b}.y, 2) + pow({a}.z - {b}.z, 2))) AS d FROM {a} JOIN {b} ON {a}.image_id = {b}.image_id GROUP BY ALL) GROUP BY ALL)"
 
 
-@query("m08_surface_distance", f"{VOX}, {_SETS} SELECT image_id, {r('greatest(a.d, b.d)')} AS distance, {r('a.d')} AS truth_to_pred, {r('b.d')} AS pred_to_truth FROM {_WAY('t', 'p')} a JOIN {_WAY('p', 't')} b USING (image_id)")
+@query("m08_surface_distance", f"{PAIR}, {_SETS} SELECT image_id, {r('greatest(a.d, b.d)')} AS distance, {r('a.d')} AS truth_to_pred, {r('b.d')} AS pred_to_truth FROM {_WAY('t', 'p')} a JOIN {_WAY('p', 't')} b USING (image_id)")
 def m08(spark, d):
-    v = _f(spark, d, "fx_voxels")
-    return _rounded(C.surface_distance(v.where("value >= 248").select(*V.KEYS), v.where("value BETWEEN 243 AND 247").select(*V.KEYS)), "distance", "truth_to_pred", "pred_to_truth")
+    p = _f(spark, d, "fx_pair")
+    return _rounded(C.surface_distance(p.where("truth > 0.5").select(*V.KEYS), p.where("pred > 0.5").select(*V.KEYS)), "distance", "truth_to_pred", "pred_to_truth")
 
 
 # -- preparation
@@ -267,20 +292,21 @@ def d02(spark, d):
     return P.balanced_tiles_by_sum(_tiles(spark, d), 0.0)
 
 
-@query("d03_split", "SELECT count(*) AS n, greatest(1, CAST(floor(count(*) * 0.1) AS BIGINT)) AS n_validation FROM customer")
+_DIGEST = lambda seed, *c: f"CAST(concat('0x', substr(md5(concat_ws(':', '{seed}', {', '.join(f'{x}::VARCHAR' for x in c)})), 1, 8)) AS BIGINT)"
+
+
+@query("d03_split", f"WITH h AS (SELECT c_custkey, row_number() OVER (ORDER BY {_DIGEST(0, 'c_custkey')}, c_custkey) AS k, count(*) OVER () AS n FROM customer) SELECT c_custkey, k <= greatest(1, floor(n * 0.1e0)) AS validation FROM h")
 def d03(spark, d):
-    s = P.split(spark.read.parquet(f"{d}/customer.parquet"), "c_custkey")
-    return s.agg(F.count("*").alias("n"), F.sum(F.col("validation").cast("long")).alias("n_validation"))
+    return P.split(spark.read.parquet(f"{d}/customer.parquet"), "c_custkey").select("c_custkey", "validation")
 
 
-@query("d04_folds", "SELECT c_custkey, c_custkey IN (SELECT c_custkey FROM customer) AS listed FROM customer")
+@query("d04_folds", f"SELECT c_custkey, {_DIGEST(0, 'c_custkey')} % 5 = 2 AS held FROM customer")
 def d04(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet")
-    a, b = P.train_and_held(c, "c_custkey", 5, 2)
-    return a.unionByName(b).select("c_custkey", F.lit(True).alias("listed"))
+    train, held = P.train_and_held(spark.read.parquet(f"{d}/customer.parquet"), "c_custkey", 5, 2)
+    return train.select("c_custkey", F.lit(False).alias("held")).unionByName(held.select("c_custkey", F.lit(True).alias("held")))
 
 
-@query("d05_random_crops")
+@query("d05_random_crops", f"{VOX}, c AS (SELECT image_id, CAST(i AS INT) AS crop, {_DIGEST(0, 'image_id', 'i')} % {NX - 15} AS ox, {_DIGEST(1, 'image_id', 'i')} % {NY - 15} AS oy FROM (SELECT DISTINCT image_id FROM fx_voxels), range(4) t(i)) SELECT image_id, crop, CAST(x - ox AS INT) AS tx, CAST(y - oy AS INT) AS ty, z, value FROM fx_voxels JOIN c USING (image_id) WHERE x >= ox AND x < ox + 16 AND y >= oy AND y < oy + 16")
 def d05(spark, d):
     v = _f(spark, d, "fx_voxels")
     vol = v.select("image_id").distinct().select("image_id", F.lit(NX).alias("nx"), F.lit(NY).alias("ny"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import geometry as G
 from ..operators import graph as N
 from ..operators import topology as T
+from ..operators import tracks as R
 from ..sources.fixtures import PIX, ctes, fixture
 from .common import query, r
 
@@ -80,8 +81,8 @@ def a11(spark, d):
     return out.select("sample_id", "metric", F.round("value", 6).alias("value"))
 
 
-@query("a12_metric_median", f"{POINTS}, {_BRANCHES} SELECT sample_id, 'length' AS metric, {r('median(length)')} AS value FROM br GROUP BY sample_id")
-def a12(spark, d):
+@query("a11_metric_median", f"{POINTS}, {_BRANCHES} SELECT sample_id, 'length' AS metric, {r('median(length)')} AS value FROM br GROUP BY sample_id")
+def a11b(spark, d):
     out = G.metric_aggregate(G.branch_metrics(_points(spark, d), PIX), "length", F.median)
     return out.select("sample_id", "metric", F.round("value", 6).alias("value"))
 
@@ -236,8 +237,8 @@ def w11(spark, d):
     return N.matrix_offsets(N.component_sizes(N.with_ghosts(_edges(spark, d)).select(*N.KEYS, "u", "v")))
 
 
-@query("g05_degrees", f"{EDGES} SELECT sample_id, mask_id, node, count(*) AS degree FROM (SELECT sample_id, mask_id, u AS node FROM fx_edges UNION ALL SELECT sample_id, mask_id, v FROM fx_edges) GROUP BY ALL")
-def g05(spark, d):
+@query("x04_end_degrees", f"{EDGES} SELECT sample_id, mask_id, node, count(*) AS degree FROM (SELECT sample_id, mask_id, u AS node FROM fx_edges UNION ALL SELECT sample_id, mask_id, v FROM fx_edges) GROUP BY ALL")
+def x04(spark, d):
     return N.degrees(_edges(spark, d))
 
 
@@ -273,6 +274,101 @@ def g18(spark, d):
     return N.single_component(_edges(spark, d)).select(*N.KEYS, "edge_id", "component")
 
 
+# -- tracked branches
+
+_ENDS = f"""{POINTS}, e0 AS (SELECT sample_id, edge_id, min(pos) AS p0, max(pos) AS p1 FROM fx_points GROUP BY ALL),
+en AS (SELECT sample_id, edge_id * 2 AS end_id, x, y, z FROM fx_points JOIN e0 USING (sample_id, edge_id) WHERE pos = p0 UNION ALL SELECT sample_id, edge_id * 2 + 1, x, y, z FROM fx_points JOIN e0 USING (sample_id, edge_id) WHERE pos = p1),
+nr AS (SELECT a.sample_id, a.end_id AS u, b.end_id AS v FROM en a JOIN en b ON a.sample_id = b.sample_id AND a.end_id <> b.end_id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) < 9),
+rn(sample_id, end_id, node) AS (SELECT sample_id, end_id, end_id FROM en UNION SELECT nr.sample_id, nr.v, rn.node FROM rn JOIN nr ON nr.sample_id = rn.sample_id AND nr.u = rn.end_id WHERE rn.node < nr.v),
+nn AS (SELECT sample_id, end_id, min(node) AS node FROM rn GROUP BY ALL)"""
+
+
+def _branch_ends(spark, d):
+    p = _points(spark, d).groupBy("sample_id", "edge_id").agg(F.min_by(F.struct(*"xyz"), "pos").alias("a"), F.max_by(F.struct(*"xyz"), "pos").alias("b"))
+    e = F.array(*(F.struct((F.col("edge_id") * 2 + i).alias("end_id"), *(F.col(f"{s}.{c}").alias(c) for c in "xyz")) for i, s in enumerate("ab")))
+    return p.select("sample_id", F.explode(e).alias("e")).select("sample_id", "e.*")
+
+
+@query("g05_reuse_end_nodes", f"{_ENDS} SELECT sample_id, end_id, x, y, z, node FROM en JOIN nn USING (sample_id, end_id)")
+def g05(spark, d):
+    return R.reuse_end_nodes(_branch_ends(spark, d)).select("sample_id", "end_id", *"xyz", "node")
+
+
+_PTS = f"""{POINTS}, br AS (SELECT DISTINCT sample_id, edge_id, edge_id * 2 AS u, edge_id * 2 + 1 AS v FROM fx_points), pl AS (SELECT sample_id, edge_id, 1e0 * (edge_id % 64) AS ux, 1e0 * (edge_id % 32) AS uy, 0e0 AS uz, 1e0 * (edge_id % 7) AS vx, 6e1 AS vy, 1e0 * (edge_id % 8) AS vz FROM br),
+ip AS (SELECT *, row_number() OVER (PARTITION BY sample_id, edge_id ORDER BY pos) AS k, count(*) OVER (PARTITION BY sample_id, edge_id) AS n FROM fx_points WHERE edge_id % 3 > 0),
+hd AS (SELECT sample_id, edge_id, n, sqrt(pow(arg_min(x, pos) - ux, 2) + pow(arg_min(y, pos) - uy, 2) + pow(arg_min(z, pos) - uz, 2)) >= sqrt(pow(arg_max(x, pos) - ux, 2) + pow(arg_max(y, pos) - uy, 2) + pow(arg_max(z, pos) - uz, 2)) AS turn FROM ip JOIN pl USING (sample_id, edge_id) GROUP BY sample_id, edge_id, n, ux, uy, uz)"""
+
+
+@query("g08_build_branches", f"{_PTS} SELECT sample_id, edge_id, CAST(CASE WHEN turn THEN ip.n - k + 1 ELSE k END AS INT) AS pos, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM ip JOIN hd USING (sample_id, edge_id) UNION ALL SELECT sample_id, edge_id, 0, ux, uy, uz FROM pl JOIN hd USING (sample_id, edge_id) UNION ALL SELECT sample_id, edge_id, CAST(n + 1 AS INT), vx, vy, vz FROM pl JOIN hd USING (sample_id, edge_id) UNION ALL SELECT sample_id, edge_id, CAST(i AS INT), {r('ux + (vx - ux) * (i / 9e0)')}, {r('uy + (vy - uy) * (i / 9e0)')}, {r('uz + (vz - uz) * (i / 9e0)')} FROM pl, range(10) t(i) WHERE edge_id % 3 = 0")
+def g08(spark, d):
+    p = _points(spark, d)
+    b = p.select("sample_id", "edge_id").distinct().select("sample_id", "edge_id", (F.col("edge_id") * 2).alias("u"), (F.col("edge_id") * 2 + 1).alias("v"))
+    k = F.col("edge_id")
+    at = F.array(F.struct(F.col("u").alias("node_id"), (k % 64).alias("x"), (k % 32).alias("y"), F.lit(0).cast("long").alias("z")), F.struct(F.col("v").alias("node_id"), (k % 7).alias("x"), F.lit(60).cast("long").alias("y"), (k % 8).alias("z")))
+    out = R.build_branches(b, p.where("edge_id % 3 > 0"), b.select("sample_id", F.explode(at).alias("n")).select("sample_id", "n.*"))
+    return out.select("sample_id", "edge_id", "pos", *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
+_TOUCH = f"""{EDGES}, tk AS (SELECT *, u % 64 + edge_id % 5 AS x0, u % 32 AS y0, u % 8 AS z0, v % 64 + edge_id % 5 AS x1, v % 32 AS y1, v % 8 AS z1 FROM fx_edges),
+te AS (SELECT sample_id, mask_id, edge_id, u AS node, v AS other, x0 AS x, y0 AS y, z0 AS z FROM tk UNION ALL SELECT sample_id, mask_id, edge_id, v, u, x1, y1, z1 FROM tk),
+tj AS (SELECT sample_id, mask_id, node, min(edge_id) AS a, max(edge_id) AS b FROM te GROUP BY ALL HAVING count(*) = 2 AND min(edge_id) <> max(edge_id) AND min(other) <> max(other) AND bool_and(other <> node) AND sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2) + pow(max(z) - min(z), 2)) < 4),
+ts AS (SELECT sample_id, mask_id, a, b FROM tj UNION SELECT sample_id, mask_id, b, a FROM tj),
+th(sample_id, mask_id, edge_id, chain) AS (SELECT sample_id, mask_id, edge_id, edge_id FROM tk UNION SELECT ts.sample_id, ts.mask_id, ts.b, th.chain FROM th JOIN ts ON ts.sample_id = th.sample_id AND ts.mask_id = th.mask_id AND ts.a = th.edge_id WHERE th.chain < ts.b),
+tm AS (SELECT sample_id, mask_id, edge_id, min(chain) AS chain FROM th GROUP BY ALL),
+tt AS (SELECT sample_id, mask_id, chain, sum(length) AS length, sum(soam) AS soam, sum(diameter * length) / sum(length) AS diameter, count(*) AS n FROM tk JOIN tm USING (sample_id, mask_id, edge_id) GROUP BY ALL),
+tz AS (SELECT te.sample_id, te.mask_id, chain, min(te.node) AS u, max(te.node) AS v, count(*) AS k FROM te JOIN tm USING (sample_id, mask_id, edge_id) ANTI JOIN tj USING (sample_id, mask_id, node) GROUP BY ALL)"""
+
+
+def _tracked(spark, d):
+    e, j = _edges(spark, d), F.col("edge_id") % 5
+    return e.select("*", *((F.col(s) % m + (j if c == "x" else 0)).alias(f"{c}{i}") for i, s in enumerate("uv") for c, m in (("x", 64), ("y", 32), ("z", 8))))
+
+
+@query("g06_merge_touching", f"{_TOUCH} SELECT sample_id, mask_id, chain AS edge_id, u, v, {r('length')} AS length, {r('soam')} AS soam, {r('diameter')} AS diameter FROM tt JOIN tz USING (sample_id, mask_id, chain) WHERE n > 1 AND k = 2")
+def g06b(spark, d):
+    e = _tracked(spark, d)
+    out = R.merge_touching(e).join(e.select(*N.KEYS, "edge_id", F.col("length").alias("_l")), [*N.KEYS, "edge_id"]).where("abs(length - _l) > 1e-9")
+    return out.select(*N.KEYS, "edge_id", "u", "v", *(F.round(c, 6).alias(c) for c in ("length", "soam", "diameter")))
+
+
+@query("g07_three_rounds")
+def g07b(spark, d):
+    return R.merge_and_prune(_tracked(spark, d), 150.0)
+
+
+@query("f16_append_points", f"{POINTS}, a AS (SELECT sample_id, edge_id, list({{'x': x, 'y': y, 'z': z}} ORDER BY pos) AS p FROM fx_points GROUP BY ALL), j AS (SELECT a.sample_id, a.edge_id, a.p AS a, b.p AS b FROM a JOIN a b ON a.sample_id = b.sample_id AND b.edge_id = a.edge_id + 1), d AS (SELECT *, [{', '.join(f'sqrt(pow({p}.x - {q}.x, 2) + pow({p}.y - {q}.y, 2) + pow({p}.z - {q}.z, 2))' for p, q in (('a[1]', 'b[1]'), ('a[-1]', 'b[1]'), ('a[1]', 'b[-1]'), ('a[-1]', 'b[-1]')))}] AS f FROM j), o AS (SELECT sample_id, edge_id, unnest(CASE list_position(f, list_min(f)) WHEN 1 THEN list_reverse(b) || a WHEN 2 THEN a || b WHEN 3 THEN b || a ELSE a || list_reverse(b) END) AS p, unnest(range(len(a) + len(b))) AS pos FROM d) SELECT sample_id, edge_id, CAST(pos AS INT) AS pos, p.x AS x, p.y AS y, p.z AS z FROM o")
+def f16(spark, d):
+    p = _points(spark, d).groupBy("sample_id", "edge_id").agg(F.array_sort(F.collect_list(F.struct("pos", *"xyz"))).alias("p"))
+    p = p.withColumn("p", F.transform("p", lambda s: F.struct(*(s[c].alias(c) for c in "xyz"))))
+    j = p.select("sample_id", "edge_id", F.col("p").alias("a")).join(p.select("sample_id", (F.col("edge_id") - 1).alias("edge_id"), F.col("p").alias("b")), ["sample_id", "edge_id"])
+    return j.select("sample_id", "edge_id", F.posexplode(R.append_points(F.col("a"), F.col("b"))).alias("pos", "p")).select("sample_id", "edge_id", "pos", *(F.col(f"p.{c}").alias(c) for c in "xyz"))
+
+
+@query("u04_compose", f"{EDGES} SELECT sample_id, mask_id, edge_id, u, v, {r('length')} AS length FROM fx_edges")
+def u04(spark, d):
+    e = _edges(spark, d)
+    parts = [e.where(F.col("edge_id") % 2 == k).withColumn("component", F.lit(k)) for k in (0, 1)]
+    return N.compose(parts[0].unionByName(parts[1])).select(*N.KEYS, "edge_id", "u", "v", F.round("length", 6).alias("length"))
+
+
+_AT = lambda n: f"{n} % 64 AS x, {n} % 32 AS y, {n} % 8 AS z"
+
+
+def _places(spark, d):
+    return N.node_table(_edges(spark, d)).select("sample_id", F.col("node").alias("node_id"), *((F.col("node") % m).alias(c) for c, m in (("x", 64), ("y", 32), ("z", 8))))
+
+
+@query("g09_ghost_points", f"{EDGES}, {_NET} SELECT sample_id, mask_id, -(edge_id + 1) AS node_id, {', '.join(r(f'(u % {m} + v % {m}) / 2e0 + 0.05e0 * sqrt(pow(u % 64 - v % 64, 2) + pow(u % 32 - v % 32, 2) + pow(u % 8 - v % 8, 2)) / sqrt(3e0)') + f' AS {c}' for c, m in (('x', 64), ('y', 32), ('z', 8)))} FROM gh WHERE g")
+def g09b(spark, d):
+    g = N.ghost_points(_edges(spark, d), _places(spark, d))
+    return g.select(*N.KEYS, "node_id", *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
+@query("g11_collapsed_nodes", f"{EDGES} SELECT sample_id, least(u, v) AS node_id, CAST((u % 64 + v % 64) // 2 AS INT) AS x, CAST((u % 32 + v % 32) // 2 AS INT) AS y, CAST((u % 8 + v % 8) // 2 AS INT) AS z FROM fx_edges WHERE edge_id % 40 = 0")
+def g11b(spark, d):
+    return N.collapsed_nodes(_edges(spark, d).where("edge_id % 40 = 0"), _places(spark, d))
+
+
 _RHO = [0.0, 50.0, 120.0, 200.0]
 _BETTI = f"""{_NET}, re AS (SELECT pr.*, rho FROM pr, (SELECT unnest([{', '.join(f'{x}e0' for x in _RHO)}]) AS rho) WHERE length > rho),
 rs AS (SELECT sample_id, mask_id, rho, u AS a, v AS b FROM re UNION SELECT sample_id, mask_id, rho, v, u FROM re),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, network, skeletons, volumes  # noqa: F401
+from . import analysis, files, network, skeletons, volumes  # noqa: F401
 from .common import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "t07_descriptors"

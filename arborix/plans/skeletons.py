@@ -19,7 +19,7 @@ NX, NY, NZ = DIMS
 COLS = "image_id, x, y, z"
 
 
-def _fg(spark, d, level=235):
+def _fg(spark, d, level=127):
     return fixture(spark, d, "fx_voxels").where(F.col("value") >= level).select(*V.KEYS)
 
 
@@ -28,7 +28,7 @@ def v12(spark, d):
     return K.thin(_fg(spark, d))
 
 
-_GRAPH = f"""{VOX}, fv AS (SELECT image_id, x, y, z, (CAST(x AS BIGINT) * {NY} + y) * {NZ} + z AS id FROM fx_voxels WHERE value >= 235),
+_GRAPH = f"""{VOX}, fv AS (SELECT image_id, x, y, z, (CAST(x AS BIGINT) * {NY} + y) * {NZ} + z AS id FROM fx_voxels WHERE value >= 127),
 o AS (SELECT a.i - 1 AS dx, b.i - 1 AS dy, c.i - 1 AS dz FROM range(3) a(i), range(3) b(i), range(3) c(i)),
 ge AS (SELECT a.image_id, least(a.id, b.id) AS u, greatest(a.id, b.id) AS v, CAST(dx * dx + dy * dy + dz * dz AS INT) AS l, dz = 0 AS f FROM fv a, o JOIN fv b ON b.image_id = a.image_id AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz WHERE (dx, dy, dz) > (0, 0, 0)),
 tr AS (SELECT p.image_id, p.u AS a, p.v AS b, q.v AS c, p.l AS ab, q.l AS bc, s.l AS ac, p.f AS fab, q.f AS fbc, s.f AS fac FROM ge p JOIN ge q ON q.image_id = p.image_id AND q.u = p.v JOIN ge s ON s.image_id = p.image_id AND s.u = p.u AND s.v = q.v),
@@ -113,18 +113,28 @@ def v19b(spark, d):
 
 @query("v23_vesselness")
 def v23(spark, d):
-    return R.frangi(fixture(spark, d, "fx_voxels").where("x < 24 AND y < 24"), (24, 24, NZ), [1.0])
+    return R.frangi(fixture(spark, d, "fx_voxels"), DIMS)
+
+
+@query("v23_vesselness_by_slice")
+def v23b(spark, d):
+    return R.frangi(fixture(spark, d, "fx_voxels"), DIMS, three_d=False)
 
 
 @query("v05_vessel_distance")
 def v05(spark, d):
-    return R.vessel_distance(fixture(spark, d, "fx_voxels").where("value >= 60"), DIMS)
+    return R.vessel_distance(_fg(spark, d), DIMS)
+
+
+@query("v05_vessel_distance_in_space")
+def v05b(spark, d):
+    return R.vessel_distance(_fg(spark, d), DIMS, depth=(0.8, 0.8, 5.0))
 
 
-@query("v18_tile_calibration", "SELECT c_custkey AS image_id, CAST((SELECT arg_min(f, (abs(c_custkey::DOUBLE / f - 4), f)) FROM range(1, 200) t(f) WHERE f <= c_custkey AND c_custkey % f = 0) AS INT) AS tile FROM customer WHERE c_custkey BETWEEN 1 AND 150")
+@query("v18_tile_calibration", "SELECT c_custkey AS image_id, CAST(arg_min(f, (abs(c_custkey::DOUBLE / f - 4), f)) AS INT) AS tile FROM (SELECT c_custkey, unnest(range(1, c_custkey + 1)) AS f FROM customer) WHERE c_custkey % f = 0 GROUP BY c_custkey")
 def v18(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey BETWEEN 1 AND 150")
-    return c.select(F.col("c_custkey").alias("image_id"), R.calibrated_tile(F.col("c_custkey").cast("int"), 4.0).alias("tile"))
+    c = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey >= 1")
+    return c.select(F.col("c_custkey").alias("image_id"), R.calibrated_tile(F.col("c_custkey"), 4.0).alias("tile"))
 
 
 @query("m11_neighbour_weighted_bce")
@@ -134,7 +144,7 @@ def m11(spark, d):
 
 @query("g19_extraction")
 def g19(spark, d):
-    return X.extract(fixture(spark, d, "fx_voxels").where("value >= 235"), DIMS)
+    return X.extract(_fg(spark, d), DIMS)
 
 
 @query("m04_comparison_report")

@@ -74,10 +74,10 @@ def s15(spark, d):
     return S.collapse_series(_vox(spark, d).withColumnRenamed("image_id", "file")).select("x", "y", "z", "value", "t")
 
 
-@query("s17_load_cases", f"{VOX} SELECT a.image_id, a.x, a.y, a.z, a.value, CAST(coalesce(CASE WHEN a.value >= 127 THEN a.value END, 0) AS INT) AS mask FROM fx_voxels a WHERE image_id IN ('A', 'R')")
+@query("s17_load_cases", f"{VOX} SELECT a.image_id, a.x, a.y, a.z, a.value, CAST(coalesce(CASE WHEN a.value >= 127 THEN a.value END, 0) AS INT) AS mask FROM fx_voxels a WHERE substr(image_id, 1, 1) IN ('A', 'R')")
 def s17(spark, d):
     v = _vox(spark, d)
-    return S.load_cases(v, V.binarise(v).select("image_id", "x", "y", "z", F.lit(0).alias("value")).join(v.select("image_id", "x", "y", "z", F.col("value").alias("v")), V.KEYS).select(*V.KEYS, F.col("v").alias("value")), ["A", "R"]).select(*V.KEYS, "value", "mask")
+    return S.load_cases(v, V.binarise(v).select("image_id", "x", "y", "z", F.lit(0).alias("value")).join(v.select("image_id", "x", "y", "z", F.col("value").alias("v")), V.KEYS).select(*V.KEYS, F.col("v").alias("value")), v.where("substr(image_id, 1, 1) IN ('A', 'R')").select("image_id").distinct()).select(*V.KEYS, "value", "mask")
 
 
 _T = "SELECT image_id, x + 4 AS x, y, z + 1 AS z, value FROM fx_voxels WHERE z < 3"
@@ -124,10 +124,10 @@ def p03(spark, d):
     return fixture(spark, d, "fx_pair").select(*V.KEYS, V.to_eight_bit(F.col("pred")).alias("value"))
 
 
-@query("p04_header_scale", f"{VOX} SELECT {K}, CASE image_id WHEN 'A' THEN 2e0 * value + 1e0 ELSE value END AS value FROM fx_voxels")
+@query("p04_header_scale", f"{VOX} SELECT {K}, CASE substr(image_id, 1, 1) WHEN 'A' THEN 2e0 * value + 1e0 ELSE value END AS value FROM fx_voxels")
 def p04(spark, d):
     v = _vox(spark, d)
-    vol = v.select("image_id").distinct().select("image_id", F.when(F.col("image_id") == "A", 2.0).when(F.col("image_id") == "N", 1.0).otherwise(0.0).alias("slope"), F.when(F.col("image_id") == "N", 0.0).otherwise(1.0).alias("inter"))
+    vol = v.select("image_id").distinct().select("image_id", F.when(F.col("image_id").startswith("A"), 2.0).when(F.col("image_id").startswith("N"), 1.0).otherwise(0.0).alias("slope"), F.when(F.col("image_id").startswith("N"), 0.0).otherwise(1.0).alias("inter"))
     return V.header_scale(v, vol).select(*V.KEYS, F.col("value").cast("double").alias("value"))
 
 
@@ -381,13 +381,13 @@ def a21(spark, d):
     return V.block_reduce(_vox(spark, d))
 
 
-@query("j08_sample_points", f"{ctes('fx_points', 'fx_voxels')} SELECT edge_id, pos, sample_id, 'A' AS image_id, p.x, p.y, p.z, coalesce(value, 0) AS value FROM fx_points p LEFT JOIN fx_voxels v ON v.image_id = 'A' AND v.x = p.x AND v.y = p.y AND v.z = p.z")
+@query("j08_sample_points", f"{ctes('fx_points', 'fx_voxels')} SELECT edge_id, pos, sample_id, concat('A', split_part(sample_id, '-', 2)) AS image_id, p.x, p.y, p.z, coalesce(value, 0) AS value FROM fx_points p LEFT JOIN fx_voxels v ON v.image_id = concat('A', split_part(sample_id, '-', 2)) AND v.x = p.x AND v.y = p.y AND v.z = p.z")
 def j08(spark, d):
-    p = fixture(spark, d, "fx_points").drop("diameter").withColumn("image_id", F.lit("A"))
+    p = fixture(spark, d, "fx_points").drop("diameter").withColumn("image_id", F.concat(F.lit("A"), F.split_part("sample_id", F.lit("-"), F.lit(2))))
     return V.sample_at_points(p, _vox(spark, d)).select("edge_id", "pos", "sample_id", *V.KEYS, "value")
 
 
-@query("a12_branch_perfusion", f"{ctes('fx_points', 'fx_voxels')}, s AS (SELECT edge_id, coalesce(value, 0) AS value FROM fx_points p LEFT JOIN fx_voxels v ON v.image_id = 'A' AND v.x = p.x AND v.y = p.y AND v.z = p.z) SELECT 'A' AS image_id, edge_id, max(value) AS max, {r('avg(value)')} AS mean, median(value) AS median, min(value) AS min FROM s GROUP BY edge_id")
+@query("a12_branch_perfusion", f"{ctes('fx_points', 'fx_voxels')}, s AS (SELECT concat('A', split_part(sample_id, '-', 2)) AS image_id, edge_id, coalesce(value, 0) AS value FROM fx_points p LEFT JOIN fx_voxels v ON v.image_id = concat('A', split_part(sample_id, '-', 2)) AND v.x = p.x AND v.y = p.y AND v.z = p.z) SELECT image_id, edge_id, max(value) AS max, {r('avg(value)')} AS mean, median(value) AS median, min(value) AS min FROM s GROUP BY image_id, edge_id")
 def a12p(spark, d):
-    p = fixture(spark, d, "fx_points").withColumn("image_id", F.lit("A"))
+    p = fixture(spark, d, "fx_points").withColumn("image_id", F.concat(F.lit("A"), F.split_part("sample_id", F.lit("-"), F.lit(2))))
     return _dbl(V.branch_perfusion(p, _vox(spark, d)), "mean")

@@ -16,10 +16,10 @@ def path_column(pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), pattern, group)
 
 
-def discover_samples(spark: SparkSession, root: str, leave_out: tuple[str, ...] = ()) -> DataFrame:
+def discover_samples(spark: SparkSession, root: str, leave_out: tuple[str, ...] = ("TDA_Summary",), pattern: str = r"/([^/]+)/[Ss]keletons/([^/]+)/") -> DataFrame:
     """(sample_id, mask_id, n_files) from paths root/<sample>/Skeletons/<mask>/...; folders to leave out, such as that of summaries, are no samples."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    parts = files.select(F.regexp_extract("path", r"/([^/]+)/[Ss]keletons/([^/]+)/", 1).alias("sample_id"), F.regexp_extract("path", r"/[Ss]keletons/([^/]+)/", 1).alias("mask_id"))
+    parts = files.select(F.regexp_extract("path", pattern, 1).alias("sample_id"), F.regexp_extract("path", pattern, 2).alias("mask_id"))
     return parts.where(F.col("sample_id") != "").where(~F.col("sample_id").isin(*leave_out)).groupBy("sample_id", "mask_id").agg(F.count("*").alias("n_files"))
 
 
@@ -57,9 +57,12 @@ def three_slices(voxels: DataFrame, nz: int, channels: int = 1) -> DataFrame:
 
 
 def read_branch_points(spark: SparkSession, path: str) -> DataFrame:
-    """points from text files Component{i}Branch{j}.txt of `x y z` lines; numbering stops at the first gap of branches, then of components."""
+    """points from text files Component{i}Branch{j}.txt of `x y z` lines, in a folder of the sample; numbering stops at the first gap of branches, then of components.
+
+    A file may also be a folder of that name, as export_branches() writes it; folders named column=value stand for their values.
+    """
     lines = spark.read.text(path).select("value", "_metadata.file_path", F.monotonically_increasing_id().alias("_line"))
-    name = r"([^/]+)/Component(\d+)Branch(\d+)\.txt$"
+    name = r"/(?:[^/=]*=)?([^/=]+)/(?:[^/=]*=)?Component(\d+)Branch(\d+)\.txt(?:/[^/]*)?$"
     p = lines.select(F.regexp_extract("file_path", name, 1).alias("sample_id"), *(F.regexp_extract("file_path", name, g).cast("int").alias(c) for g, c in ((2, "component"), (3, "branch"))), F.split(F.trim("value"), r"\s+").alias("v"), "_line")
     p = p.where("component IS NOT NULL AND size(v) >= 3")
     p = p.withColumn("pos", (F.row_number().over(Window.partitionBy("sample_id", "component", "branch").orderBy("_line")) - 1).cast("int"))
@@ -121,10 +124,17 @@ def write_barcodes(barcodes: DataFrame, path: str, digits: int | None = None) ->
     barcode_rows(barcodes, digits).write.mode("overwrite").partitionBy("dim").option("sep", " ").csv(path)
 
 
+def write_diagram(barcodes: DataFrame, path: str) -> None:
+    """Text rows `p dim birth death` over the field of two elements, a folder for each sample."""
+    line = F.concat_ws(" ", F.lit("2"), "dim", "birth", F.coalesce(F.col("death").cast("string"), F.lit("inf")))
+    barcodes.select("sample_id", line.alias("value")).write.mode("overwrite").partitionBy("sample_id").text(path)
+
+
 def read_diagram(spark: SparkSession, path: str) -> DataFrame:
-    """barcodes from text rows `p dim birth death`; inf is a death of null."""
+    """barcodes from text rows `p dim birth death`; inf is a death of null. A sample is the name of its file, or of a folder sample_id=name."""
     f = F.split(F.trim("value"), r"\s+").alias("f")
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), f).where("size(f) >= 4")
+    file = F.coalesce(F.nullif(F.regexp_extract("_metadata.file_path", r"/sample_id=([^/]+)/", 1), F.lit("")), F.col("_metadata.file_path"))
+    rows = spark.read.text(path, recursiveFileLookup=True).select(file.alias("file"), f).where("size(f) >= 4")
     death = F.when(~F.lower(F.col("f")[3]).isin("inf", "-1"), F.col("f")[3].cast("double"))
     return rows.select(F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1).alias("sample_id"), F.col("f")[1].cast("int").alias("dim"), F.col("f")[2].cast("double").alias("birth"), death.alias("death"))
 
@@ -154,10 +164,18 @@ def write_obj(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     obj_lines(nodes, edges).repartition("sample_id").sortWithinPartitions("sample_id", "part", "k").select("sample_id", "line").write.mode("overwrite").partitionBy("sample_id").text(path)
 
 
+def write_swc(nodes: DataFrame, path: str, key: str = "file") -> None:
+    """Lines `id type x y z radius parent`, a folder for each file."""
+    line = F.concat_ws(" ", "id", "type", *"xyz", "radius", "parent")
+    nodes.repartition(key).sortWithinPartitions(key, "id").select(key, line.alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
 def read_swc(spark: SparkSession, path: str) -> DataFrame:
+    """(file, id, type, x, y, z, radius, parent): file is the name of the file, or of its folder if that is named column=value."""
     f = F.split(F.trim("value"), r"\s+").alias("f")
-    rows = spark.read.text(path).where("NOT value LIKE '#%' AND trim(value) <> ''").select(f)
-    return rows.select(F.col("f")[0].cast("long").alias("id"), F.col("f")[1].cast("int").alias("type"), *(F.col("f")[i].cast("double").alias(c) for i, c in ((2, "x"), (3, "y"), (4, "z"), (5, "radius"))), F.col("f")[6].cast("long").alias("parent"))
+    name = F.coalesce(F.nullif(F.regexp_extract("_metadata.file_path", r"/[^/=]*=([^/]+)/[^/]*$", 1), F.lit("")), F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1))
+    rows = spark.read.text(path, recursiveFileLookup=True).where("NOT value LIKE '#%' AND trim(value) <> ''").select(name.alias("file"), f)
+    return rows.select("file", F.col("f")[0].cast("long").alias("id"), F.col("f")[1].cast("int").alias("type"), *(F.col("f")[i].cast("double").alias(c) for i, c in ((2, "x"), (3, "y"), (4, "z"), (5, "radius"))), F.col("f")[6].cast("long").alias("parent"))
 
 
 def expand_series(voxels: DataFrame, path: str) -> None:
@@ -174,12 +192,12 @@ def frame_count(voxels: DataFrame) -> DataFrame:
     return voxels.groupBy("image_id").agg(F.countDistinct("t").alias("n_frames"))
 
 
-def load_cases(images: DataFrame, masks: DataFrame, cases: list[str], channels: list[int] | None = None) -> DataFrame:
-    """Listed cases with their mask beside the image value; voxels without a mask have 0."""
-    i = images.where(F.col("image_id").isin(cases))
+def load_cases(images: DataFrame, masks: DataFrame, cases: DataFrame, channels: list[int] | None = None) -> DataFrame:
+    """The cases(image_id) with their mask beside the image value; voxels without a mask have 0."""
+    i = images.join(cases.select("image_id"), "image_id", "left_semi")
     if channels is not None:
         i = i.where(F.col("channel").isin(channels))
-    m = masks.where(F.col("image_id").isin(cases)).select("image_id", *"xyz", F.col("value").alias("mask"))
+    m = masks.select("image_id", *"xyz", F.col("value").alias("mask"))
     return i.join(m, ["image_id", *"xyz"], "left").na.fill(0, ["mask"])
 
 
@@ -214,11 +232,24 @@ def append_slice(volume: DataFrame, tile: DataFrame) -> DataFrame:
     return volume.unionByName(moved.select(*volume.columns))
 
 
-def export_branches(points: DataFrame, branches: DataFrame, path: str) -> None:
-    """Polylines by sample and component, and one file of each scalar."""
-    points.repartition("sample_id", "edge_id").sortWithinPartitions("sample_id", "edge_id", "pos").select("sample_id", "edge_id", *"xyz").write.mode("overwrite").partitionBy("sample_id", "edge_id").option("sep", " ").csv(f"{path}/points")
+def export_branches(points: DataFrame, branches: DataFrame, path: str, first_branch: int = 1, adjacency: bool = False, summary: bool = True) -> None:
+    """Polylines, scalars, summaries and adjacency of branches(sample_id, component, branch, u, v, metrics) and their points(sample_id, component, branch, pos, x, y, z).
+
+    points/sample_id=.../file=Component{i}Branch{j}.txt has `x y z` lines, {diameter,length,soam,clr} the scalars by branch, summary ten values a
+    branch (both ends and the metrics), adjacency the node pairs of each component. Branches are numbered from first_branch.
+    """
+    j = F.col("branch") - 1 + first_branch
+    file = F.concat(F.lit("Component"), "component", F.lit("Branch"), j, F.lit(".txt")).alias("file")
+    lines = points.select("sample_id", file, "pos", F.concat_ws(" ", *"xyz").alias("value"))
+    lines.repartition("sample_id", "file").sortWithinPartitions("sample_id", "file", "pos").select("sample_id", "file", "value").write.mode("overwrite").partitionBy("sample_id", "file").text(f"{path}/points")
+    named = branches.withColumn("branch", j)
     for c in ("diameter", "length", "soam", "clr"):
-        branches.select("sample_id", "edge_id", c).write.mode("overwrite").option("header", True).csv(f"{path}/{c}")
+        named.select("sample_id", "component", "branch", c).write.mode("overwrite").option("header", True).csv(f"{path}/{c}")
+    if summary:
+        ends = points.groupBy("sample_id", "component", j.alias("branch")).agg(*(f(c, "pos").alias(n) for f, ns in ((F.min_by, SUMMARY[:3]), (F.max_by, SUMMARY[3:6])) for c, n in zip("xyz", ns)))
+        named.join(ends, ["sample_id", "component", "branch"]).select("sample_id", "component", "branch", *SUMMARY).write.mode("overwrite").option("header", True).csv(f"{path}/summary")
+    if adjacency:
+        named.select("sample_id", "component", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct().write.mode("overwrite").option("header", True).csv(f"{path}/adjacency")
 
 
 def make_volume(spark: SparkSession, image_id: str, dims: tuple[int, int, int], pix=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0), description: str = "") -> DataFrame:

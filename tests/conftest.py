@@ -3,6 +3,7 @@ import os
 import sys
 
 import duckdb
+import pandas
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -41,7 +42,7 @@ def rows(frame):
     cols = sorted(frame.columns)
 
     def text(v):
-        if v is None or v != v:
+        if v is None or v is pandas.NA or v is pandas.NaT or (isinstance(v, float) and v != v):
             return "null"
         if isinstance(v, bool):
             return str(v)

@@ -27,10 +27,38 @@ def test_direction_of_one_voxel():
     assert got == want
 
 
-def test_templates(spark):
-    codes = [0, (1 << 26) - 1, 1, 2]
-    got = [r.d for r in spark.createDataFrame([(c,) for c in codes], "code long").select(skeleton.deletable(F.col("code"), 0).alias("d")).collect()]
-    assert got == [False] * 4
+def test_templates():
+    """A vector that each template asks for is deletable, none and all neighbours are not."""
+    import numpy as np
+
+    places = skeleton.direction_places(0)
+    bit = {n: 1 << voxels.BITS[(x, y, z)] for n, (z, y, x) in places.items()}
+    vectors = []
+    for t in skeleton.TEMPLATES:
+        names = t["on"] + (t["some"][0] if t.get("some") else "") + (t["one_of"][0] if t.get("one_of") else "")
+        vectors.append(sum(bit[n] for n in names))
+    hits = skeleton.deletable(np.array(vectors + [0, (1 << 26) - 1]), 0).tolist()
+    want = [bin(v).count("1") != 1 for v in vectors]
+    assert hits == want + [False, False] and len(vectors) == 14
+
+
+def test_thinning_by_blocks_is_that_of_the_whole(spark):
+    """Small blocks and one round at a time give what one large block gives."""
+    import random
+
+    random.seed(9)
+    blob = {(x, y, z) for x in range(20) for y in range(20) for z in range(5) if random.random() < 0.8}
+    v = frame(spark, {"blob": blob})
+    import arborix.operators.skeleton as K
+
+    some = {tuple(r) for r in K.thin(v).select(*"xyz").collect()}
+    small = lambda df, run, halo, **k: voxels.by_blocks(df, run, halo, sides=(8, 8, 4), **k)
+    kept, K.by_blocks = K.by_blocks, small
+    try:
+        other = {tuple(r) for r in K.thin(v, at_once=1).select(*"xyz").collect()}
+    finally:
+        K.by_blocks = kept
+    assert some == other and len(some) < len(blob)
 
 
 def test_thinning_keeps_objects(spark):
