@@ -30,25 +30,85 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+#: A character below 2^CODE_BITS is so many bits of a number that stands for an n-gram; words with others are counted as strings.
+CODE_BITS = 12
+#: n-gram numbers of a length that a task adds up at once.
+SUM_AT = 1 << 21
+
+
+def _numbers(words: list[str], counts, longest: int):
+    """For each length (its n-grams as numbers, how often each occurs); all characters are below 2^CODE_BITS."""
+    import numpy as np
+
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), "<u4").astype(np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters up to the word's end
+    weight = np.repeat(np.asarray(counts, np.int64), sizes)
+    number = np.zeros(len(codes), np.int64)
+    for n in range(1, longest + 1):
+        number = (number[: len(codes) - n + 1] << CODE_BITS) | codes[n - 1 :]
+        fits = left[: len(number)] >= n
+        yield n, number[fits], weight[: len(number)][fits]
+
+
+def _summed(parts):
+    """One pair (numbers, sums) of many."""
+    import numpy as np
+
+    keys, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(which, np.concatenate([w for _, w in parts])).astype(np.int64)
+
+
+def _spelled(numbers, n: int) -> list[str]:
+    import numpy as np
+
+    codes = np.stack([(numbers >> (CODE_BITS * (n - 1 - k))) & ((1 << CODE_BITS) - 1) for k in range(n)], axis=1)
+    text = codes.astype("<u4").tobytes().decode("utf-32-le")
+    return [text[i : i + n] for i in range(0, len(text), n)]
+
+
 def _count_grams(longest: int):
+    if longest * CODE_BITS > 62:
+        raise ValueError("n-grams do not fit a number")
+
     def run(batches):
         from collections import Counter
 
-        def out():
-            keys = [(c, g) for c in counts for g in counts[c]]
-            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in keys], pa.string()), pa.array([g for _, g in keys], pa.string()), pa.array([counts[c][g] for c, g in keys], pa.int64())], ["label", "word", "n"])
+        sums: dict[tuple[str, int], list] = {}
+        rest: dict[str, Counter] = {}
+
+        def batch_of(label, words, n):
+            return pa.RecordBatch.from_arrays([pa.array([label] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], ["label", "word", "n"])
 
-        counts: dict[str, Counter] = {}
         for batch in batches:
+            by_label: dict[str, tuple[list, list]] = {}
             for label, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                of = counts.setdefault(label, Counter())
-                for k in range(1, longest + 1):
-                    for g in grams(word, k):
-                        of[g] += n
-            if sum(map(len, counts.values())) > FLUSH:
-                yield out()
-                counts.clear()
-        yield out()
+                if word.isascii() or ord(max(word)) < 1 << CODE_BITS:
+                    words, counts = by_label.setdefault(label, ([], []))
+                    words.append(word)
+                    counts.append(n)
+                else:
+                    for k in range(1, longest + 1):
+                        for g in grams(word, k):
+                            rest.setdefault(label, Counter())[g] += n
+            for label, (words, counts) in by_label.items():
+                for k, numbers, weights in _numbers(words, counts, longest):
+                    parts = sums.setdefault((label, k), [])
+                    parts.append((numbers, weights))
+                    if sum(len(x) for x, _ in parts) > SUM_AT:
+                        sums[label, k] = [_summed(parts)]
+                        if len(sums[label, k][0][0]) > SUM_AT // 2:
+                            keys, n = sums.pop((label, k))[0]
+                            yield batch_of(label, _spelled(keys, k), n)
+            if sum(map(len, rest.values())) > FLUSH:
+                for label, counts in rest.items():
+                    yield batch_of(label, list(counts), list(counts.values()))
+                rest.clear()
+        for (label, k), parts in sums.items():
+            keys, n = _summed(parts)
+            yield batch_of(label, _spelled(keys, k), n)
+        for label, counts in rest.items():
+            yield batch_of(label, list(counts), list(counts.values()))
 
     return run
 

@@ -157,7 +157,7 @@ def test_language_by_definition(spark):
     import math
 
     names = ["pt.br", "word", "_all", "n`x"]
-    vocabulary = {c: [f"{'abcd'[k]}{w}" for w in ("la", "lala", "mi", "mimo", "xan")] for k, c in enumerate(names)}
+    vocabulary = {c: [f"{'abcd'[k]}{w}" for w in ("la", "lala", "mi", "mimo", "xan", "日本語x")] for k, c in enumerate(names)}
     draw = __import__("random").Random(2)
     train = [(" ".join(draw.choices(vocabulary[c], k=12)), c) for c in names for _ in range(5)]
     model = langid.train(spark.createDataFrame(train, "text string, label string"))
