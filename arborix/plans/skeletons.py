@@ -84,11 +84,19 @@ def g14(spark, d):
     return X.matched_paths(e, N.node_table(e).where("node % 4 <> 0"))
 
 
-@query("g17_topology_agreement", f"{EDGES} SELECT sample_id, 1e0 AS share FROM fx_edges GROUP BY ALL")
+@query("g17_topology_agreement")
 def g17(spark, d):
+    """A network against itself without every tenth branch."""
     e = fixture(spark, d, "fx_edges")
     same = N.node_table(e).select("sample_id", F.col("node").alias("node_a"), F.col("node").alias("node_b"))
-    return X.topology_agreement(e, e, same, repeats=3).select("sample_id", "share")
+    return X.topology_agreement(e, e.where("edge_id % 10 <> 0"), same).select("sample_id", "share")
+
+
+@query("v19_line", f"{VOX} SELECT image_id, x + 2 AS x, y + 1 AS y, z, value::DOUBLE AS value FROM fx_voxels WHERE x + 2 < {NX} AND y + 1 < {NY}")
+def v19c(spark, d):
+    shift = [[1.0, 0.0, 0.0, 2.0], [0.0, 1.0, 0.0, 0.8], [0.0, 0.0, 1.0, 0.2]]
+    out = R.affine_reslice(fixture(spark, d, "fx_voxels"), DIMS, shift, DIMS, "line", 0)
+    return out.where("y > 0").select(*V.KEYS, F.col("value").cast("double").alias("value"))
 
 
 @query("s13_obj_export", f"{ctes('fx_edges')}, n AS (SELECT sample_id, node, row_number() OVER (PARTITION BY sample_id ORDER BY node) AS k FROM (SELECT sample_id, u AS node FROM fx_edges UNION SELECT sample_id, v FROM fx_edges)) SELECT sample_id, 0 AS part, k, concat('v ', node % 64, ' ', node % 32, ' ', node % 8) AS line FROM n UNION ALL SELECT e.sample_id, 1, edge_id, concat('l ', a.k, ' ', b.k) FROM fx_edges e JOIN n a ON a.sample_id = e.sample_id AND a.node = u JOIN n b ON b.sample_id = e.sample_id AND b.node = v")
@@ -139,7 +147,9 @@ def v18(spark, d):
 
 @query("m11_neighbour_weighted_bce")
 def m11(spark, d):
-    return R.neighbour_weighted_bce(fixture(spark, d, "fx_pair"), DIMS)
+    p = fixture(spark, d, "fx_pair")
+    forms = [R.neighbour_weighted_bce(p, DIMS, f).withColumn("form", F.lit(f)) for f in ("planes", "space", "junctions")]
+    return forms[0].unionByName(forms[1]).unionByName(forms[2])
 
 
 @query("g19_extraction")
@@ -150,6 +160,10 @@ def g19(spark, d):
 @query("m04_comparison_report")
 def m04(spark, d):
     p = fixture(spark, d, "fx_points")
-    return X.comparison_report(G.branch_metrics(p, (20.0, 20.0, 20.0)), ["length", "diameter", "soam"])
+    v = fixture(spark, d, "fx_voxels").withColumnRenamed("image_id", "_i")
+    sampled = p.withColumn("_i", F.concat(F.lit("A"), F.split_part("sample_id", F.lit("-"), F.lit(2)))).join(v, ["_i", *"xyz"], "left").select("sample_id", "edge_id", F.coalesce("value", F.lit(0)).alias("value"))
+    centres = p.groupBy("sample_id", "edge_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    b = G.branch_metrics(p, (20.0, 20.0, 20.0)).join(centres, ["sample_id", "edge_id"])
+    return X.comparison_report(b, ["length", "diameter", "soam"], (NX, NY), pixel=20.0, perfusion=sampled)
 
 
