@@ -116,7 +116,11 @@ BLOCK = 2048
 
 
 def _signatures(size: int):
+    """(id, set, sig, keys): a digest of the shingle set, its minwise signature and the keys of its segments."""
+
     def run(batches):
+        from hashlib import blake2b
+
         import numpy as np
         import xxhash
 
@@ -124,11 +128,12 @@ def _signatures(size: int):
         odd = np.random.default_rng(SEED).integers(0, 1 << 63, (2, SLOTS), dtype=np.uint64)
         times, plus = odd[0][:, None] * np.uint64(2) + np.uint64(1), odd[1][:, None]
         for batch in batches:
-            sig, keys = [], []
+            sets, sig, keys = [], [], []
             for text in batch.column(1).to_pylist():
                 words = text.lower().split()
                 parts = map(join, zip(*(words[i:] for i in range(size)))) if len(words) > size else [join(words)]
                 hashes = np.unique(np.fromiter(map(h, parts, repeat(SEED)), np.uint64))
+                sets.append(blake2b(hashes.tobytes(), digest_size=16).digest())
                 least = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
                 for at in range(0, len(hashes), 4096):
                     part = (hashes[at : at + 4096] ^ plus) * times
@@ -136,7 +141,7 @@ def _signatures(size: int):
                 mixed = least ^ (least >> np.uint64(33))
                 sig.append(mixed.astype("<u2").tobytes())
                 keys.append([_signed(h(least[b * ROWS : b * ROWS + ROWS].tobytes(), b)) for b in range(BANDS)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "set", "sig", "keys"])
 
     return run
 
@@ -228,12 +233,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
 
     All members of a bucket are compared. First each with the two ends of its bucket, which are other ones in
     each table and link most groups; then all other pairs of the bucket that these links leave in different groups, since a
-    pair within a group changes nothing. Documents whose signatures are equal are one for this.
+    pair within a group changes nothing. Documents whose shingle sets are equal are one for this.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("t")).where("id IS NOT NULL")
-    signed = written(rows.mapInArrow(_signatures(shingle), "id long, sig binary, keys array<bigint>"), "signatures")
-    one = written(signed.groupBy("sig").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "sigs")
+    signed = written(rows.mapInArrow(_signatures(shingle), "id long, set binary, sig binary, keys array<bigint>"), "signatures")
+    one = written(signed.groupBy("set").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "sigs")
     keys = one.select("rep", F.posexplode("keys").alias("band", "key")).withColumn("order", F.xxhash64("band", "rep"))
     ends = keys.groupBy("band", "key").agg(F.min_by("rep", "order").alias("a"), F.max_by("rep", "order").alias("b")).where("a <> b")
     met = keys.join(ends, ["band", "key"]).select("rep", F.explode(F.array("a", "b")).alias("end")).where("rep <> end")
@@ -244,7 +249,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     close = written(_close(rows, maybe, shingle, similarity), "close")
     rest = written(_rest(keys, one, ends, connected_components(close), similarity - MARGIN), "rest")
     close = close.unionByName(_close(rows, rest, shingle, similarity))
-    copies = signed.select("id", "sig").join(sigs, "sig").where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
+    copies = signed.select("id", "set").join(one.select("set", "rep"), "set").where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
     return connected_components(close.unionByName(copies)).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
 
 
