@@ -31,7 +31,9 @@ from .words import FLUSH, words_of
 TRAIN_ROWS = 50_000
 DISCOUNT, POWER = 0.75, 0.5
 #: Values of G2 below which an expression is pruned; one is chosen.
-PRUNE = (12.0, 16.0, 20.0, 30.0)
+PRUNE = (12.0, 16.0, 20.0, 30.0, 60.0, 120.0, 240.0)
+#: How much recall weighs against precision in the choice.
+BETA = 0.5
 STEP = 0.02
 
 
@@ -135,7 +137,7 @@ def ratios(docs: DataFrame, model: dict, power: float = POWER, id_col: str = "do
 
 
 def calibrate(judged: DataFrame) -> tuple[int, float, float]:
-    """judged(ratio, label) -> (pruning, threshold, slope) of the best F1, from a histogram of bounded size."""
+    """judged(ratio, label) -> (pruning, threshold, slope) of the best F-measure, from a histogram of bounded size."""
     cells = judged.select("label", F.posexplode("ratio").alias("k", "x")).withColumn("bin", F.floor(F.greatest(F.least("x", F.lit(20.0)), F.lit(-20.0)) / STEP))
     rows = cells.groupBy("k", "bin").agg(F.expr("count_if(label = 1)").alias("pos"), F.expr("count_if(label = 0)").alias("neg")).collect()
     best = (-1.0, 0, 1.0, 1.0)
@@ -148,10 +150,10 @@ def calibrate(judged: DataFrame) -> tuple[int, float, float]:
         tp, fp, below = pos, neg, None
         for b, p, n in of:
             if below is not None:
-                f1 = 2 * tp / (tp + fp + pos)
+                f = (1 + BETA**2) * tp / (BETA**2 * pos + tp + fp)
                 at = max(STEP, (below + 1 + b) / 2 * STEP)  # without evidence, at 0, a text is not toxic
-                if f1 > best[0]:
-                    best = (f1, k, at, 8 / max(apart, 1e-6))
+                if f > best[0]:
+                    best = (f, k, at, 8 / max(apart, 1e-6))
             tp, fp, below = tp - p, fp - n, b
     return best[1:]
 
