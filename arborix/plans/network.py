@@ -161,17 +161,17 @@ def _means(tag: str, table: str) -> str:
 
 _DESCRIPTORS = f"""{EDGES}, {_NET}, tp AS (SELECT lb.* FROM lb JOIN lg USING (sample_id, mask_id, component)), {_means('mf', 'lb')}, {_means('ml', 'tp')},
 wn AS (SELECT sample_id, mask_id, sum(n) AS nodes, sum(CASE WHEN n > 1 THEN n END) AS linked, sum(CASE WHEN n > 1 THEN 1 END) AS comps FROM sz GROUP BY ALL)
-SELECT wn.sample_id, wn.mask_id, {r('(1 - lg.n + ml.e) / ml.e')} AS loops_per_edge_largest, {r('(comps - linked + mf.e) / mf.e')} AS loops_per_edge_full,
-  {r('1 / ml.e')} AS comps_per_edge_largest, {r('comps / mf.e')} AS comps_per_edge_full, lg.n AS nodes_largest, CAST(nodes AS BIGINT) AS nodes_full, ml.e AS edges_largest, mf.e AS edges_full,
-  {r('mf.length')} AS length_full, {r('ml.length')} AS length_largest, {r('mf.diameter')} AS diameter_full, {r('ml.diameter')} AS diameter_largest,
-  {r('mf.clr')} AS clr_full, {r('ml.clr')} AS clr_largest, {r('mf.soam / mf.length')} AS soam_per_length_full, {r('ml.soam / mf.length')} AS soam_per_length_largest
+SELECT wn.sample_id, wn.mask_id, {r('(1 - lg.n + ml.e) / ml.e', 8)} AS loops_per_edge_largest, {r('(comps - linked + mf.e) / mf.e', 8)} AS loops_per_edge_full,
+  {r('1 / ml.e', 8)} AS comps_per_edge_largest, {r('comps / mf.e', 8)} AS comps_per_edge_full, lg.n AS nodes_largest, CAST(nodes AS BIGINT) AS nodes_full, ml.e AS edges_largest, mf.e AS edges_full,
+  {r('mf.length', 8)} AS length_full, {r('ml.length', 8)} AS length_largest, {r('mf.diameter', 8)} AS diameter_full, {r('ml.diameter', 8)} AS diameter_largest,
+  {r('mf.clr', 8)} AS clr_full, {r('ml.clr', 8)} AS clr_largest, {r('mf.soam / mf.length', 8)} AS soam_per_length_full, {r('ml.soam / mf.length', 8)} AS soam_per_length_largest
 FROM wn JOIN mf USING (sample_id, mask_id) JOIN lg USING (sample_id, mask_id) JOIN ml USING (sample_id, mask_id)"""
 
 
 @query("t07_descriptors", _DESCRIPTORS)
 def t07(spark, d):
     out = T.descriptors(_edges(spark, d))
-    return out.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes))
+    return out.select(*(F.round(c, 8).alias(c) if t == "double" else c for c, t in out.dtypes))
 
 
 @query("g01_components", f"{EDGES}, {_NET} SELECT sample_id, mask_id, node, component FROM nd WHERE node >= 0")
@@ -446,9 +446,9 @@ def t08(spark, d):
 _Q = lambda v, p: f"(list_sort(list({v}))[CAST(floor(greatest(1, least(count({v}), count({v}) * {p} + 0.5e0))) AS BIGINT)] * (1 - (greatest(1, least(count({v}), count({v}) * {p} + 0.5e0)) - floor(greatest(1, least(count({v}), count({v}) * {p} + 0.5e0))))) + coalesce(list_sort(list({v}))[CAST(floor(greatest(1, least(count({v}), count({v}) * {p} + 0.5e0))) AS BIGINT) + 1] * (greatest(1, least(count({v}), count({v}) * {p} + 0.5e0)) - floor(greatest(1, least(count({v}), count({v}) * {p} + 0.5e0)))), 0))"
 
 
-@query("a18_quantiles", f"{EDGES} " + " UNION ALL ".join(f"SELECT sample_id, {p}e0 AS p, {r(_Q('length', f'{p}e0'))} AS q FROM fx_edges GROUP BY sample_id" for p in (0.1, 0.25, 0.5, 0.9)))
+@query("a18_quantiles", f"{EDGES} " + " UNION ALL ".join(f"SELECT sample_id, {p}e0 AS p, {r(_Q('length', f'{p}e0'), 8)} AS q FROM fx_edges GROUP BY sample_id" for p in (0.1, 0.25, 0.5, 0.9)))
 def a18(spark, d):
-    return T.quantiles(_edges(spark, d), ["sample_id"], "length", [0.1, 0.25, 0.5, 0.9]).select("sample_id", "p", F.round("q", 6).alias("q"))
+    return T.quantiles(_edges(spark, d), ["sample_id"], "length", [0.1, 0.25, 0.5, 0.9]).select("sample_id", "p", F.round("q", 8).alias("q"))
 
 
 def _void(death: str) -> str:

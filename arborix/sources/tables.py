@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ranks import ranked
+
 VOXELS = "image_id string, x int, y int, z int, t int, channel int, value double"
 SUMMARY = ["x1", "y1", "z1", "x2", "y2", "z2", "diameter", "length", "soam", "clr"]
 #: Weight files name their epoch and loss.
@@ -102,6 +104,8 @@ def descriptor_pivot(descriptors: DataFrame, name: str) -> DataFrame:
     masks = descriptors.select("mask_id").distinct().withColumn("mask_pos", rank)
     numbered = descriptors.join(F.broadcast(masks), "mask_id")
     n = masks.count()
+    if n > 10_000:
+        raise ValueError("too many masks for columns")
     wide = numbered.groupBy("sample_id").pivot("mask_pos", list(range(1, n + 1))).agg(F.first(name))
     return wide.select("sample_id", *(F.col(str(i)).alias(f"mask_{i}") for i in range(1, n + 1)))
 
@@ -184,7 +188,7 @@ def expand_series(voxels: DataFrame, path: str) -> None:
 
 def collapse_series(files: DataFrame, name: str = "file") -> DataFrame:
     """Rows of many volumes as one series: t is the rank of the file name."""
-    t = files.select(name).distinct().withColumn("t", (F.row_number().over(Window.orderBy(name)) - 1).cast("int"))
+    t = ranked(files.select(name).distinct(), [name], "t").withColumn("t", F.col("t").cast("int"))
     return files.drop("t").join(t, name).drop(name)
 
 
