@@ -112,7 +112,7 @@ def op5_simhash(spark, sf_dir):
 #: A signature's share of equal slots may be so much below the similarity, four standard errors.
 BANDS, ROWS, SLOTS, MARGIN = 20, 5, 256, 0.1
 #: Members of a bucket that one task holds twice at most.
-BLOCK = 2048
+BLOCK = 512
 
 
 def _signatures(size: int):
@@ -157,8 +157,8 @@ def _sets(size: int):
             for text in batch.column(1).to_pylist():
                 words = text.lower().split()
                 parts = map(join, zip(*(words[i:] for i in range(size)))) if len(words) > size else [join(words)]
-                out.append(np.unique(np.fromiter(map(h, parts, repeat(SEED)), np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "shingles"])
+                out.append(np.unique(np.fromiter(map(h, parts, repeat(SEED)), np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "shingles"])
 
     return run
 
@@ -178,22 +178,43 @@ def _agree(batches):
 def _close(rows: DataFrame, maybe: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(u, v): the pairs of maybe whose shingle sets are similar enough, exactly."""
     wanted = maybe.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = written(rows.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles array<bigint>").dropDuplicates(["id"]), "shingles")
-    both = maybe.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9).select("u", "v")
+    sets = written(rows.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary").dropDuplicates(["id"]), "shingles")
+    both = maybe.select("u", "v").join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u long, v long")
 
 
-def _within(least: float):
-    """A group (band, key, i, j) -> (u, v) of members of blocks i and j whose signatures agree enough; each pair in its first common band only."""
+def _similar(similarity: float):
+    """The pairs (u, v, a, b) whose shingle sets a and b are similar enough."""
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                common = len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), assume_unique=True))
+                keep.append(common >= similarity * ((len(a) + len(b)) // 8 - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _within(least: float, similarity: float):
+    """A group (band, key, i, j) -> (u, v): links between members of blocks i and j that join different groups of theirs.
+
+    A pair is compared in its first common band only, by signatures first and then exactly; once two members are joined by links that were found, no more pairs between
+    what they are joined to are compared, so there are fewer links than members.
+    """
 
     def run(found: pa.Table) -> pa.Table:
         import numpy as np
 
         found = found.combine_chunks()
         band, i, j = (found.column(c)[0].as_py() for c in ("band", "i", "j"))
-        block, rep, comp = (found.column(c).to_numpy() for c in ("block", "rep", "comp"))
+        block, rep = (found.column(c).to_numpy() for c in ("block", "rep"))
+        _, comp = np.unique(found.column("comp").to_numpy(), return_inverse=True)
         sig = np.frombuffer(b"".join(found.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS)
+        sets = [np.frombuffer(s, "<u8") for s in found.column("shingles").to_pylist()]
         earlier = np.array(found.column("keys").to_pylist(), np.int64).reshape(-1, BANDS)[:, :band]
         left = np.flatnonzero(block == i)
         right = left if i == j else np.flatnonzero(block == j)
@@ -205,18 +226,23 @@ def _within(least: float):
                 other = other[~(earlier[other] == earlier[x]).any(axis=1)]
             if len(other):
                 other = other[(sig[other] == sig[x]).mean(axis=1) >= least]
-            u += [rep[x]] * len(other)
-            v += rep[other].tolist()
+            for y in other:
+                if comp[x] != comp[y]:
+                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if common >= similarity * (len(sets[x]) + len(sets[y]) - common) - 1e-9:
+                        u.append(rep[x])
+                        v.append(rep[y])
+                        comp[comp == comp[y]] = comp[x]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def _rest(keys: DataFrame, one: DataFrame, ends: DataFrame, linked: DataFrame, least: float) -> DataFrame:
-    """(u, v): members of a bucket that are in different groups of linked and of which neither is an end, with signatures that agree enough.
+def _rest(rows: DataFrame, keys: DataFrame, one: DataFrame, ends: DataFrame, linked: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): links between members of a bucket that are in different groups of linked and of which neither is an end.
 
-    A bucket is dealt into blocks and every two blocks meet in one group, so that no task holds a bucket and
-    no pair is a row before its signatures are compared.
+    A bucket is dealt into blocks and every two blocks meet in one group, with their shingle sets, so that no task holds a bucket and
+    no pair is a row before it is verified.
     """
     groups = linked.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     named = keys.join(ends, ["band", "key"]).where("rep <> a AND rep <> b").select("rep", "band", "key").join(groups, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -224,8 +250,10 @@ def _rest(keys: DataFrame, one: DataFrame, ends: DataFrame, linked: DataFrame, l
     crowd = named.join(mixed.select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), ["band", "key"])
     crowd = crowd.withColumn("block", F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     crowd = crowd.select("rep", "band", "key", "comp", "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
-    full = crowd.join(one.select("rep", "sig", "keys"), "rep")
-    return full.groupBy("band", "key", "i", "j").applyInArrow(_within(least), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    crowd = written(crowd, "crowd")
+    sets = rows.join(crowd.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary").dropDuplicates(["id"])
+    full = crowd.join(one.select("rep", "sig", "keys"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    return full.groupBy("band", "key", "i", "j").applyInArrow(_within(similarity - MARGIN, similarity), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,8 +275,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     both = pairs.join(sigs.withColumnsRenamed({"rep": "u", "sig": "su"}), "u").join(sigs.withColumnsRenamed({"rep": "v", "sig": "sv"}), "v")
     maybe = written(both.select("u", "v", "su", "sv").mapInArrow(_agree, "u long, v long, share double").where(F.col("share") >= similarity - MARGIN), "maybe")
     close = written(_close(rows, maybe, shingle, similarity), "close")
-    rest = written(_rest(keys, one, ends, connected_components(close), similarity - MARGIN), "rest")
-    close = close.unionByName(_close(rows, rest, shingle, similarity))
+    rest = written(_rest(rows, keys, one, ends, connected_components(close), shingle, similarity), "rest")
+    close = close.unionByName(rest)
     copies = signed.select("id", "set").join(one.select("set", "rep"), "set").where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
     return connected_components(close.unionByName(copies)).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
 
