@@ -6,11 +6,15 @@ from conftest import SF, rows
 from arborix.plans import registry
 
 
+#: At this size the volumes are too thin for a median to leave anything; test_tracks.py has a known answer.
+EMPTY = {"v10_clean_up"}
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
     got = registry.QUERIES[name](spark, SF).toPandas()
     if name not in registry.ORACLE_SQL:
-        assert len(got)
+        assert len(got) or name in EMPTY
         return
     assert rows(got) == rows(duck.sql(registry.ORACLE_SQL[name]).df())
 

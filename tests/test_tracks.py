@@ -87,6 +87,15 @@ def test_fill_holes_in_space(spark):
     assert {(r.x, r.y, r.z) for r in voxels.fill_holes(v, dims, 6).collect()} == full | small
 
 
+def test_clean_up_of_a_cube(spark):
+    """A hole and a lone voxel go; the planar median cuts the four upright edges, which closing does not bring back."""
+    cube = {(x, y, z) for x in range(3, 11) for y in range(3, 11) for z in range(2, 10)}
+    given = cube - {(6, 6, 5)} | {(14, 14, 1)}
+    v = spark.createDataFrame([("a", *p, 200.0) for p in given], VOX)
+    got = {(r.x, r.y, r.z) for r in voxels.clean_up(v, (16, 16, 12), 127, 20, hole=20).collect()}
+    assert got == {p for p in cube if not (p[0] in (3, 10) and p[1] in (3, 10))}
+
+
 def test_end_nodes_within_reach(spark):
     random.seed(6)
     data = [("s", i, *(random.randrange(14) for _ in range(3))) for i in range(60)]
