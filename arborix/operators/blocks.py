@@ -21,6 +21,7 @@ def by_blocks(voxels: DataFrame, run: Callable, halo: tuple[int, int, int], dims
     run gets the values of a block with its halo, cut at the volume's sides if dims are given, and the block's own corners
     within that array; it gives an array of the block's own shape, of which the values other than 0 become rows.
     """
+    kind = voxels.schema["image_id"].dataType.simpleString()
     out = voxels.select("image_id", *"xyz", F.col(value).cast("double").alias("value"))
     for c, side, h in zip("xyz", sides, halo):
         out = out.withColumn(f"b{c}", F.explode(F.sequence(F.floor((F.col(c) - h) / side).cast("int"), F.floor((F.col(c) + h) / side).cast("int"))))
@@ -29,7 +30,6 @@ def by_blocks(voxels: DataFrame, run: Callable, halo: tuple[int, int, int], dims
         import numpy as np
         import pyarrow as pa
 
-        image = key[0].as_py()
         first = [k.as_py() * s for k, s in zip(key[1:], sides)]
         last = [f + s for f, s in zip(first, sides)]
         lo, hi = [f - h for f, h in zip(first, halo)], [f + h for f, h in zip(last, halo)]
@@ -45,9 +45,41 @@ def by_blocks(voxels: DataFrame, run: Callable, halo: tuple[int, int, int], dims
             own = run(array, [f - a for f, a in zip(first, lo)], [e - a for e, a in zip(last, lo)])
             places = np.nonzero(own)
             values = own[places]
-        return pa.table({"image_id": pa.array([image] * len(values), pa.string())} | {c: pa.array((p + f).astype(np.int32)) for c, p, f in zip("xyz", places, first)} | {"value": pa.array(values, pa.float64())})
+        return pa.table({"image_id": pa.repeat(key[0], len(values))} | {c: pa.array((p + f).astype(np.int32)) for c, p, f in zip("xyz", places, first)} | {"value": pa.array(values, pa.float64())})
 
-    return out.groupBy("image_id", "bx", "by", "bz").applyInArrow(block, "image_id string, x int, y int, z int, value double")
+    return out.groupBy("image_id", "bx", "by", "bz").applyInArrow(block, f"image_id {kind}, x int, y int, z int, value double")
+
+
+def running_largest(array, size: int, axis: int):
+    """Largest of `size` neighbours along an axis, what lies beyond the array being less than all: within fixed runs of that length
+    the maxima from the left and from the right, of which each window needs one of either."""
+    import numpy as np
+
+    if size == 1:
+        return array
+    lines = np.moveaxis(array, axis, -1)
+    n, half = lines.shape[-1], size // 2
+    runs = -(-(n + 2 * half) // size)
+    wide = np.full((*lines.shape[:-1], runs * size), -np.inf)
+    wide[..., half : half + n] = lines
+    wide = wide.reshape(*lines.shape[:-1], runs, size)
+    left = np.maximum.accumulate(wide, axis=-1).reshape(*lines.shape[:-1], -1)
+    right = np.maximum.accumulate(wide[..., ::-1], axis=-1)[..., ::-1].reshape(*lines.shape[:-1], -1)
+    return np.moveaxis(np.maximum(right[..., :n], left[..., 2 * half : 2 * half + n]), -1, axis)
+
+
+def largest(size: tuple[int, int, int], then_least: bool = False) -> Callable:
+    """Largest value of a box of odd sides; then_least: the least of those in turn, which needs twice the halo."""
+
+    def run(array, low, high):
+        for axis, s in enumerate(size):
+            array = running_largest(array, s, axis)
+        if then_least:
+            for axis, s in enumerate(size):
+                array = -running_largest(-array, s, axis)
+        return array[tuple(slice(lo, hi) for lo, hi in zip(low, high))]
+
+    return run
 
 
 def median(size: tuple[int, int, int]) -> Callable:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.shared import written
-from .blocks import by_blocks, median
-from .components import connected_components
+from . import labels
+from .blocks import by_blocks, largest, median
 
 KEYS = ["image_id", "x", "y", "z"]
 OFFSETS26 = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (dx, dy, dz) != (0, 0, 0)]
@@ -53,13 +53,8 @@ def neighbour_counts(voxels: DataFrame, offsets=OFFSETS26) -> DataFrame:
 
 
 def label(voxels: DataFrame, dims, offsets=OFFSETS26) -> DataFrame:
-    """voxels with `component`, the smallest linear index of the connected voxels."""
-    v = voxels.withColumn("_id", voxel_id(dims))
-    pairs = adjacency(voxels, offsets)
-    at = lambda tag: (((F.col(f"x{tag}").cast("long") * dims[1] + F.col(f"y{tag}")) * dims[2]) + F.col(f"z{tag}"))
-    edges = pairs.select("image_id", at("").alias("u"), at("2").alias("v"))
-    cc = connected_components(edges, ["image_id"]).withColumnRenamed("node", "_id")
-    return v.join(cc, ["image_id", "_id"], "left").withColumn("component", F.coalesce("component", "_id")).drop("_id")
+    """voxels with `component`, the smallest linear index of the connected voxels; labelled within blocks, then over block faces."""
+    return labels.label(voxels, dims, offsets)
 
 
 def remove_small_objects(voxels: DataFrame, dims, min_size: int, offsets=OFFSETS26) -> DataFrame:
@@ -76,15 +71,10 @@ def dense(voxels: DataFrame, dims, value: str = "value") -> DataFrame:
     return grid.join(voxels.select(*KEYS, value), KEYS, "left").na.fill(0, [value])
 
 
-def background(voxels: DataFrame, dims) -> DataFrame:
-    return dense(voxels.withColumn("_v", F.lit(1)), dims, "_v").where("_v = 0").select(*KEYS)
-
-
 def fill_holes(voxels: DataFrame, dims, max_size: int, planar: bool = False) -> DataFrame:
     """Foreground with background components of under max_size voxels added; planar: plane by plane."""
-    holes = written(label(background(voxels, dims), dims, OFFSETS4 if planar else OFFSETS6), "holes")
-    small = holes.groupBy("image_id", "component").agg(F.count("*").alias("_n")).where(F.col("_n") < max_size)
-    return voxels.select(*KEYS).unionByName(holes.join(small, ["image_id", "component"], "left_semi").select(*KEYS))
+    v = voxels.select(*KEYS)
+    return v.unionByName(labels.small_holes(v, dims, OFFSETS4 if planar else OFFSETS6, max_size))
 
 
 def box(size: tuple[int, int, int]) -> list[tuple[int, int, int]]:
@@ -97,24 +87,16 @@ def inside(dims) -> Column:
 
 
 def closing(voxels: DataFrame, dims, size=(3, 3, 3)) -> DataFrame:
-    """Dilation by a box, then erosion: a voxel stays if all of its box that lies in the volume is dilated."""
-    b = box(size)
-    wide = shifted(voxels.select(*KEYS), b).where(inside(dims)).select(*KEYS).distinct()
-    hits = shifted(wide, b).where(inside(dims)).groupBy(*KEYS).agg(F.count("*").alias("n"))
-    r = [s // 2 for s in size]
-    whole = F.lit(1)
-    for c, n, k in zip("xyz", dims, r):
-        whole = whole * (F.least(F.col(c) + k, F.lit(n - 1)) - F.greatest(F.col(c) - k, F.lit(0)) + 1)
-    return hits.where(F.col("n") == whole).select(*KEYS)
+    """Dilation by a box, then erosion: a voxel stays if all of its box that lies in the volume is dilated. The cost does not grow with the box."""
+    reach = tuple(2 * (s // 2) for s in size)
+    return by_blocks(voxels.withColumn("_one", F.lit(1)), largest(size, then_least=True), reach, dims, "_one").select(*KEYS)
 
 
 def maximum_filter(voxels: DataFrame, dims, size=(5, 5, 3), value: str = "value") -> DataFrame:
-    """Largest value of a box, one axis after the other."""
-    out = voxels.select(*KEYS, value)
-    for axis, s in enumerate(size):
-        line = [tuple(k if i == axis else 0 for i in range(3)) for k in range(-(s // 2), s // 2 + 1)]
-        out = shifted(out, line, value).where(inside(dims)).groupBy(*KEYS).agg(F.max(value).alias(value))
-    return out
+    """Largest value of a box, absent voxels being 0; places of value 0 are no rows. The cost does not grow with the box."""
+    kind = voxels.schema[value].dataType.simpleString()
+    out = by_blocks(voxels, largest(size), tuple(s // 2 for s in size), dims, value)
+    return out.select(*KEYS, F.col("value").cast(kind).alias(value))
 
 
 def median_filter(voxels: DataFrame, dims, size=(3, 3, 1), value: str = "value") -> DataFrame:

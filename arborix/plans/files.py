@@ -154,8 +154,3 @@ def a25(spark, d):
 @query("v10_clean_up")
 def v10(spark, d):
     return V.clean_up(fixture(spark, d, "fx_voxels"), DIMS, 127, 20)
-
-
-@query("v08_fill_holes_in_space")
-def v08(spark, d):
-    return V.fill_holes(fixture(spark, d, "fx_voxels").where("value >= 60").select(*V.KEYS), DIMS, 500)

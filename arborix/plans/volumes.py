@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import voxels as V
 from ..sources import tables as S
 from ..sources.fixtures import DIMS, ctes, fixture
-from .common import query, r
+from .common import label_sql, query, r
 
 VOX = ctes("fx_voxels")
 K = "image_id, x, y, z"
@@ -159,7 +159,7 @@ def p10(spark, d):
     return V.clip_sides(_vox(spark, d), DIMS, (4, 2, 1), (8, 2, 1))
 
 
-@query("p11_pad", f"{VOX}, g AS (SELECT DISTINCT image_id, CAST(a.i AS INT) AS x, CAST(b.i AS INT) AS y, CAST(c.i AS INT) AS z FROM fx_voxels, range({NX + 2}) a(i), range({NY + 2}) b(i), range({NZ + 1}) c(i)) SELECT image_id, x + 1 AS x, y + 1 AS y, z AS z, value FROM fx_voxels UNION ALL SELECT *, 7 FROM g WHERE NOT (x BETWEEN 1 AND {NX} AND y BETWEEN 1 AND {NY} AND z BETWEEN 0 AND {NZ - 1})")
+@query("p11_pad", f"{VOX}, g AS (SELECT DISTINCT image_id, CAST(a.i AS INT) AS x, CAST(b.i AS INT) AS y, CAST(c.i AS INT) AS z FROM (SELECT DISTINCT image_id FROM fx_voxels), range({NX + 2}) a(i), range({NY + 2}) b(i), range({NZ + 1}) c(i)) SELECT image_id, x + 1 AS x, y + 1 AS y, z AS z, value FROM fx_voxels UNION ALL SELECT *, 7 FROM g WHERE NOT (x BETWEEN 1 AND {NX} AND y BETWEEN 1 AND {NY} AND z BETWEEN 0 AND {NZ - 1})")
 def p11(spark, d):
     return V.pad_sides(_vox(spark, d), DIMS, (1, 1, 0), (1, 1, 1), 7)
 
@@ -214,35 +214,41 @@ def v11b(spark, d):
     return V.endpoints(_fg(spark, d))
 
 
-_LABEL = f"""{VOX}, f5 AS (SELECT image_id, x, y, z, (CAST(x AS BIGINT) * {NY} + y) * {NZ} + z AS id FROM fx_voxels WHERE value >= 245), {_O26},
-ad AS (SELECT a.image_id, a.id AS u, b.id AS v FROM f5 a, o JOIN f5 b ON b.image_id = a.image_id AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz),
-lc(image_id, id, c) AS (SELECT image_id, id, id FROM f5 UNION SELECT ad.image_id, ad.v, lc.c FROM lc JOIN ad ON ad.image_id = lc.image_id AND ad.u = lc.id WHERE lc.c < ad.v),
-lb AS (SELECT image_id, id, min(c) AS component FROM lc GROUP BY ALL)"""
+_LABEL = f"""{VOX}, fm AS MATERIALIZED (SELECT image_id, x, y, z, (CAST(x AS BIGINT) * {NY} + y) * {NZ} + z AS id FROM fx_voxels WHERE value >= 127), {_O26},
+ad AS MATERIALIZED (SELECT a.image_id, a.id AS u, b.id AS v FROM (SELECT *, x + dx AS x2, y + dy AS y2, z + dz AS z2 FROM fm, o) a JOIN fm b ON b.image_id = a.image_id AND b.x = a.x2 AND b.y = a.y2 AND b.z = a.z2),
+{label_sql('fm', 'ad')}"""
 
 
-@query("v06_label", f"{_LABEL} SELECT image_id, x, y, z, component FROM f5 JOIN lb USING (image_id, id)")
+@query("v06_label", f"{_LABEL} SELECT image_id, x, y, z, component FROM fm JOIN lb USING (image_id, id)")
 def v06(spark, d):
-    return V.label(_fg(spark, d, 245).select(*V.KEYS), DIMS)
+    return V.label(_fg(spark, d, 127).select(*V.KEYS), DIMS)
 
 
-@query("v07_small_objects", f"{_LABEL}, n AS (SELECT image_id, component FROM lb GROUP BY ALL HAVING count(*) >= 3) SELECT image_id, x, y, z FROM f5 JOIN lb USING (image_id, id) JOIN n USING (image_id, component)")
+@query("v07_small_objects", f"{_LABEL}, n AS (SELECT image_id, component FROM lb GROUP BY ALL HAVING count(*) >= 3) SELECT image_id, x, y, z FROM fm JOIN lb USING (image_id, id) JOIN n USING (image_id, component)")
 def v07(spark, d):
-    return V.remove_small_objects(_fg(spark, d, 245).select(*V.KEYS), DIMS, 3)
+    return V.remove_small_objects(_fg(spark, d, 127).select(*V.KEYS), DIMS, 3)
 
 
-_GRID = f"gr AS (SELECT DISTINCT image_id, CAST(a.i AS INT) AS x, CAST(b.i AS INT) AS y, CAST(c.i AS INT) AS z FROM fx_voxels, range({NX}) a(i), range({NY}) b(i), range({NZ}) c(i))"
+_GRID = f"gr AS (SELECT DISTINCT image_id, CAST(a.i AS INT) AS x, CAST(b.i AS INT) AS y, CAST(c.i AS INT) AS z FROM (SELECT DISTINCT image_id FROM fx_voxels), range({NX}) a(i), range({NY}) b(i), range({NZ}) c(i))"
 
 
-@query(
-    "v08_fill_holes",
-    f"""{VOX}, {_GRID}, ft AS (SELECT {K} FROM fx_voxels WHERE value >= 60), bg AS (SELECT *, (CAST(x AS BIGINT) * {NY} + y) * {NZ} + z AS id FROM (SELECT * FROM gr EXCEPT SELECT {K} FROM ft)),
-    ad AS (SELECT a.image_id, a.id AS u, b.id AS v FROM bg a JOIN bg b ON a.image_id = b.image_id AND a.z = b.z AND ((a.x = b.x AND (a.y = b.y + 1 OR a.y = b.y - 1)) OR (a.y = b.y AND (a.x = b.x + 1 OR a.x = b.x - 1)))),
-    lc(image_id, id, c) AS (SELECT image_id, id, id FROM bg UNION SELECT ad.image_id, ad.v, lc.c FROM lc JOIN ad ON ad.image_id = lc.image_id AND ad.u = lc.id WHERE lc.c < ad.v AND ad.v % {NZ} > 0),
-    lb AS (SELECT image_id, id, min(c) AS m FROM lc GROUP BY ALL), sm AS (SELECT image_id, m FROM lb GROUP BY ALL HAVING count(*) < 4)
-    SELECT {K} FROM ft UNION ALL SELECT image_id, x, y, z FROM bg JOIN lb USING (image_id, id) JOIN sm USING (image_id, m) WHERE z > 0""",
-)
+def fill_sql(size: int, planar: bool) -> str:
+    """Voxels of 60 or more and background components of under `size` voxels; planes by themselves or in space."""
+    steps = ("(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0)" if planar else "(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)")
+    return f"""{VOX}, {_GRID}, ft AS (SELECT {K} FROM fx_voxels WHERE value >= 60), bg AS MATERIALIZED (SELECT *, (CAST(x AS BIGINT) * {NY} + y) * {NZ} + z AS id FROM (SELECT * FROM gr EXCEPT SELECT {K} FROM ft)),
+    ad AS MATERIALIZED (SELECT a.image_id, a.id AS u, b.id AS v FROM (SELECT *, x + dx AS x2, y + dy AS y2, z + dz AS z2 FROM bg, (VALUES {steps}) o(dx, dy, dz)) a JOIN bg b ON b.image_id = a.image_id AND b.x = a.x2 AND b.y = a.y2 AND b.z = a.z2),
+    {label_sql('bg', 'ad')}, sm AS (SELECT image_id, component FROM lb GROUP BY ALL HAVING count(*) < {size})
+    SELECT {K} FROM ft UNION ALL SELECT image_id, x, y, z FROM bg JOIN lb USING (image_id, id) JOIN sm USING (image_id, component)"""
+
+
+@query("v08_fill_holes", fill_sql(500, True))
 def v08(spark, d):
-    return V.fill_holes(_fg(spark, d, 60), DIMS, 4, planar=True).where("z > 0")
+    return V.fill_holes(_fg(spark, d, 60), DIMS, 500, planar=True)
+
+
+@query("v08_fill_holes_in_space", fill_sql(500, False))
+def v08b(spark, d):
+    return V.fill_holes(_fg(spark, d, 60), DIMS, 500)
 
 
 _BOX = lambda rx, ry, rz: f"(SELECT a.i - {rx} AS dx, b.i - {ry} AS dy, c.i - {rz} AS dz FROM range({2 * rx + 1}) a(i), range({2 * ry + 1}) b(i), range({2 * rz + 1}) c(i))"
