@@ -7,6 +7,7 @@ from .chat import OP10_SQL, op10_chat
 from .decontaminate import op8_decontaminate
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .langid import op2_language_id
+from .merkle import OP13_SQL, op13_merkle_manifest
 from .simhash import op5_simhash
 from .suffix_dedup import op4_suffix_dedup
 from .token_store import op1_token_store
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
     "op6_url_filter": OP6_SQL,
     "op10_chat": OP10_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
