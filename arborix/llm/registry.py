@@ -11,6 +11,7 @@ from .merkle import OP13_SQL, op13_merkle_manifest
 from .simhash import op5_simhash
 from .suffix_dedup import op4_suffix_dedup
 from .token_store import op1_token_store
+from .topk import OP11_SQL, op11_top_products
 from .toxicity import op7_toxicity
 from .urlfilter import OP6_SQL, op6_url_filter
 
@@ -25,11 +26,13 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
+    "op11_top_products": op11_top_products,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
     "op6_url_filter": OP6_SQL,
     "op10_chat": OP10_SQL,
+    "op11_top_products": OP11_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
