@@ -7,6 +7,7 @@ from .chat import OP10_SQL, op10_chat
 from .decontaminate import op8_decontaminate
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .langid import op2_language_id
+from .lexical import OP12_SQL, op12_lexical_search
 from .merkle import OP13_SQL, op13_merkle_manifest
 from .simhash import op5_simhash
 from .suffix_dedup import op4_suffix_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
     "op11_top_products": op11_top_products,
+    "op12_lexical_search": op12_lexical_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL = {
@@ -34,5 +36,6 @@ ORACLE_SQL = {
     "op6_url_filter": OP6_SQL,
     "op10_chat": OP10_SQL,
     "op11_top_products": OP11_SQL,
+    "op12_lexical_search": OP12_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
