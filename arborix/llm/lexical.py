@@ -207,7 +207,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id
     N, L = stats.first()
     shards = max(1, -(-n // shard))
     weight = F.floor(1000 * F.log(F.lit(2.0 * N + 2) / (2 * F.col("df") + 1))).cast("long")
-    weights = postings.groupBy("tid").agg(F.count("*").alias("df")).select("tid", weight.alias("w"))
+    weights = written(postings.groupBy("tid").agg(F.count("*").alias("df")).select("tid", weight.alias("w")), "weights")
     m = F.expr(f"10 + (90L * n * {N}L) div {L}L")
     impact = F.col("w") * F.expr("(1000000000L * tf) div (1000L * tf + 8L * m)")
     lists = postings.join(weights, "tid").withColumn("m", m).withColumn("impact", impact)
