@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import as_bytes, small_batches, table, written
+from .common import as_bytes, small_batches, table, without, written
+from .streams import dealt, runs
 
 SEGMENTS = 2
 #: Fingerprints with one value of a segment beyond which its table is split.
@@ -111,12 +112,14 @@ def op5_simhash(spark, sf_dir):
 
 #: A signature's share of equal slots may be so much below the similarity, four standard errors.
 BANDS, ROWS, SLOTS, MARGIN = 20, 5, 256, 0.1
-#: Members of a bucket that one task holds twice at most.
-BLOCK = 512
+#: Members of a bucket in a block, with so many shingles at most if there are several.
+BLOCK, SHINGLES = 512, 500_000
+#: Members of a bucket's largest group that all others are compared with before the rest.
+TRIES = 8
 
 
 def _signatures(size: int):
-    """(id, set, sig, keys): a digest of the shingle set, its minwise signature and the keys of its segments."""
+    """(id, v, set, size, sig, keys): a digest of the shingle set, its size, its minwise signature and the keys of its segments."""
 
     def run(batches):
         from hashlib import blake2b
@@ -128,12 +131,13 @@ def _signatures(size: int):
         odd = np.random.default_rng(SEED).integers(0, 1 << 63, (2, SLOTS), dtype=np.uint64)
         times, plus = odd[0][:, None] * np.uint64(2) + np.uint64(1), odd[1][:, None]
         for batch in batches:
-            sets, sig, keys = [], [], []
+            sets, sizes, sig, keys = [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = text.lower().split()
                 parts = map(join, zip(*(words[i:] for i in range(size)))) if len(words) > size else [join(words)]
                 hashes = np.unique(np.fromiter(map(h, parts, repeat(SEED)), np.uint64))
                 sets.append(blake2b(hashes.tobytes(), digest_size=16).digest())
+                sizes.append(len(hashes))
                 least = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
                 for at in range(0, len(hashes), 4096):
                     part = (hashes[at : at + 4096] ^ plus) * times
@@ -141,7 +145,8 @@ def _signatures(size: int):
                 mixed = least ^ (least >> np.uint64(33))
                 sig.append(mixed.astype("<u2").tobytes())
                 keys.append([_signed(h(least[b * ROWS : b * ROWS + ROWS].tobytes(), b)) for b in range(BANDS)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "set", "sig", "keys"])
+            columns = [batch.column("id"), batch.column("v"), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "v", "set", "size", "sig", "keys"])
 
     return run
 
@@ -158,7 +163,7 @@ def _sets(size: int):
                 words = text.lower().split()
                 parts = map(join, zip(*(words[i:] for i in range(size)))) if len(words) > size else [join(words)]
                 out.append(np.unique(np.fromiter(map(h, parts, repeat(SEED)), np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rep", "shingles"])
 
     return run
 
@@ -175,14 +180,6 @@ def _agree(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).mean(axis=1))], ["u", "v", "share"])
 
 
-def _close(rows: DataFrame, maybe: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(u, v): the pairs of maybe whose shingle sets are similar enough, exactly."""
-    wanted = maybe.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = written(rows.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary").dropDuplicates(["id"]), "shingles")
-    both = maybe.select("u", "v").join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u long, v long")
-
-
 def _similar(similarity: float):
     """The pairs (u, v, a, b) whose shingle sets a and b are similar enough."""
 
@@ -199,89 +196,141 @@ def _similar(similarity: float):
     return run
 
 
-def _within(least: float, similarity: float):
-    """A group (band, key, i, j) -> (u, v): links between members of blocks i and j that join different groups of theirs.
+def _verified(pairs: DataFrame, one: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the pairs that are similar enough, by their signatures first and then exactly by their shingle sets."""
+    sigs, s = one.select("rep", "sig"), sets.select("rep", "shingles")
+    both = pairs.join(sigs.withColumnsRenamed({"rep": "u", "sig": "su"}), "u").join(sigs.withColumnsRenamed({"rep": "v", "sig": "sv"}), "v")
+    maybe = both.select("u", "v", "su", "sv").mapInArrow(_agree, "u long, v long, share double").where(F.col("share") >= similarity - MARGIN)
+    full = maybe.join(s.withColumnsRenamed({"rep": "u", "shingles": "a"}), "u").join(s.withColumnsRenamed({"rep": "v", "shingles": "b"}), "v")
+    return full.select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u long, v long")
+
+
+def _probed(least: float, similarity: float):
+    """Blocks of a bucket's members, each followed by probes -> (u, v): links of probes to members of other groups.
 
-    A pair is compared in its first common band only, by signatures first and then exactly; once two members are joined by links that were found, no more pairs between
-    what they are joined to are compared, so there are fewer links than members.
+    A pair is compared in its first common band only. Once a probe's group and another are joined by a link, no more pairs between them are compared,
+    so there are fewer links than groups.
     """
 
-    def run(found: pa.Table) -> pa.Table:
+    def run(batches):
         import numpy as np
 
-        found = found.combine_chunks()
-        band, i, j = (found.column(c)[0].as_py() for c in ("band", "i", "j"))
-        block, rep = (found.column(c).to_numpy() for c in ("block", "rep"))
-        _, comp = np.unique(found.column("comp").to_numpy(), return_inverse=True)
-        sig = np.frombuffer(b"".join(found.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS)
-        sets = [np.frombuffer(s, "<u8") for s in found.column("shingles").to_pylist()]
-        earlier = np.array(found.column("keys").to_pylist(), np.int64).reshape(-1, BANDS)[:, :band]
-        left = np.flatnonzero(block == i)
-        right = left if i == j else np.flatnonzero(block == j)
-        u, v = [], []
-        for at, x in enumerate(left):
-            other = right[at + 1 :] if i == j else right
-            other = other[comp[other] != comp[x]]
-            if band and len(other):
-                other = other[~(earlier[other] == earlier[x]).any(axis=1)]
-            if len(other):
-                other = other[(sig[other] == sig[x]).mean(axis=1) >= least]
-            for y in other:
-                if comp[x] != comp[y]:
-                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if common >= similarity * (len(sets[x]) + len(sets[y]) - common) - 1e-9:
-                        u.append(rep[x])
-                        v.append(rep[y])
-                        comp[comp == comp[y]] = comp[x]
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        def columns(rows):
+            return (
+                rows.column("rep").to_numpy(),
+                rows.column("comp").to_numpy().copy(),
+                np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS),
+                [np.frombuffer(s, "<u8") for s in rows.column("shingles").to_pylist()],
+                np.array(rows.column("keys").to_pylist(), np.int64).reshape(-1, BANDS),
+            )
+
+        now, held, block, names = None, [], None, {}
+        for key, kind, rows in runs(batches, ["band", "key", "class", "block"]):
+            if key != now:
+                now, held, block, names = key, [], None, {}
+            if kind == 0:
+                held.append(rows)
+                continue
+            if not held:
+                continue
+            block = block or columns(pa.Table.from_batches(held))
+            rep, comp, sig, sets, keys = block
+            band, u, v = int(key[0]), [], []
+            for x, own, x_sig, x_set, x_keys in zip(*columns(rows)):
+                while own in names:
+                    own = names[own]
+                other = np.flatnonzero(comp != own)
+                if band and len(other):
+                    other = other[~(keys[other, :band] == x_keys[:band]).any(axis=1)]
+                if len(other):
+                    other = other[(sig[other] == x_sig).mean(axis=1) >= least]
+                for y in other:
+                    if comp[y] != own:
+                        common = len(np.intersect1d(x_set, sets[y], assume_unique=True))
+                        if common >= similarity * (len(x_set) + len(sets[y]) - common) - 1e-9:
+                            u.append(x)
+                            v.append(rep[y])
+                            names[int(comp[y])] = own
+                            comp[comp == comp[y]] = own
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
 
-def _rest(rows: DataFrame, keys: DataFrame, one: DataFrame, ends: DataFrame, linked: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(u, v): links between members of a bucket that are in different groups of linked and of which neither is an end.
+def _named(buckets: DataFrame, close: DataFrame) -> DataFrame:
+    """buckets(rep, band, key) that have members of several groups of close: with each member's group and the bucket's largest one."""
+    groups = connected_components(close).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    named = written(buckets.join(groups, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "members")
+    most = named.groupBy("band", "key", "comp").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.count("*").alias("groups"))
+    most = written(most.where("groups > 1").select("band", "key", "most"), "most")
+    return written(named.join(most, ["band", "key"]), "mixed")
 
-    A bucket is dealt into blocks and every two blocks meet in one group, with their shingle sets, so that no task holds a bucket and
-    no pair is a row before it is verified.
+
+def _rest(mixed: DataFrame, one: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links from the members that are not in their bucket's largest group to all others of the bucket.
+
+    A bucket's members are dealt into classes of set sizes, a class reaching only its neighbours, and a class into blocks. Members of the largest group are in one block each; only the others are
+    sent to several.
     """
-    groups = linked.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    named = keys.join(ends, ["band", "key"]).where("rep <> a AND rep <> b").select("rep", "band", "key").join(groups, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = named.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    crowd = named.join(mixed.select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), ["band", "key"])
-    crowd = crowd.withColumn("block", F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    crowd = crowd.select("rep", "band", "key", "comp", "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
-    crowd = written(crowd, "crowd")
-    sets = rows.join(crowd.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary").dropDuplicates(["id"])
-    full = crowd.join(one.select("rep", "sig", "keys"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
-    return full.groupBy("band", "key", "i", "j").applyInArrow(_within(similarity - MARGIN, similarity), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    full = mixed.join(one.select("rep", "sig", "keys", F.floor(F.log("size") / F.log(F.lit(1 / similarity))).cast("int").alias("class")), "rep").join(sets, "rep")
+    held = F.greatest(F.lit(1), F.least(F.lit(float(BLOCK)), F.lit(float(SHINGLES)) * F.pow(F.lit(similarity), F.col("class") + 1))).cast("int")
+    sizes = mixed.join(one.select("rep", F.floor(F.log("size") / F.log(F.lit(1 / similarity))).cast("int").alias("class")), "rep")
+    sizes = written(sizes.groupBy("band", "key", "class").agg(F.count("*").alias("n")).select("band", "key", "class", F.ceil(F.col("n") / held).cast("int").alias("blocks")), "classes")
+    members = full.join(sizes, ["band", "key", "class"]).withColumn("block", F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int"))
+    probes = full.where("comp <> most").withColumn("class", F.explode(F.array(F.col("class") - 1, "class", F.col("class") + 1))).join(sizes, ["band", "key", "class"])
+    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    out = ["band", "key", "class", "block", "rep", "comp", "sig", "keys", "shingles"]
+    return dealt([members.select(*out), probes.select(*out)], out[:4]).mapInArrow(_probed(similarity - MARGIN, similarity), "u long, v long")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of the documents that have near duplicates; ids must be integers, rows with null ids are left out.
+    """(id, text_hash, component_id, kept_hash) of the documents that have near duplicates: component_id is the smallest id of the group, null last, and kept_hash
+    tells the text of that row, if its id has several. Texts are told apart by xxhash64.
 
-    All members of a bucket are compared. First each with the two ends of its bucket, which are other ones in
-    each table and link most groups; then all other pairs of the bucket that these links leave in different groups, since a
-    pair within a group changes nothing. Documents whose shingle sets are equal are one for this.
+    All members of a bucket are compared. First each with the two ends of its bucket, which are other ones in each table and link most groups. Where that leaves several groups in a bucket,
+    the members outside of the largest one are compared with TRIES of its members, and then, outside of what is the largest now, with all
+    others of the bucket. Documents whose shingle sets are equal are one for this.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("t")).where("id IS NOT NULL")
-    signed = written(rows.mapInArrow(_signatures(shingle), "id long, set binary, sig binary, keys array<bigint>"), "signatures")
-    one = written(signed.groupBy("set").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "sigs")
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("t")).withColumn("v", F.xxhash64("t"))
+    signed = rows.select("id", "t", "v").mapInArrow(_signatures(shingle), f"id {kind}, v long, set binary, size int, sig binary, keys array<bigint>")
+    signed = written(signed, "signatures")
+    one = signed.groupBy("set").agg(F.min(F.struct("v", "id")).alias("who"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    one = written(one.withColumn("rep", F.monotonically_increasing_id()), "sigs")
     keys = one.select("rep", F.posexplode("keys").alias("band", "key")).withColumn("order", F.xxhash64("band", "rep"))
     ends = keys.groupBy("band", "key").agg(F.min_by("rep", "order").alias("a"), F.max_by("rep", "order").alias("b")).where("a <> b")
-    met = keys.join(ends, ["band", "key"]).select("rep", F.explode(F.array("a", "b")).alias("end")).where("rep <> end")
+    ends = written(ends, "ends")
+    buckets = written(keys.drop("order").join(ends, ["band", "key"]), "buckets")
+    wanted = buckets.select("rep").distinct().join(one.select("rep", "who"), "rep").select("rep", F.col("who.v").alias("_v"), F.col("who.id").alias("_id"))
+    texts = rows.join(wanted, (F.col("v") == F.col("_v")) & F.col("id").eqNullSafe(F.col("_id"))).select("rep", "t").dropDuplicates(["rep"])
+    sets = written(texts.mapInArrow(_sets(shingle), "rep long, shingles binary"), "shingles")
+    met = buckets.select("rep", F.explode(F.array("a", "b")).alias("end")).where("rep <> end")
     pairs = met.select(F.least("rep", "end").alias("u"), F.greatest("rep", "end").alias("v")).distinct()
-    sigs = one.select("rep", "sig")
-    both = pairs.join(sigs.withColumnsRenamed({"rep": "u", "sig": "su"}), "u").join(sigs.withColumnsRenamed({"rep": "v", "sig": "sv"}), "v")
-    maybe = written(both.select("u", "v", "su", "sv").mapInArrow(_agree, "u long, v long, share double").where(F.col("share") >= similarity - MARGIN), "maybe")
-    close = written(_close(rows, maybe, shingle, similarity), "close")
-    rest = written(_rest(rows, keys, one, ends, connected_components(close), shingle, similarity), "rest")
-    close = close.unionByName(rest)
-    copies = signed.select("id", "set").join(one.select("set", "rep"), "set").where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
-    return connected_components(close.unionByName(copies)).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
+    close = written(_verified(pairs, one, sets, similarity), "close")
+    mixed = _named(buckets.select("rep", "band", "key"), close)
+    if not mixed.isEmpty():
+        slot = F.pmod(F.xxhash64("rep", "band"), F.lit(TRIES))
+        tries = mixed.where("comp = most").groupBy("band", "key", slot.alias("slot")).agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("end"))
+        more = mixed.where("comp <> most").join(tries, ["band", "key"]).select(F.least("rep", "end").alias("u"), F.greatest("rep", "end").alias("v")).distinct()
+        close = written(close.unionByName(_verified(more, one, sets, similarity)), "closer")
+        mixed = _named(mixed.select("rep", "band", "key"), close)
+        if not mixed.isEmpty():
+            close = close.unionByName(written(_rest(mixed, one, sets, similarity), "rest"))
+    groups = connected_components(close).select(F.col("node").alias("rep"), "component")
+    named = one.select("set", "rep").join(groups, "rep", "left").select("set", F.coalesce("component", "rep").alias("group"))
+    of = written(signed.select("id", "v", "set").join(named, "set").select("id", "v", "group"), "grouped")
+    first = of.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "v")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = written(first, "kept")
+    return of.join(first, "group").select(F.col("id").alias(id_col), F.col("v").alias("text_hash"), F.col("first.id").alias("component_id"), F.col("first.v").alias("kept_hash"))
 
 
 def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near duplicates, the one with the smallest id; rows with a null id stay."""
-    gone = similar_groups(docs, shingle, similarity, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id"))
-    return docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    """docs with one document of each group of near duplicates, the one with the smallest id (rows without an id come last).
+
+    Rows are told apart by id and text, so of an id with several texts only those go that are like others; rows that share both share their fate. Null and
+    empty texts, which have no words, are alike. Ids may be of any type that has an order.
+    """
+    found = similar_groups(docs, shingle, similarity, id_col, text_col)
+    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id")) | (F.col("text_hash") != F.col("kept_hash"))).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_text")).distinct()
+    return without(docs, gone, id_col, text_col)

@@ -29,3 +29,15 @@ def dealt(kinds: list[DataFrame], keys: list[str]) -> DataFrame:
         df = df.withColumn("_kind", F.lit(k))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out.repartition(*keys).sortWithinPartitions(*keys, "_kind")
+
+
+def runs(batches, keys: list[str]):
+    """(key, kind, rows): runs of equal keys and kinds of sorted batches."""
+    import numpy as np
+
+    for batch in batches:
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*keys, "_kind")]
+        change = np.logical_or.reduce([c[1:] != c[:-1] for c in columns]) if len(batch) > 1 else np.zeros(0, bool)
+        for cut in np.split(np.arange(len(batch)), np.flatnonzero(change) + 1):
+            if len(cut):
+                yield tuple(c[cut[0]] for c in columns[:-1]), columns[-1][cut[0]], batch.slice(cut[0], len(cut))

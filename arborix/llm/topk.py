@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import table, written
-from .streams import copies, dealt
+from .streams import copies, dealt, runs
 
 BLOCK, SHELF, PART = 256, 256, 256
 #: The order is fitted on so many rows, those of the smallest hashes; all rows are in it.
@@ -134,18 +134,6 @@ def _number(blob: bytes, dim: int):
     return np.frombuffer(blob, "<i4").astype(np.int64).reshape(-1, dim) if dim else np.zeros((1, 0), np.int64)
 
 
-def _runs(batches, keys: list[str]):
-    """(key, kind, rows): runs of equal keys and kinds of sorted batches."""
-    import numpy as np
-
-    for batch in batches:
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*keys, "_kind")]
-        change = np.logical_or.reduce([c[1:] != c[:-1] for c in columns]) if len(batch) > 1 else np.zeros(0, bool)
-        for cut in np.split(np.arange(len(batch)), np.flatnonzero(change) + 1):
-            if len(cut):
-                yield tuple(c[cut[0]] for c in columns[:-1]), columns[-1][cut[0]], batch.slice(cut[0], len(cut))
-
-
 def _bounds(most: int | None):
     """Tiles of summaries and queries -> for each query its next blocks in order: (q, block, bound, least)."""
 
@@ -153,7 +141,7 @@ def _bounds(most: int | None):
         import numpy as np
 
         now, held = None, []
-        for key, kind, rows in _runs(batches, ["dim", "shelf", "part"]):
+        for key, kind, rows in runs(batches, ["dim", "shelf", "part"]):
             dim = int(key[0])
             if kind == 0:
                 if key != now:
@@ -195,7 +183,7 @@ def _scores(k: int):
         import numpy as np
 
         now, x, ids = None, None, None
-        for key, kind, rows in _runs(batches, ["block", "copy"]):
+        for key, kind, rows in runs(batches, ["block", "copy"]):
             if kind == 0:
                 now, dim = key, rows.column("dim")[0].as_py()
                 ids = rows.column("ids")[0].values.to_numpy()

@@ -377,6 +377,36 @@ def test_members_of_buckets_are_all_compared(spark, monkeypatch, block):
     assert all(got.get(i, i) == want[i] for i in sets)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_duplicates_of_odd_rows(spark, kind):
+    """Of an id with two texts only the one that is like others goes; rows without an id are judged too, and come last; ids need not be numbers."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(reversed(words)), " ".join(words[::2] * 3)
+    name = (lambda i: i) if kind == "long" else (lambda i: None if i is None else f"id{i:02}")
+    rows = [(3, a), (8, a + " more"), (8, b), (9, c), (None, a + " other"), (None, c), (None, "alone " * 9), (11, None), (12, ""), (13, " \t"), (14, "x " * 100_000), (15, c), (15, c)]
+    docs = spark.createDataFrame([(name(i), t, "clash", 1) for i, t in rows], f"doc_id {kind}, text string, component_id string, rep int")
+    got = sorted(((r.doc_id, r.text) for r in simhash.drop_similar(docs).collect()), key=str)
+    assert got == sorted([(name(i), t) for i, t in [(3, a), (8, b), (9, c), (None, "alone " * 9), (11, None), (14, "x " * 100_000)]], key=str)
+
+
+def test_groups_of_one_template_are_told_apart(spark, monkeypatch):
+    """Crowded buckets with many groups: each of 150 texts of one template has a close copy, and blocks are small."""
+    import random
+
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "TRIES", 1)
+    draw, base, data = random.Random(8), [f"w{i}" for i in range(200)], []
+    for n in range(150):
+        own = list(base)
+        for i in draw.sample(range(2, 200, 5), 6):
+            own[i] = f"v{n}x{i}"
+        data += [(2 * n, " ".join(own)), (2 * n + 1, " ".join([*own, "end"]))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in data)}
+    want = groups(list(sets), lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]))
+    assert {i: got.get(i, i) for i in sets} == want
+
+
 # -- 6
 
 def test_urls(spark):
