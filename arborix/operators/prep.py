@@ -29,9 +29,9 @@ def balanced_tiles(tiles: DataFrame, rate: float, seed: int = 0, strong: int = 1
     return s.withColumn("_f", first).where((F.col("n1") > strong) | (F.col("n9") > core) | F.col("_f") | (coin(seed, *TILE) < rate)).select(*TILE)
 
 
-def balanced_tiles_by_sum(tiles: DataFrame, rate: float, seed: int = 0) -> DataFrame:
+def balanced_tiles_by_sum(tiles: DataFrame, rate: float, seed: int = 0, second: str = "value") -> DataFrame:
     """The older rule: mask sum above 5, or over 100 values of the second channel above 150, or a share `rate`."""
-    s = tiles.groupBy(*TILE).agg(F.sum("value").alias("s"), F.sum((F.col("value") > 150).cast("long")).alias("n"))
+    s = tiles.groupBy(*TILE).agg(F.sum("value").alias("s"), F.sum((F.col(second) > 150).cast("long")).alias("n"))
     return s.where((F.col("s") > 5) | (F.col("n") > 100) | (coin(seed, *TILE) < rate)).select(*TILE)
 
 

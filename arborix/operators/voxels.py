@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions.shared import written
 from . import labels
 from .blocks import by_blocks, largest, median
+from .distances import distance
 
 KEYS = ["image_id", "x", "y", "z"]
 OFFSETS26 = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (dx, dy, dz) != (0, 0, 0)]
@@ -133,21 +134,8 @@ def gaussian_smooth(voxels: DataFrame, dims, sigma: float, three_d: bool = True,
 
 
 def plane_distance(voxels: DataFrame, dims, pix=(1.0, 1.0)) -> DataFrame:
-    """(keys, dist): exact Euclidean distance of each foreground voxel to the nearest background voxel of its plane, by two passes.
-
-    First the distance along x to background by running windows, then over each column the least of squared sums.
-    Planes without background have null. The second pass looks no farther than the first pass's own bound.
-    """
-    grid = dense(voxels.withColumn("_f", F.lit(1)), dims, "_f")
-    w = Window.partitionBy("image_id", "y", "z").orderBy("x")
-    before = F.last(F.when(F.col("_f") == 0, F.col("x")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(F.when(F.col("_f") == 0, F.col("x")), True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    g = grid.withColumn("g", F.least(F.col("x") - before, after - F.col("x")))
-    rows = g.select("image_id", "x", "y", "z", "_f", "g")
-    column = rows.groupBy("image_id", "x", "z").agg(F.collect_list(F.when(F.col("g").isNotNull(), F.struct("y", "g"))).alias("col"))
-    fore = rows.where("_f = 1").join(column, ["image_id", "x", "z"])
-    sq = F.array_min(F.transform("col", lambda s: F.pow(s["g"] * F.lit(pix[0]), F.lit(2)) + F.pow((s["y"] - F.col("y")) * F.lit(pix[1]), F.lit(2))))
-    return fore.select(*KEYS, F.sqrt(sq).alias("dist"))
+    """(keys, dist): exact Euclidean distance of each foreground voxel to the nearest background voxel of its plane; planes without background have null."""
+    return distance(voxels, dims, pix)
 
 
 def vessel_diameters(voxels: DataFrame, dims, pix=(1.0, 1.0), scale: float = 100.0) -> DataFrame:

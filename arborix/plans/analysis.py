@@ -287,9 +287,11 @@ def d01(spark, d):
     return P.balanced_tiles(_tiles(spark, d), 0.0, core=70)
 
 
-@query("d02_balanced_tiles_by_sum", f"{_TILES} SELECT image_id, ox, oy FROM tl GROUP BY ALL HAVING sum(value) > 5 OR count(CASE WHEN value > 150 THEN 1 END) > 100")
+#: Small tiles, of which some are kept by their mask, some by the second channel and some not at all.
+@query("d02_balanced_tiles_by_sum", f"{ctes('fx_voxels')} SELECT image_id, CAST(x // 8 * 8 AS INT) AS ox, CAST(y // 8 * 8 AS INT) AS oy FROM fx_voxels GROUP BY ALL HAVING count(CASE WHEN value >= 250 THEN 1 END) > 5 OR count(CASE WHEN value > 150 THEN 1 END) > 100")
 def d02(spark, d):
-    return P.balanced_tiles_by_sum(_tiles(spark, d), 0.0)
+    tiles = V.strided_tiles(_f(spark, d, "fx_voxels"), DIMS, (8, 8), (8, 8))
+    return P.balanced_tiles_by_sum(tiles.select("image_id", "ox", "oy", (F.col("value") >= 250).cast("int").alias("value"), F.col("value").alias("second")), 0.0, second="second")
 
 
 _DIGEST = lambda seed, *c: f"CAST(concat('0x', substr(md5(concat_ws(':', '{seed}', {', '.join(f'{x}::VARCHAR' for x in c)})), 1, 8)) AS BIGINT)"
