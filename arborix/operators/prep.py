@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranks import ranked
+from .ranks import ranked, ranked_within
 
 TILE = ["image_id", "ox", "oy"]
 
@@ -64,7 +64,8 @@ def random_crops(volumes: DataFrame, voxels: DataFrame, size: tuple[int, int], n
 def batches(rows: DataFrame, keys: list[str], order: str, size: int, seed: int | None = None) -> DataFrame:
     """rows with `batch` within their key, in order or in a seeded order."""
     by = [digest(seed, order), F.col(order)] if seed is not None else [F.col(order)]
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*by)) - 1) / size))
+    placed = ranked_within(rows, keys, by, "_i", "_n")
+    return placed.withColumn("batch", F.floor(F.col("_i") / size)).select(*rows.columns, "batch")
 
 
 def slice_batches(voxels: DataFrame, nz: int, size: int, pad: int = 0) -> DataFrame:

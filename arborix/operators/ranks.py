@@ -22,3 +22,19 @@ def ranked(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
     parts = out.groupBy(part.alias("_p")).agg(F.count("*").alias("_n")).select("_p", before.alias("_before"))
     placed = out.withColumn("_p", part).join(F.broadcast(parts), "_p")  # a row for each partition of the sort
     return placed.withColumn(name, F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << _BITS) - 1))).drop("_m", "_p", "_before")
+
+
+def ranked_within(rows: DataFrame, keys: list[str], order: list, name: str = "rank", size: str = "size") -> DataFrame:
+    """rows with their place among those of the same keys, from 0, and the number of these.
+
+    A range sort over keys and order together deals a key's rows over as many partitions as they need; a key's first place and its number of rows are
+    one row a key.
+    """
+    placed = ranked(rows, [*keys, *order], "_place")
+    per = placed.groupBy(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys))).agg(F.min("_place").alias("_first"), F.count("*").alias(size))
+    per = written(per, "firsts")
+    same = None
+    for i, k in enumerate(keys):
+        one = F.col(k).eqNullSafe(F.col(f"_key{i}"))
+        same = one if same is None else same & one
+    return placed.join(per, same).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first", *(f"_key{i}" for i in range(len(keys))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranks import ranked
+from .ranks import ranked, ranked_within
 
 
 def histogram(values: DataFrame, value: str, bins: int = 20, keys: list[str] = (), lo: float | None = None, hi: float | None = None) -> DataFrame:
@@ -61,11 +61,25 @@ def normal_tail(z: Column) -> Column:
     return F.exp(-z * z / 2) / 2.5066282746310002 * poly
 
 
+#: Differences up to which signed-rank tests are exact.
+EXACT = 25
+
+
+def exact_tail(n: str, low: Column) -> Column:
+    """Twice the share of all subsets of the ranks 1 .. n whose sum is at most `low`: subsets are counted by their sums, rank after rank."""
+    total = F.expr(f"int({n} * ({n} + 1) div 2)")
+    none = F.transform(F.sequence(F.lit(0), total), lambda s: F.when(s == 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+    more = lambda c, k: F.transform(c, lambda x, s: x + F.when(s >= k, F.get(c, s - k)).otherwise(F.lit(0)))
+    counts = F.aggregate(F.sequence(F.lit(1), F.col(n).cast("int")), none, more)
+    under = F.aggregate(F.slice(counts, 1, low.cast("int") + 1), F.lit(0).cast("long"), lambda a, x: a + x)
+    return 2 * under / F.pow(F.lit(2.0), F.col(n))
+
+
 def wilcoxon_pairs(scores: DataFrame, method: str = "method", case: str = "case_id", value: str = "score") -> DataFrame:
     """(method_1, method_2, n, w_plus, w_minus, p_value) of signed-rank tests of all ordered pairs of methods.
 
-    Zero differences are dropped, ties have mean ranks, p comes from the normal approximation with tie correction. Pairs of a method with
-    itself have null. Differences are ranked within a pair of methods, whose rows a range sort spreads only by pair.
+    Zero differences are dropped and ties have mean ranks. Up to EXACT differences without ties p is exact, by counting the subsets of the ranks with a sum of at most the
+    smaller one; else it comes from the normal approximation with tie correction. Pairs of a method with itself have null. Differences are ranked within a pair of methods, whose rows a range sort spreads only by pair.
     """
     a = scores.select(F.col(method).alias("method_1"), F.col(case).alias("_c"), F.col(value).alias("_a"))
     b = scores.select(F.col(method).alias("method_2"), F.col(case).alias("_c"), F.col(value).alias("_b"))
@@ -81,24 +95,34 @@ def wilcoxon_pairs(scores: DataFrame, method: str = "method", case: str = "case_
     mean = F.col("n") * (F.col("n") + 1) / 4
     sd = F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48)
     z = F.abs(F.least("w_plus", "w_minus") - mean) / sd
-    return pairs.join(both, keys, "left").select(*keys, "n", "w_plus", "w_minus", F.when(z.isNotNull(), F.least(F.lit(1.0), 2 * normal_tail(z))).alias("p_value"))
+    low = F.least("w_plus", "w_minus")
+    p = F.when((F.col("n") <= EXACT) & (F.col("ties") == 0), exact_tail("n", low)).when(z.isNotNull(), 2 * normal_tail(z))
+    return pairs.join(both, keys, "left").select(*keys, "n", "w_plus", "w_minus", F.when(p.isNotNull(), F.least(F.lit(1.0), p)).alias("p_value"))
 
 
 def multiple_wilcoxon(scores: DataFrame, alpha: float = 0.05, **names) -> DataFrame:
     return holm(wilcoxon_pairs(scores, **names), alpha, order=["method_1", "method_2"])
 
 
-def running_median(history: DataFrame, keys: list[str], order: str, value: str, size: int = 51) -> DataFrame:
-    """history with the median of a centred window; beyond its ends a series goes on mirrored, its last value repeated."""
-    half = size // 2
-    w = Window.partitionBy(*keys)
-    rows = history.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+#: Places of a series that one window holds, besides their neighbours.
+RUN = 4096
+
+
+def running_median(history: DataFrame, keys: list[str], order: str, value: str, size: int = 51, run: int = RUN) -> DataFrame:
+    """history with the median of a centred window; beyond its ends a series goes on mirrored, its last value repeated.
+
+    A series is cut into runs, which get the rows within reach of their ends besides, so no window holds a whole series.
+    """
+    half, rest = size // 2, size - 1 - size // 2
+    rows = ranked_within(history, keys, [order], "_i", "_n")
     # a series of n has the period 2n: row i also stands at 2nk + i and 2nk - 1 - i
     turns = F.expr(f"sequence(-1 - {half} div (2 * _n), 1 + {half} div (2 * _n))")
     places = F.flatten(F.transform(turns, lambda k: F.array(2 * F.col("_n") * k + F.col("_i"), 2 * F.col("_n") * k - 1 - F.col("_i"))))
     wide = rows.withColumn("_at", F.explode(F.filter(places, lambda x: (x >= -half) & (x < F.col("_n") + half))))
-    middle = wide.withColumn("median", F.percentile(value, F.lit(0.5)).over(w.orderBy("_at").rowsBetween(-half, size - 1 - half)))
-    return middle.where("_at = _i").drop("_i", "_n", "_at")
+    wide = wide.withColumn("_run", F.explode(F.sequence(F.floor((F.col("_at") - rest) / run), F.floor((F.col("_at") + half) / run))))
+    w = Window.partitionBy(*keys, "_run").orderBy("_at").rowsBetween(-half, rest)
+    middle = wide.withColumn("median", F.percentile(value, F.lit(0.5)).over(w))
+    return middle.where(f"_at = _i AND _run = floor(_at / {run})").drop("_i", "_n", "_at", "_run")
 
 
 def sigmoid(x: Column) -> Column:
