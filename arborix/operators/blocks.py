@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 
 #: Sides of a block.
 SIDES = (64, 64, 32)
+BLOCK = ["image_id", "bx", "by", "bz"]
 
 
-def by_blocks(voxels: DataFrame, run: Callable, halo: tuple[int, int, int], dims: tuple[int, int, int] | None = None, value: str = "value", sides=SIDES) -> DataFrame:
-    """(image_id, x, y, z, value) of run(array, low, high) for every block.
+def with_block(voxels: DataFrame, sides=SIDES) -> DataFrame:
+    """voxels with the block that each is in."""
+    return voxels.select("*", *(F.floor(F.col(c) / side).cast("int").alias(f"b{c}") for c, side in zip("xyz", sides)))
+
+
+def by_blocks(voxels: DataFrame, run: Callable, halo: tuple[int, int, int], dims: tuple[int, int, int] | None = None, value: str = "value", sides=SIDES, only: DataFrame | None = None) -> DataFrame:
+    """(image_id, x, y, z, value) of run(array, low, high) for every block, or for those of only(image_id, bx, by, bz).
 
     run gets the values of a block with its halo, cut at the volume's sides if dims are given, and the block's own corners
     within that array; it gives an array of the block's own shape, of which the values other than 0 become rows.
@@ -25,6 +31,8 @@ def by_blocks(voxels: DataFrame, run: Callable, halo: tuple[int, int, int], dims
     out = voxels.select("image_id", *"xyz", F.col(value).cast("double").alias("value"))
     for c, side, h in zip("xyz", sides, halo):
         out = out.withColumn(f"b{c}", F.explode(F.sequence(F.floor((F.col(c) - h) / side).cast("int"), F.floor((F.col(c) + h) / side).cast("int"))))
+    if only is not None:
+        out = out.join(only, BLOCK, "left_semi")
 
     def block(key, table):
         import numpy as np

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import drop, written
-from .blocks import by_blocks
+from .blocks import BLOCK, SIDES, by_blocks, with_block
 from .components import connected_components
 from .ranks import ranked
 from .voxels import BITS, KEYS, OFFSETS6, adjacency, voxel_id
@@ -100,23 +100,32 @@ def _thin_block(rounds: int):
     return run
 
 
-def thin(voxels: DataFrame, max_rounds: int = 200, at_once: int = 2) -> DataFrame:
+def thin(voxels: DataFrame, max_rounds: int = 200, at_once: int = 2, sides=SIDES) -> DataFrame:
     """Parallel thinning: in each round twelve passes delete border voxels that match a template, until a round deletes none.
 
     Border voxels, those with under six face neighbours, are fixed for the round. Blocks with a halo run some rounds at once, so a
-    shuffle serves that many; the result is written after each.
+    shuffle serves that many; the result is written after each. Only blocks that changed, or near which something did, run again.
     """
+    reach = 13 * at_once
+    near = [F.explode(F.sequence(F.col(f"b{c}") - -(-reach // side), F.col(f"b{c}") + -(-reach // side))).alias(f"b{c}") for c, side in zip("xyz", sides)]
     now = written(voxels.select(*KEYS).distinct(), "thin")
-    before = now.count()
+    sizes = written(with_block(now, sides).groupBy(*BLOCK).agg(F.count("*").alias("n")), "thinblocks")
+    active = None
     for _ in range(0, max_rounds, at_once):
-        after = by_blocks(now.withColumn("value", F.lit(1)), _thin_block(at_once), (13 * at_once,) * 3).select(*KEYS)
+        after = by_blocks(now.withColumn("value", F.lit(1)), _thin_block(at_once), (reach,) * 3, sides=sides, only=active).select(*KEYS)
+        if active is not None:
+            after = after.unionByName(with_block(now, sides).join(active, BLOCK, "left_anti").select(*KEYS))
         after = written(after, "thin")
         drop(now)
         now = after
-        n = now.count()
-        if n == before:
+        left = written(with_block(now, sides).groupBy(*BLOCK).agg(F.count("*").alias("n")), "thinblocks")
+        changed = written(sizes.join(left.withColumnRenamed("n", "m"), BLOCK, "left").where("m IS NULL OR m <> n").select(*BLOCK), "changed")
+        if changed.isEmpty():
             return now
-        before = n
+        sizes, active = left, changed
+        for k, c in enumerate("xyz"):
+            active = active.select(*(near[k] if x == f"b{c}" else x for x in BLOCK))
+        active = written(active.distinct(), "active")
     raise RuntimeError("thinning did not settle")
 
 
