@@ -96,7 +96,7 @@ def g17(spark, d):
 def v19c(spark, d):
     shift = [[1.0, 0.0, 0.0, 2.0], [0.0, 1.0, 0.0, 0.8], [0.0, 0.0, 1.0, 0.2]]
     out = R.affine_reslice(fixture(spark, d, "fx_voxels"), DIMS, shift, DIMS, "line", 0)
-    return out.where("y > 0").select(*V.KEYS, F.col("value").cast("double").alias("value"))
+    return out.select(*V.KEYS, F.col("value").cast("double").alias("value"))
 
 
 @query("s13_obj_export", f"{ctes('fx_edges')}, n AS (SELECT sample_id, node, row_number() OVER (PARTITION BY sample_id ORDER BY node) AS k FROM (SELECT sample_id, u AS node FROM fx_edges UNION SELECT sample_id, v FROM fx_edges)) SELECT sample_id, 0 AS part, k, concat('v ', node % 64, ' ', node % 32, ' ', node % 8) AS line FROM n UNION ALL SELECT e.sample_id, 1, edge_id, concat('l ', a.k, ' ', b.k) FROM fx_edges e JOIN n a ON a.sample_id = e.sample_id AND a.node = u JOIN n b ON b.sample_id = e.sample_id AND b.node = v")
@@ -116,7 +116,14 @@ def v19(spark, d):
 def v19b(spark, d):
     half = [[1.0, 0.0, 0.0, -0.5], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]]
     out = R.affine_reslice(fixture(spark, d, "fx_voxels"), DIMS, half, DIMS, "linear", 0)
-    return out.where(f"x < {NX - 1} AND value <> 0").select(*V.KEYS, F.round("value", 6).alias("value"))
+    return out.select(*V.KEYS, F.round("value", 6).alias("value"))
+
+
+@query("v19_border", f"{VOX}, g AS (SELECT DISTINCT image_id, CAST(a.i AS INT) AS x, y, z FROM fx_voxels, range({NX}) a(i)), s AS (SELECT g.image_id, g.x, g.y, g.z, CASE WHEN g.x = 0 THEN a.value ELSE 0.96e0 * coalesce(a.value, 0) + 0.04e0 * coalesce(b.value, 0) END AS value, a.value IS NOT NULL OR b.value IS NOT NULL AS met FROM g LEFT JOIN fx_voxels a USING (image_id, x, y, z) LEFT JOIN fx_voxels b ON b.image_id = g.image_id AND b.x = g.x - 1 AND b.y = g.y AND b.z = g.z) SELECT image_id, x, y, z, round(value, 6) AS value FROM s WHERE met")
+def v19d(spark, d):
+    """Shifted by less than the tolerance: the first plane's places lie beyond the border and count as on it."""
+    little = [[1.0, 0.0, 0.0, 0.04], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]]
+    return R.affine_reslice(fixture(spark, d, "fx_voxels"), DIMS, little, DIMS, "linear", 0).select(*V.KEYS, F.round("value", 6).alias("value"))
 
 
 @query("v23_vesselness")

@@ -40,12 +40,13 @@ def test_distances(spark, pix):
             assert got[i, *p] == (None if want is None else pytest.approx(want))
 
 
-def test_vessel_distance_by_numpy(spark):
-    """The whole map: planar median, distances by all pairs, Gaussian weights, share of the local maximum, strength."""
+@pytest.mark.parametrize("depth", [None, (0.8, 0.8, 5.0)])
+def test_vessel_distance_by_numpy(spark, depth):
+    """The whole map, with and without its term in space: planar median, distances by all pairs, Gaussian weights, share of the local maximum, strength."""
     random.seed(3)
     dims = (20, 18, 2)
     full = {p for p in itertools.product(*map(range, dims)) if (p[0] - 9) ** 2 + (p[1] - 8) ** 2 < 30 + 20 * p[2] or random.random() < 0.1}
-    got = {(r.x, r.y, r.z): r.value for r in reslice.vessel_distance(spark.createDataFrame([(1, *p) for p in full], VOX), dims).collect()}
+    got = {(r.x, r.y, r.z): r.value for r in reslice.vessel_distance(spark.createDataFrame([(1, *p) for p in full], VOX), dims, depth=depth).collect()}
     mask = np.zeros(dims)
     mask[tuple(np.array(sorted(full)).T)] = 1
     wide = np.pad(mask, [(1, 1), (1, 1), (0, 0)], mode="symmetric")
@@ -54,10 +55,19 @@ def test_vessel_distance_by_numpy(spark):
     for x, y, z in np.argwhere(clean):
         back = np.argwhere(~clean[:, :, z])
         dist[x, y, z] = np.sqrt(((back - (x, y)) ** 2).sum(axis=1).min())
-    w = np.exp(-0.5 * np.arange(-4, 5) ** 2)
-    w /= w.sum()
+
+    def smooth(values, axis, sigma):
+        n = int(4 * sigma + 0.5)
+        w = np.exp(-0.5 * (np.arange(-n, n + 1) / sigma) ** 2)
+        return np.apply_along_axis(lambda line: np.convolve(np.pad(line, n, mode="edge"), w / w.sum(), "valid"), axis, values)
+
     for axis in (0, 1):
-        dist = np.apply_along_axis(lambda line: np.convolve(np.pad(line, 4, mode="edge"), w, "valid"), axis, dist)
+        dist = smooth(dist, axis, 1.0)
+    if depth:
+        deep = dist
+        for axis, sigma in enumerate(depth):
+            deep = smooth(deep, axis, sigma)
+        dist = dist + deep
     wide = np.pad(dist, [(5, 5), (5, 5), (0, 0)])
     most = np.lib.stride_tricks.sliding_window_view(wide, (11, 11), axis=(0, 1)).max(axis=(3, 4))
     share = np.divide(dist, most, out=np.zeros(dims), where=most > 0)
