@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.shared import written
 from .components import connected_components
 
 KEYS = ["sample_id", "mask_id"]
@@ -136,14 +137,15 @@ def single_component(edges: DataFrame) -> DataFrame:
 
 def random_connected_subset(edges: DataFrame, size: int = 5, repeats: int = 10, seed: int = 0) -> DataFrame:
     """(keys, repeat, node): for each repeat a connected set of up to `size` nodes, grown from a seeded node by hashed choice."""
-    sym = edges.select(*KEYS, "u", "v").union(edges.select(*KEYS, F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
+    sym = written(edges.select(*KEYS, "u", "v").union(edges.select(*KEYS, F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "sym")
     coin = lambda *c: F.xxhash64(F.lit(seed), "repeat", *c)
     nodes = sym.select(*KEYS, F.col("u").alias("node")).distinct()
     tries = nodes.select(*KEYS, "node", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     got = tries.groupBy(*KEYS, "repeat").agg(F.min_by("node", F.struct(coin("node"), "node")).alias("node"))
+    got = written(got, "grown")
     for step in range(1, size):
         edge = got.join(sym.withColumnRenamed("u", "node"), [*KEYS, "node"]).select(*KEYS, "repeat", F.col("v").alias("node")).distinct()
         edge = edge.join(got, [*KEYS, "repeat", "node"], "left_anti")
         new = edge.groupBy(*KEYS, "repeat").agg(F.min_by("node", F.struct(coin(F.lit(step), F.col("node")), F.col("node"))).alias("node"))
-        got = got.unionByName(new)
+        got = written(got.unionByName(new), "grown")
     return got
