@@ -64,6 +64,19 @@ def test_medians_and_ridges_do_not_depend_on_blocks(spark):
     assert all(math.isclose(other.get(k, 0.0), one.get(k, 0.0), rel_tol=1e-6, abs_tol=1e-9) for k in other.keys() | one.keys())
 
 
+@pytest.mark.parametrize("size", [(3, 3, 1), (5, 3, 3), (4, 1, 2), (11, 11, 5)])
+@pytest.mark.parametrize("top", [2, 9, 10**6])
+def test_medians_by_counts_and_by_partition(size, top):
+    rng = np.random.default_rng(top)
+    array = rng.integers(0, top, (13, 12, 6)).astype(float)
+    reach = [n // 2 for n in size]
+    wide = np.pad(array, [(r, r) for r in reach], mode="symmetric")
+    boxes = np.lib.stride_tricks.sliding_window_view(wide, size)[: array.shape[0], : array.shape[1], : array.shape[2]]
+    want = np.sort(boxes.reshape(*array.shape, -1), axis=-1)[..., math.prod(size) // 2]
+    got = blocks.median(size)(array, [0, 0, 0], list(array.shape))
+    assert got[: want.shape[0]].shape == want.shape and (got == want).all()
+
+
 def test_fill_holes_in_space(spark):
     """Against flood filling; a hole at the border is filled too if it is small."""
     random.seed(5)
