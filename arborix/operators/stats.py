@@ -187,3 +187,13 @@ def vesselness(eigen: Column, alpha: float = 0.5, beta: float = 0.5, c: float =
     s = l1 * l1 + l2 * l2 + l3 * l3
     value = (1 - F.exp(-ra * ra / (2 * alpha * alpha))) * F.exp(-rb * rb / (2 * beta * beta)) * (1 - F.exp(-s / (2 * c * c)))
     return F.when((l2 > 0) | (l3 > 0), 0.0).otherwise(F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0)))
+
+
+def least_known(df: DataFrame, value: str, place: list[str], keys: list[str] = ()) -> DataFrame:
+    """(keys, place, value): where the least value is, of all rows or by key; the smallest place of equal values.
+
+    Null and not-a-number are no values: a key that has nothing else has no row, and so has an empty table.
+    """
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    least = known.groupBy(*keys).agg(F.min(F.struct(F.col(value).alias("_value"), *place)).alias("_m")).where("_m IS NOT NULL")
+    return least.select(*keys, *(F.col(f"_m.{c}").alias(c) for c in place), F.col("_m._value").alias(value))

@@ -88,6 +88,18 @@ t AS (SELECT event_type, event_id, value, i, n, unnest(range(-1 - 25 // (2 * n),
 m AS (SELECT event_type, event_id, value, i, n, 2 * n * k + i AS place FROM t UNION ALL SELECT event_type, event_id, value, i, n, 2 * n * k - 1 - i FROM t)"""
 
 
+@query("l04_least_known", f"{POINTS} SELECT sample_id, edge_id, pos, diameter FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY diameter, edge_id, pos) AS k FROM fx_points WHERE diameter IS NOT NULL AND edge_id % 5 <> 0) WHERE k = 1")
+def l04(spark, d):
+    """Every fifth branch has diameters that are not numbers, and first points have none."""
+    p = _f(spark, d, "fx_points").withColumn("diameter", F.when(F.col("edge_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("diameter")))
+    return A.least_known(p, "diameter", ["edge_id", "pos"], ["sample_id"])
+
+
+@query("l04_least_of_all", f"{POINTS} SELECT sample_id, edge_id, pos, diameter FROM fx_points WHERE diameter IS NOT NULL ORDER BY diameter, sample_id, edge_id, pos LIMIT 1")
+def l04b(spark, d):
+    return A.least_known(_f(spark, d, "fx_points"), "diameter", ["sample_id", "edge_id", "pos"])
+
+
 @query("w10_running_median", f"WITH {_MIRROR} SELECT event_type, event_id, median FROM (SELECT event_type, event_id, i, place, median(value) OVER (PARTITION BY event_type ORDER BY place ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) AS median FROM m WHERE place >= -25 AND place < n + 25) WHERE place = i")
 def w10(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").withColumn("k", F.struct("ts", "event_id"))

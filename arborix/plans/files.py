@@ -58,6 +58,23 @@ def s21b(spark, d):
     return spark.read.option("header", True).schema("sample_id string, component int, u long, v long").csv(f"{path}/adjacency")
 
 
+@query("s21_scalar_exports", f"{POINTS}, {_NUMBERED}, b AS (SELECT np.sample_id, component, branch, avg(diameter) AS diameter, count(*)::DOUBLE AS length FROM np JOIN (SELECT sample_id, CAST(edge_id % 150 // 30 + 1 AS INT) AS component, CAST(edge_id % 30 + 1 AS INT) AS branch, pos, diameter FROM fx_points) q USING (sample_id, component, branch, pos) GROUP BY ALL), s AS (SELECT *, length / 8e0 AS soam, 1e0 / length AS clr FROM b) SELECT sample_id, component, branch + 1 AS branch, metric, round(value, 6) AS value FROM (SELECT sample_id, component, branch, 'diameter' AS metric, diameter AS value FROM s UNION ALL SELECT sample_id, component, branch, 'length', length FROM s UNION ALL SELECT sample_id, component, branch, 'soam', soam FROM s UNION ALL SELECT sample_id, component, branch, 'clr', clr FROM s)")
+def s21c(spark, d):
+    """The four scalar files, with branches numbered from 2."""
+    path, _ = _exported(spark, d, first_branch=2, summary=False)
+    return S.read_branch_scalars(spark, path).withColumn("value", F.round("value", 6))
+
+
+@query("s19_replaced_output", f"{POINTS}, {_NUMBERED} SELECT sample_id, component, branch, count(*) AS n, sum(x)::BIGINT AS x FROM np WHERE branch % 3 = 1 AND sample_id < 'p' GROUP BY ALL")
+def s19(spark, d):
+    """A run into a folder that holds the output of an earlier one leaves nothing of that."""
+    path = new_path(spark, "replaced")
+    p = _numbered(spark, d)
+    for run in (p, p.where("branch % 3 = 1 AND sample_id < 'p'")):
+        S.write_points(run, path)
+    return spark.read.schema(p.schema).parquet(path).groupBy("sample_id", "component", "branch").agg(F.count("*").alias("n"), F.sum("x").alias("x"))
+
+
 @query("s01_discover_samples", f"{VOX} SELECT image_id AS sample_id, concat('m', z) AS mask_id, 1::BIGINT AS n_files FROM fx_voxels GROUP BY ALL")
 def s01(spark, d):
     path = new_path(spark, "samples")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -256,6 +258,17 @@ def export_branches(points: DataFrame, branches: DataFrame, path: str, first_bra
         named.select("sample_id", "component", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct().write.mode("overwrite").option("header", True).csv(f"{path}/adjacency")
 
 
+def read_branch_scalars(spark: SparkSession, path: str, metrics=("diameter", "length", "soam", "clr")) -> DataFrame:
+    """(sample_id, component, branch, metric, value) of the scalar files that export_branches() wrote."""
+    one = lambda c: spark.read.option("header", True).schema(f"sample_id string, component int, branch int, {c} double").csv(f"{path}/{c}")
+    return reduce(DataFrame.unionByName, (one(c).select("sample_id", "component", "branch", F.lit(c).alias("metric"), F.col(c).alias("value")) for c in metrics))
+
+
+def write_points(points: DataFrame, path: str) -> None:
+    """Points by sample, in place of all that the folder holds, samples that are not written now included."""
+    points.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("sample_id").parquet(path)
+
+
 def make_volume(spark: SparkSession, image_id: str, dims: tuple[int, int, int], pix=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0), description: str = "") -> DataFrame:
     """The dimension row of a new volume: voxel size 1 and origin 0 unless given."""
     return spark.createDataFrame([(image_id, *dims, list(map(float, pix)), list(map(float, origin)), description)], "image_id string, nx int, ny int, nz int, pix_dim array<double>, origin array<double>, description string")

@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from arborix.operators import compare, graph, reslice
+from arborix.operators import compare, graph, reslice, stats
 
 EDGE = "sample_id string, mask_id string, edge_id long, u long, v long, length double"
 
@@ -125,3 +125,21 @@ def test_random_subsets(spark):
     again = subsets(table.repartition(5), 0)
     assert {k: set(v) for k, v in again.items()} == {k: set(v) for k, v in got.items()}
     assert {k: set(v) for k, v in subsets(table, 1).items()} != {k: set(v) for k, v in got.items()}
+
+
+def test_extraction_of_a_bar(spark):
+    """A bar of width 5 with a hole inside, and a speck: one branch along its middle, whose diameter is twice the distance of 3."""
+    bar = {(x, y, z) for x in range(3, 25) for y in range(8, 13) for z in range(3, 6)} - {(12, 10, 4)}
+    rows = spark.createDataFrame([("a", *p) for p in bar | {(28, 2, 2)}], "image_id string, x int, y int, z int")
+    got = compare.extract(rows, (30, 20, 8)).collect()
+    assert [(r.image_id, r.mean_diameter) for r in got] == [("a", 6.0)]
+    assert 14 <= got[0].n_edges <= 21 and got[0].n_edges <= got[0].length
+
+
+def test_least_known(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", 1, nan), ("a", 3, 2.0), ("a", 2, 2.0), ("a", 4, None), ("b", 1, nan), ("c", 1, None), ("d", 9, -1.0)], "s string, i int, v double")
+    assert sorted(map(tuple, stats.least_known(df, "v", ["i"], ["s"]).collect())) == [("a", 2, 2.0), ("d", 9, -1.0)]
+    assert [tuple(r) for r in stats.least_known(df, "v", ["s", "i"]).collect()] == [("d", 9, -1.0)]
+    assert stats.least_known(df.limit(0), "v", ["s", "i"]).count() == 0
+    assert stats.least_known(df.where("s = 'b'"), "v", ["s", "i"]).count() == 0
