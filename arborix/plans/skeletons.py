@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import compare as X
+from ..operators import fronts as T
 from ..operators import geometry as G
 from ..operators import graph as N
 from ..operators import reslice as R
@@ -12,7 +13,7 @@ from ..operators import skeleton as K
 from ..operators import voxels as V
 from ..sources import tables as S
 from ..sources.fixtures import DIMS, ctes, fixture
-from .common import query
+from .common import label_sql, query
 
 VOX, EDGES, PAIR = ctes("fx_voxels"), ctes("fx_edges"), ctes("fx_pair")
 NX, NY, NZ = DIMS
@@ -60,6 +61,37 @@ def g04b(spark, d):
     return K.graph_degrees(K.voxel_graph(_fg(spark, d), DIMS))
 
 
+#: Fronts by recursion over steps; branches, nodes and lengths by joins.
+_TRACKED = f"""{_GRAPH}, nb AS MATERIALIZED (SELECT image_id, u, v FROM ge UNION ALL SELECT image_id, v, u FROM ge),
+fi AS (SELECT image_id, id FROM fv),
+{label_sql("fi", "nb")},
+st AS MATERIALIZED (SELECT image_id, component, min(id) AS start FROM lb JOIN (SELECT image_id, u AS id FROM nb GROUP BY ALL HAVING count(*) = 1) USING (image_id, id) GROUP BY ALL),
+fr(image_id, id, step) USING KEY (image_id, id) AS (SELECT image_id, start, 0 FROM st
+  UNION SELECT nb.image_id, nb.v, min(fr.step + 1) FROM fr JOIN nb ON nb.image_id = fr.image_id AND nb.u = fr.id WHERE NOT EXISTS (SELECT 1 FROM recurring.fr r WHERE r.image_id = nb.image_id AND r.id = nb.v) GROUP BY ALL),
+sp AS MATERIALIZED (SELECT * FROM fr),
+pa AS MATERIALIZED (SELECT c.image_id, c.id, c.step, min(p.id) AS parent FROM sp c LEFT JOIN nb ON nb.image_id = c.image_id AND nb.v = c.id LEFT JOIN sp p ON p.image_id = nb.image_id AND p.id = nb.u AND p.step + 1 = c.step GROUP BY ALL),
+op AS MATERIALIZED (SELECT image_id, parent AS id, count(*) AS opens FROM pa WHERE parent IS NOT NULL GROUP BY ALL),
+br(image_id, branch, id, pos) AS (SELECT pa.image_id, pa.id, pa.id, 0 FROM pa LEFT JOIN op ON op.image_id = pa.image_id AND op.id = pa.parent WHERE coalesce(op.opens, 0) <> 1
+  UNION ALL SELECT pa.image_id, br.branch, pa.id, br.pos + 1 FROM br JOIN pa ON pa.image_id = br.image_id AND pa.parent = br.id JOIN op ON op.image_id = pa.image_id AND op.id = pa.parent AND op.opens = 1),
+bp AS MATERIALIZED (SELECT br.*, pa.step, pa.parent, coalesce(op.opens, 0) AS opens, x, y, z FROM br JOIN pa USING (image_id, id) LEFT JOIN op USING (image_id, id) JOIN fv USING (image_id, id)),
+bs AS (SELECT a.image_id, a.branch, arg_min(a.parent, a.pos) FILTER (a.pos = 0) AS parent, min(a.step) AS step, arg_max(a.id, a.pos) AS last, arg_max(a.opens, a.pos) AS opens, count(*) AS n_points,
+  coalesce(sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)), 0) AS length FROM bp a LEFT JOIN bp b ON b.image_id = a.image_id AND b.branch = a.branch AND b.pos + 1 = a.pos GROUP BY ALL),
+bc AS MATERIALIZED (SELECT bs.*, lb.component, row_number() OVER (PARTITION BY bs.image_id, lb.component ORDER BY step, branch) AS k FROM bs JOIN lb ON lb.image_id = bs.image_id AND lb.id = bs.branch),
+kp AS MATERIALIZED (SELECT * FROM bc WHERE opens > 0 OR n_points > 2 OR k <= 2),
+en AS MATERIALIZED (SELECT DISTINCT image_id, component, id, x, y, z FROM (SELECT image_id, component, start AS id FROM st UNION SELECT image_id, component, last FROM kp) JOIN fv USING (image_id, id)),
+np AS MATERIALIZED (SELECT a.image_id, a.id AS u, b.id AS v FROM en a JOIN en b ON b.image_id = a.image_id AND b.component = a.component AND b.id <> a.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 < 9),
+nn(image_id, id, node) USING KEY (image_id, id) AS (SELECT image_id, id, id FROM en
+  UNION SELECT np.image_id, np.v, min(nn.node) FROM nn JOIN np ON np.image_id = nn.image_id AND np.u = nn.id JOIN recurring.nn r ON r.image_id = np.image_id AND r.id = np.v WHERE nn.node < r.node GROUP BY ALL),
+no AS MATERIALIZED (SELECT * FROM nn)
+SELECT kp.image_id, component, branch, a.node AS u, b.node AS v, n_points, round(length, 6) AS length FROM kp JOIN no a ON a.image_id = kp.image_id AND a.id = coalesce(parent, branch) JOIN no b ON b.image_id = kp.image_id AND b.id = last"""
+
+
+@query("g04_tracked", _TRACKED)
+def g04t(spark, d):
+    """Fronts from each component's first end."""
+    return T.track(_fg(spark, d), DIMS, min_points=2).withColumn("length", F.round("length", 6))
+
+
 @query("g11_collapse_branches", f"{EDGES}, k AS (SELECT * FROM fx_edges WHERE edge_id % 40 = 0), s AS (SELECT sample_id, mask_id, u AS a, v AS b FROM k UNION SELECT sample_id, mask_id, v, u FROM k), cc(sample_id, mask_id, node, c) AS (SELECT DISTINCT sample_id, mask_id, a, a FROM s UNION SELECT s.sample_id, s.mask_id, s.b, cc.c FROM cc JOIN s ON s.sample_id = cc.sample_id AND s.mask_id = cc.mask_id AND s.a = cc.node WHERE cc.c < s.b), m AS (SELECT sample_id, mask_id, node, min(c) AS c FROM cc GROUP BY ALL) SELECT e.sample_id, e.mask_id, edge_id, coalesce(a.c, u) AS u, coalesce(b.c, v) AS v FROM fx_edges e LEFT JOIN m a ON a.sample_id = e.sample_id AND a.mask_id = e.mask_id AND a.node = u LEFT JOIN m b ON b.sample_id = e.sample_id AND b.mask_id = e.mask_id AND b.node = v WHERE edge_id % 40 <> 0")
 def g11(spark, d):
     e = fixture(spark, d, "fx_edges")
