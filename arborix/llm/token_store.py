@@ -4,11 +4,12 @@ A rolling hash over the last ids of a document cuts its id stream into chunks, s
 cut alike wherever they stand. A chunk is named by the hash of its bytes and stored once. Layout of a store:
 
     chunks/    name binary(16), n int, data binary   ids, little-endian, 2 bytes each if all fit, else 4
-    recipes/   shard int, id, row long, seq int, name, n       the chunks of every document, in order
-    manifest/  shard int, id, row long, n_chunks int, n_tokens long, root binary(32)
-    shards/    shard int, n_docs long, n_tokens long, root binary(32)
+    recipes/   id, row long, seq int, name, n       the chunks of every document, in order
+    manifest/  id, row long, n_chunks int, n_tokens long, root binary(32), shard long
+    shards/    shard long, n_docs long, n_tokens long, root binary(32)
 
-Documents are dealt into shards by ranges of their id. root of a document is the Merkle root over its chunk names,
+Documents are dealt into shards by ranges of their id, root and row, so neither an id that many share nor rows without one
+make a large shard. root of a document is the Merkle root over its chunk names,
 root of a shard that over its documents' roots. Reading back hashes every stored chunk again,
 combines the chunks' CRCs in recipe order and compares the Merkle roots, so a lost, changed or misplaced
 chunk raises; texts of ids can be put together from recipes as well.
@@ -43,8 +44,8 @@ RUN, MASK_BITS, LEAST, MOST = 8, 9, 64, 2048
 CACHE = 300_000
 #: Fragments that are handed to the library at once.
 PORTION = 20_000
-#: Chunks of a shard, and the most shards.
-SHARD_CHUNKS, SHARDS = 10_000, 20_000
+#: Chunks of a range of documents and the most documents of a shard; the most ranges, and by how much the shards' numbers of two ranges are apart.
+SHARD_CHUNKS, SHARDS, PART = 10_000, 20_000, 1 << 30
 END_ID = 2
 
 class WordEncoder:
@@ -227,17 +228,15 @@ def merkle(col: str) -> F.Column:
     return F.expr(f"aggregate(sequence(1, 1 + int(ceil(log2(greatest(1, size({col})))))), {col}, (a, k) -> {level}, a -> a[0])")
 
 
-def _shards(chunks: DataFrame, size: int) -> DataFrame:
-    """chunks with the shard of each row, by ranges of ids that hold about so many rows."""
-    shards = min(SHARDS, max(1, -(-chunks.count() // size)))
-    edges = chunks.where("id IS NOT NULL").approxQuantile("id", [i / shards for i in range(1, shards)], 0.1 / shards) if shards > 1 else []
-    if not edges:
-        return chunks.withColumn("shard", F.lit(0))
-    from pyspark.ml.feature import Bucketizer
+def _shards(roots: DataFrame, parts: int, size: int) -> DataFrame:
+    """roots(id, root, row) with their shard, in ascending order: ranges of (id, root, row), so that one id, or none at all, is dealt as any other.
 
-    splits = [float("-inf"), *sorted(set(edges)), float("inf")]
-    of = Bucketizer(splits=splits, inputCol="_id", outputCol="_shard").transform(chunks.withColumn("_id", F.coalesce(F.col("id").cast("double"), F.lit(float("-inf")))))
-    return of.withColumn("shard", F.col("_shard").cast("int")).drop("_id", "_shard")
+    A range is cut again after every `size` rows, so a shard has no more than that, whatever the number of ranges.
+    """
+    order = [F.col("id").asc_nulls_first(), "root", "row"]
+    dealt = roots.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    inside = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.withColumn("shard", F.shiftright("_m", 33) * F.lit(PART) + F.floor(inside / size)).drop("_m")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shard_chunks: int = SHARD_CHUNKS) -> None:
@@ -247,14 +246,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("t"))
     coded = written(rows.mapInArrow(_chunks(tokenizer), "id long, row long, seq int, name binary, n int, data binary"), "coded")
     coded.groupBy("name").agg(F.first("n").alias("n"), F.first("data").alias("data")).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    marked = _shards(coded.select("id", "row", "seq", "name", "n"), shard_chunks)
-    marked.repartition("shard").sortWithinPartitions("shard", "id", "row", "seq").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    per_doc = recipes.groupBy("shard", "id", "row").agg(F.count("*").cast("int").alias("n_chunks"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("names"))
-    per_doc = per_doc.withColumn("root", merkle("names.name")).drop("names")
-    per_doc.repartition("shard").sortWithinPartitions("shard", "id", "root", "row").write.option("compression", "zstd").parquet(f"{path}/manifest")
+    names = coded.select("id", "row", "seq", "name", "n")
+    parts = min(SHARDS, max(1, -(-names.count() // shard_chunks)))
+    names.repartitionByRange(parts, F.col("id").asc_nulls_first(), "row", "seq").sortWithinPartitions("id", "row", "seq").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    per_doc = names.groupBy("id", "row").agg(F.count("*").cast("int").alias("n_chunks"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("names"))
+    roots = written(per_doc.withColumn("root", merkle("names.name")).drop("names"), "roots")
+    _shards(roots, parts, shard_chunks).write.option("compression", "zstd").parquet(f"{path}/manifest")
     shard_table(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/shards")
     drop(coded)
+    drop(roots)
 
 
 def shard_table(manifest: DataFrame) -> DataFrame:
@@ -335,7 +335,10 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     wrong = F.coalesce((F.col("said") != F.col("n_tokens")) | (F.col("said_root") != F.col("root")), F.lit(True))
     docs = docs.withColumn("root", F.when(wrong, F.raise_error(F.concat(F.lit("document fails its manifest: "), F.col("id").cast("string"))).cast("binary")).otherwise(F.col("root")))
     # ids before a shard are in its table, those before a document within the shard are summed there
-    shards = spark.read.parquet(f"{path}/shards").select("shard", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    shards = spark.read.parquet(f"{path}/shards").select("shard", "n_tokens", F.floor(F.col("shard") / PART).alias("part"))
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("_first"))  # SHARDS rows at most
+    shards = shards.join(parts, "part").select("shard", (F.col("_first") + before(Window.partitionBy("part").orderBy("shard"))).alias("before"))
     docs = docs.join(shards, "shard")
     inside = Window.partitionBy("shard").orderBy(F.col("id").asc_nulls_first(), "said_root", "row").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("start", F.col("before") + F.coalesce(F.sum("said").over(inside), F.lit(0)))

@@ -95,6 +95,27 @@ def test_token_store_round_trip_and_damage(spark, odd, empty, tmp_path):
     assert token_store.read_index(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_store_deals_hot_ids(spark, tmp_path):
+    """Rows without an id, and rows of one id, are dealt over as many shards as rows of different ids; none has more than its bound."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(token_store.VOCABULARY)
+    texts = [f"word {k % 50} and {k % 7}" for k in range(600)]
+    many = {}
+    for kind, of in (("own", lambda k: k), ("none", lambda k: None), ("one", lambda k: 7)):
+        docs = spark.createDataFrame([(of(k), t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+        at = str(tmp_path / kind)
+        token_store.write_store(docs, at, path, shard_chunks=50)
+        token_store.verify_shards(spark, at)
+        shards = spark.read.parquet(f"{at}/shards").collect()
+        assert sum(r.n_docs for r in shards) == 600 and max(r.n_docs for r in shards) <= 50
+        many[kind] = len(shards)
+        index = sorted(token_store.read_index(spark, at).collect(), key=lambda r: r.start)
+        assert [r.start for r in index] == [sum(r.n_tokens for r in index[:k]) for k in range(600)]
+        assert kind != "own" or [r.id for r in index] == list(range(600))
+    assert min(many.values()) >= 12 and max(many.values()) <= 2 * 12
+
+
 def test_equal_stretches_share_chunks():
     import numpy as np
 
