@@ -102,12 +102,12 @@ def write_metrics(branches: DataFrame, metrics: list[str], path: str) -> None:
 
 def descriptor_pivot(descriptors: DataFrame, name: str) -> DataFrame:
     """One descriptor with samples as rows and masks, in name order, as columns mask_1, mask_2, ..."""
-    rank = F.dense_rank().over(Window.orderBy("mask_id"))
-    masks = descriptors.select("mask_id").distinct().withColumn("mask_pos", rank)
-    numbered = descriptors.join(F.broadcast(masks), "mask_id")
+    masks = descriptors.select("mask_id").distinct()
     n = masks.count()
     if n > 10_000:
         raise ValueError("too many masks for columns")
+    # so few masks can be ranked in one task and broadcast
+    numbered = descriptors.join(F.broadcast(masks.withColumn("mask_pos", F.dense_rank().over(Window.orderBy("mask_id")))), "mask_id")
     wide = numbered.groupBy("sample_id").pivot("mask_pos", list(range(1, n + 1))).agg(F.first(name))
     return wide.select("sample_id", *(F.col(str(i)).alias(f"mask_{i}") for i in range(1, n + 1)))
 
