@@ -17,6 +17,7 @@ def components(df):
 
 
 def test_direction_of_one_voxel():
+    # The place, in z, y, x order from 1, that each direction takes one neighbour to.
     want = [1, 23, 15, 5, 9, 25, 3, 19, 17, 21, 11, 7]
     got = []
     for d in skeleton.DIRECTIONS:
@@ -27,19 +28,22 @@ def test_direction_of_one_voxel():
     assert got == want
 
 
-def test_templates():
-    """A vector that each template asks for is deletable, none and all neighbours are not."""
+# For each template, in order, foreground neighbours (a to z in z, y, x order) for which it must hold.
+HOLDS = ["dp", "pv", "pqy", "dpv", "cdfpv", "adfpv", "dnpv", "fmpv", "adnpv", "clmpv", "qy", "oy", "wy", "uy"]
+
+
+def test_templates(monkeypatch):
+    """Each template by itself holds for its vector, and not where none or all neighbours are set; together they delete all of these."""
     import numpy as np
 
     places = skeleton.direction_places(0)
     bit = {n: 1 << voxels.BITS[(x, y, z)] for n, (z, y, x) in places.items()}
-    vectors = []
-    for t in skeleton.TEMPLATES:
-        names = t["on"] + (t["some"][0] if t.get("some") else "") + (t["one_of"][0] if t.get("one_of") else "")
-        vectors.append(sum(bit[n] for n in names))
-    hits = skeleton.deletable(np.array(vectors + [0, (1 << 26) - 1]), 0).tolist()
-    want = [bin(v).count("1") != 1 for v in vectors]
-    assert hits == want + [False, False] and len(vectors) == 14
+    codes = np.array([sum(bit[n] for n in names) for names in HOLDS] + [0, (1 << 26) - 1])
+    assert skeleton.deletable(codes, 0).tolist() == [True] * 14 + [False, False]
+    for k, t in enumerate(skeleton.TEMPLATES):
+        monkeypatch.setattr(skeleton, "TEMPLATES", [t])
+        hits = skeleton.deletable(codes, 0).tolist()
+        assert hits[k] and hits[-2:] == [False, False]
 
 
 def test_thinning_by_blocks_is_that_of_the_whole(spark):
