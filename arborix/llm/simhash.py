@@ -34,6 +34,14 @@ CROWD = 1000
 SEED = 42
 
 
+def _majority(hashes) -> int:
+    """The fingerprint of shingle hashes, as a signed long."""
+    import numpy as np
+
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def _fingerprints(size: int):
     def run(batches):
         import numpy as np
@@ -49,8 +57,7 @@ def _fingerprints(size: int):
                     continue
                 parts = map(join, zip(*(words[i:] for i in range(size)))) if len(words) > size else [join(words)]
                 hashes = np.fromiter(map(h, parts, repeat(SEED)), "<u8")
-                bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                out.append(int(np.packbits(bits * 2 > len(hashes), bitorder="little").view("<i8")[0]))
+                out.append(_majority(hashes))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["id", "fp"])
 
     return run
@@ -105,8 +112,9 @@ def op5_simhash(spark, sf_dir):
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near duplicates by a similarity. Texts whose shingle sets have a Jaccard similarity of 0.8 differ in about 10 of the 64 bits, beyond what
-# Hamming balls of segments can reach at a bearable number of probes. For this the segments are minwise: each holds
+# Near duplicates by a similarity. The fingerprint tables above come first: what they link within the radius is checked exactly by the shingle
+# sets and gives the first links. Texts whose shingle sets have a Jaccard similarity of 0.8 differ in about 10 of the 64 bits, though, beyond
+# what Hamming balls of segments can reach at a bearable number of probes. For what they leave, further segments are minwise: each holds
 # ROWS minima of the shingle hashes, similar texts share a whole segment with probability 1 - (1 - s^ROWS)^BANDS, and
 # what the segment tables give is verified: with complete signatures first, then exactly by the shingle sets.
 
@@ -119,7 +127,7 @@ TRIES = 8
 
 
 def _signatures(size: int):
-    """(id, v, set, size, sig, keys): a digest of the shingle set, its size, its minwise signature and the keys of its segments."""
+    """(id, v, fp, set, size, sig, keys): the fingerprint, a digest of the shingle set, its size, its minwise signature and the keys of its segments."""
 
     def run(batches):
         from hashlib import blake2b
@@ -131,11 +139,13 @@ def _signatures(size: int):
         odd = np.random.default_rng(SEED).integers(0, 1 << 63, (2, SLOTS), dtype=np.uint64)
         times, plus = odd[0][:, None] * np.uint64(2) + np.uint64(1), odd[1][:, None]
         for batch in batches:
-            sets, sizes, sig, keys = [], [], [], []
+            prints, sets, sizes, sig, keys = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = text.lower().split()
                 parts = map(join, zip(*(words[i:] for i in range(size)))) if len(words) > size else [join(words)]
-                hashes = np.unique(np.fromiter(map(h, parts, repeat(SEED)), np.uint64))
+                hashes = np.fromiter(map(h, parts, repeat(SEED)), "<u8")
+                prints.append(_majority(hashes) if words else 0)
+                hashes = np.unique(hashes)
                 sets.append(blake2b(hashes.tobytes(), digest_size=16).digest())
                 sizes.append(len(hashes))
                 least = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
@@ -145,8 +155,8 @@ def _signatures(size: int):
                 mixed = least ^ (least >> np.uint64(33))
                 sig.append(mixed.astype("<u2").tobytes())
                 keys.append([_signed(h(least[b * ROWS : b * ROWS + ROWS].tobytes(), b)) for b in range(BANDS)])
-            columns = [batch.column("id"), batch.column("v"), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "v", "set", "size", "sig", "keys"])
+            columns = [batch.column("id"), batch.column("v"), pa.array(prints, pa.int64()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "v", "fp", "set", "size", "sig", "keys"])
 
     return run
 
@@ -196,6 +206,22 @@ def _similar(similarity: float):
     return run
 
 
+def _within(signed: DataFrame, one: DataFrame, radius: int) -> DataFrame:
+    """(u, v): what the fingerprint tables link within the radius; of the sets of one fingerprint each meets the first."""
+    prints = written(signed.select("set", "fp").distinct().join(one.select("set", "rep"), "set").select("rep", "fp"), "prints")
+    first = prints.groupBy("fp").agg(F.min("rep").alias("first"))
+    same = prints.join(first, "fp").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    near = links(prints, radius).join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    return same.union(near.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def _met(buckets: DataFrame, near: DataFrame) -> DataFrame:
+    """(u, v): the members of minwise buckets with the two ends of theirs, but for the pairs near that the fingerprints gave."""
+    met = buckets.select("rep", F.explode(F.array("a", "b")).alias("end")).where("rep <> end")
+    pairs = met.select(F.least("rep", "end").alias("u"), F.greatest("rep", "end").alias("v")).distinct()
+    return pairs.join(near, ["u", "v"], "left_anti")
+
+
 def _verified(pairs: DataFrame, one: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(u, v): the pairs that are similar enough, by their signatures first and then exactly by their shingle sets."""
     sigs, s = one.select("rep", "sig"), sets.select("rep", "shingles")
@@ -283,31 +309,32 @@ def _rest(mixed: DataFrame, one: DataFrame, sets: DataFrame, similarity: float)
     return dealt([members.select(*out), probes.select(*out)], out[:4]).mapInArrow(_probed(similarity - MARGIN, similarity), "u long, v long")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """(id, text_hash, component_id, kept_hash) of the documents that have near duplicates: component_id is the smallest id of the group, null last, and kept_hash
     tells the text of that row, if its id has several. Texts are told apart by xxhash64.
 
-    All members of a bucket are compared. First each with the two ends of its bucket, which are other ones in each table and link most groups. Where that leaves several groups in a bucket,
+    Links within the radius come from the fingerprint tables, all others from the minwise ones, where all members of a bucket are compared. First each with the two ends of its bucket, which are other ones in each table and link most groups. Where that leaves several groups in a bucket,
     the members outside of the largest one are compared with TRIES of its members, and then, outside of what is the largest now, with all
     others of the bucket. Documents whose shingle sets are equal are one for this.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("t")).withColumn("v", F.xxhash64("t"))
-    signed = rows.select("id", "t", "v").mapInArrow(_signatures(shingle), f"id {kind}, v long, set binary, size int, sig binary, keys array<bigint>")
+    signed = rows.select("id", "t", "v").mapInArrow(_signatures(shingle), f"id {kind}, v long, fp long, set binary, size int, sig binary, keys array<bigint>")
     signed = written(signed, "signatures")
     one = signed.groupBy("set").agg(F.min(F.struct("v", "id")).alias("who"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     one = written(one.withColumn("rep", F.monotonically_increasing_id()), "sigs")
+    near = written(_within(signed, one, radius), "near")
     keys = one.select("rep", F.posexplode("keys").alias("band", "key")).withColumn("order", F.xxhash64("band", "rep"))
     ends = keys.groupBy("band", "key").agg(F.min_by("rep", "order").alias("a"), F.max_by("rep", "order").alias("b")).where("a <> b")
     ends = written(ends, "ends")
     buckets = written(keys.drop("order").join(ends, ["band", "key"]), "buckets")
-    wanted = buckets.select("rep").distinct().join(one.select("rep", "who"), "rep").select("rep", F.col("who.v").alias("_v"), F.col("who.id").alias("_id"))
+    reps = buckets.select("rep").union(near.select("u")).union(near.select("v")).distinct()
+    wanted = reps.join(one.select("rep", "who"), "rep").select("rep", F.col("who.v").alias("_v"), F.col("who.id").alias("_id"))
     texts = rows.join(wanted, (F.col("v") == F.col("_v")) & F.col("id").eqNullSafe(F.col("_id"))).select("rep", "t").dropDuplicates(["rep"])
     sets = written(texts.mapInArrow(_sets(shingle), "rep long, shingles binary"), "shingles")
-    met = buckets.select("rep", F.explode(F.array("a", "b")).alias("end")).where("rep <> end")
-    pairs = met.select(F.least("rep", "end").alias("u"), F.greatest("rep", "end").alias("v")).distinct()
-    close = written(_verified(pairs, one, sets, similarity), "close")
+    close = written(_verified(near, one, sets, similarity), "linked")
+    close = written(close.unionByName(_verified(_met(buckets, near), one, sets, similarity)), "close")
     mixed = _named(buckets.select("rep", "band", "key"), close)
     if not mixed.isEmpty():
         slot = F.pmod(F.xxhash64("rep", "band"), F.lit(TRIES))
@@ -325,12 +352,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     return of.join(first, "group").select(F.col("id").alias(id_col), F.col("v").alias("text_hash"), F.col("first.id").alias("component_id"), F.col("first.v").alias("kept_hash"))
 
 
-def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """docs with one document of each group of near duplicates, the one with the smallest id (rows without an id come last).
 
     Rows are told apart by id and text, so of an id with several texts only those go that are like others; rows that share both share their fate. Null and
     empty texts, which have no words, are alike. Ids may be of any type that has an order.
     """
-    found = similar_groups(docs, shingle, similarity, id_col, text_col)
+    found = similar_groups(docs, shingle, similarity, id_col, text_col, radius)
     gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id")) | (F.col("text_hash") != F.col("kept_hash"))).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_text")).distinct()
     return without(docs, gone, id_col, text_col)

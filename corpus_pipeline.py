@@ -1,7 +1,8 @@
 """A corpus pipeline: toxicity, exact dedup, near dedup, decontamination, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents. Near dedup links by the SimHash tables of op5 first, and what is
+too far apart for Hamming balls by minwise ones.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_similar(docs, shingle=5, similarity=0.8)
+    return drop_similar(docs, shingle=5, similarity=0.8, radius=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
