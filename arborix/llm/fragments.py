@@ -41,9 +41,19 @@ def first_cuts(data):
     return cut
 
 
-def distinct(raw, cut, offsets):
-    """(edges, number of the fragment at each edge, distinct fragments); texts begin at offsets."""
+def strings(values: pa.Array) -> list[str]:
+    """The values as Python strings; as one string that is split, unless the mark between them is in use."""
+    import pyarrow.compute as pc
+
+    if not len(values) or pc.any(pc.match_substring(values, "\0")).as_py():
+        return values.to_pylist()
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(values)], pa.int64()), values), pa.scalar("\0", values.type))[0].as_py().split("\0")
+
+
+def distinct(raw, cut, offsets, trim: str = ""):
+    """(edges, number of the fragment at each edge, distinct fragments without the trim characters at their ends); texts begin at offsets."""
     import numpy as np
+    import pyarrow.compute as pc
 
     cut[offsets] = True
     cut[-1] = True
@@ -51,7 +61,7 @@ def distinct(raw, cut, offsets):
     if len(edges) < 2:
         return edges, np.zeros(0, np.int32), []
     parts = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype("<i8").tobytes()), raw).dictionary_encode()
-    return edges, parts.indices.to_numpy(zero_copy_only=False), parts.dictionary.to_pylist()
+    return edges, parts.indices.to_numpy(zero_copy_only=False), strings(pc.ascii_trim(parts.dictionary, trim) if trim else parts.dictionary)
 
 
 def ragged(values, sizes, which):
@@ -76,13 +86,18 @@ class Known:
     def get(self, keys: list) -> list:
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        for k in keys:
-            if k not in young:
+        young, old = self.young, self.old
+        found = list(map(young.get, keys))
+        lacks = [i for i, v in enumerate(found) if v is None]
+        if lacks:
+            new = []
+            for k in dict.fromkeys(map(keys.__getitem__, lacks)):
                 if k in old:
                     young[k] = old[k]
                 else:
                     new.append(k)
-        if new:
-            young.update(self.learn(new))
-        return list(map(young.__getitem__, keys))
+            if new:
+                young.update(self.learn(new))
+            for i in lacks:
+                found[i] = young[keys[i]]
+        return found

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -72,7 +73,7 @@ class WordEncoder:
             spec = json.load(f)
         self.specials = [t["content"] for t in spec["added_tokens"]]
         bare = spec | {"added_tokens": [], "truncation": None, "padding": None} | dict.fromkeys(("normalizer", "pre_tokenizer", "post_processor", "decoder"))
-        self.model = Tokenizer.from_str(json.dumps(bare))
+        self.tokenize = Tokenizer.from_str(json.dumps(bare)).model.tokenize  # a word's tokens, without an encoding about them
         self.symbol_of = {b: c for c, b in byte_symbols().items()}
         self.lower = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
         self.space = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -86,9 +87,9 @@ class WordEncoder:
         for at in range(0, len(plain), PORTION):
             part = plain[at : at + PORTION]
             words = "\n".join(part).lower().encode().decode("latin-1").translate(self.symbol_of).split(self.symbol_of[10])
-            coded = self.model.encode(words, is_pretokenized=True, add_special_tokens=False)
-            data = np.array(coded.ids, "<u4").tobytes()
-            bounds = (4 * np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
+            coded = [[t.id for t in self.tokenize(w)] for w in words]
+            data = np.fromiter(chain.from_iterable(coded), "<u4").tobytes()
+            bounds = [0, *accumulate(4 * len(c) for c in coded)]
             yield from ((f, data[a:z]) for f, a, z in zip(part, bounds, bounds[1:]))
         done = set(plain)
         others = [f for f in fragments if f not in done]
@@ -103,8 +104,8 @@ class WordEncoder:
         cut = first_cuts(data)
         space = self.space[data]
         cut[1:-1] |= space[1:] & ~space[:-1]  # white space goes with what follows it, and is taken off
-        edges, which, fragments = distinct(pa.py_buffer(data), cut, offsets)
-        known = self.known.get([f.strip(" \t\n\v\f\r") for f in fragments])
+        edges, which, fragments = distinct(pa.py_buffer(data), cut, offsets, " \t\n\v\f\r")
+        known = self.known.get(fragments)
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         ids, ends = ragged(np.frombuffer(b"".join(known), "<u4"), sizes, which)
         return ids, np.append(0, ends)[np.searchsorted(edges, offsets[1:])]

@@ -66,6 +66,24 @@ def test_token_store(spark, texts):
     assert got == want
 
 
+def test_word_encoder_learns_a_fragment_once():
+    """Equal to the library, also with the mark between fragments in the texts, and what differs in white space only is one fragment."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from arborix.llm.fragments import pa
+
+    path = public_tokenizers.path(token_store.VOCABULARY)
+    tok, coder, learned = Tokenizer.from_file(path), token_store.WordEncoder(path), []
+    learn = coder.known.learn
+    coder.known.learn = lambda new: (learned.extend(new), learn(new))[1]
+    for texts in (["quixotry", " quixotry\n\tquixotry  quixotry", None, "Élan Zürich's naïve ÿ", ""], ["a\0b quixotry\0", "\0", "x\0 \0y é\0日本 12\0 ok"]):
+        ids, ends = coder.encode_batch(pa.array(texts, pa.string()))
+        got = [ids[a:z].tolist() for a, z in zip([0, *ends], ends)]
+        assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(learned) == len(set(learned))
+
+
 def test_token_store_round_trip_and_damage(spark, odd, empty, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -422,7 +440,7 @@ def test_near_dedup_goes_through_the_fingerprint_tables(spark, monkeypatch):
     docs = spark.createDataFrame(list(data.items()), "doc_id long, text string")
     assert {r.doc_id for r in C.near_dedup(spark, docs, SF).collect()} == set(similar.values())
     met = simhash._met
-    monkeypatch.setattr(simhash, "_met", lambda buckets, close: met(buckets, close).limit(0))
+    monkeypatch.setattr(simhash, "_met", lambda buckets, near: met(buckets, near).limit(0))
     monkeypatch.setattr(simhash, "_named", lambda buckets, close: buckets.limit(0))
     assert {r.doc_id for r in C.near_dedup(spark, docs, SF).collect()} == set(linked.values())
 
