@@ -318,6 +318,37 @@ def test_frequent_runs_and_portions(spark, monkeypatch):
     assert starts(1 << 22) == starts(3000) and len(starts(3000)) == len(text) - 399
 
 
+def test_suffix_dedup_frees_its_disk(spark, monkeypatch, tmp_path):
+    """Runs of k-mers that occur once go no further, and only the removed spans are still on disk when the result is read."""
+    rows, keep = {}, suffix_dedup.written
+
+    def counted(df, tag, **options):
+        out = keep(df, tag, **options)
+        rows[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", counted)
+    monkeypatch.setattr("arborix.functions.shared.shared_dir", lambda spark: str(tmp_path))
+    draw = __import__("random").Random(4)
+    word = lambda n: bytes(draw.choice(b"abcdefgh ") for _ in range(n))
+    lone, passage = [word(5000) for _ in range(20)], word(600)
+    made = [*lone, word(700) + passage + word(300), word(90) + passage + word(800)]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(made)], "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(df)
+    assert [p.name.split("-")[0] for p in (tmp_path / "arborix").iterdir()] == ["spans"]
+    assert 2 <= rows["runkinds"] < 20
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got.collect()} == dict(enumerate(removed(made)))
+
+
+@pytest.mark.parametrize("most", [3, 1 << 20, 1 << 61])
+def test_stable_order(most):
+    import numpy as np
+
+    values = np.random.default_rng(5).integers(0, most, 3000)
+    assert (suffix_dedup.stable_order(values) == np.argsort(values, kind="stable")).all()
+    assert len(suffix_dedup.stable_order(values[:0])) == 0
+
+
 # -- 5
 
 def simhashes(texts, size):
