@@ -24,6 +24,15 @@ def ranked(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
     return placed.withColumn(name, F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << _BITS) - 1))).drop("_m", "_p", "_before")
 
 
+def running(rows: DataFrame, order: list, n: str, name: str) -> DataFrame:
+    """rows with the sum of n over all rows before them, in an order without ties."""
+    out = written(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", _BITS)), "running")
+    until = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = out.groupBy("_p").agg(F.sum(n).alias("_n")).select("_p", until(Window.orderBy("_p"), "_n").alias("_first"))
+    within = out.withColumn("_within", until(Window.partitionBy("_p").orderBy("_m"), n)).join(F.broadcast(parts), "_p")  # a row for each partition of the sort
+    return within.withColumn(name, F.col("_first") + F.col("_within")).drop("_m", "_p", "_first", "_within")
+
+
 def ranked_within(rows: DataFrame, keys: list[str], order: list, name: str = "rank", size: str = "size") -> DataFrame:
     """rows with their place among those of the same keys, from 0, and the number of these.
 
