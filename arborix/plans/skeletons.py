@@ -58,7 +58,7 @@ def g04(spark, d):
 
 @query("g04_graph_degrees", f"{_GRAPH} SELECT image_id, node, count(*) AS degree FROM (SELECT image_id, u AS node FROM cl UNION ALL SELECT image_id, v FROM cl) GROUP BY ALL")
 def g04b(spark, d):
-    return K.graph_degrees(K.voxel_graph(_fg(spark, d), DIMS))
+    return K.voxel_degrees(_fg(spark, d), DIMS)
 
 
 #: Fronts by recursion over steps; branches, nodes and lengths by joins.
