@@ -84,3 +84,28 @@ def test_graph_and_degrees(spark, sides):
     assert sorted(map(tuple, got.select("image_id", "u", "v", "length2").collect())) == sorted((n, index(p), index(q), far(p, q)) for n, es in edges.items() for p, q in es)
     want = sorted((n, index(p), d) for n, es in edges.items() for p, d in chains(es)[1].items())
     assert sorted(map(tuple, degrees.select("image_id", "node", "degree").collect())) == want == sorted(map(tuple, skeleton.graph_degrees(got).collect()))
+
+
+@pytest.mark.parametrize("sides", SIDES)
+def test_branches(spark, sides):
+    shapes = images()
+    want, number = [], 0
+    for n in sorted(shapes):
+        edges = graph(shapes[n])
+        place = {e: number + i for i, e in enumerate(edges)}
+        number += len(edges)
+        chain, degree = chains(edges)
+        part = {p: p for p in degree}
+        for _ in part:
+            for p, q in edges:
+                part[p] = part[q] = min(part[p], part[q])
+        ended = {part[p] for p, d in degree.items() if d == 1}
+        for c in set(chain.values()):
+            own = [e for e in edges if chain[e] == c]
+            if part[c[0]] in ended:
+                outer = [p for e in own for p in e if degree[p] != 2] or [min(p for p, _ in own)]
+                want.append((n, place[c], index(min(outer)), index(max(outer)), len(own), round(sum(math.sqrt(far(*e)) for e in own), 6)))
+    got = skeleton.branches(frame(spark, shapes), DIMS, sides).select("image_id", "chain", "u", "v", "n_edges", "length").collect()
+    assert sorted((*r[:5], round(r[5], 6)) for r in got) == sorted(want)
+    images_ = {r.image_id for r in got}
+    assert {"line", "tree"} <= images_ and "ring" not in images_
