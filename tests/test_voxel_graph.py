@@ -109,3 +109,21 @@ def test_branches(spark, sides):
     assert sorted((*r[:5], round(r[5], 6)) for r in got) == sorted(want)
     images_ = {r.image_id for r in got}
     assert {"line", "tree"} <= images_ and "ring" not in images_
+
+
+@pytest.mark.parametrize("cutoff, parity, sides", [(9, False, s) for s in SIDES] + [(2, False, (4, 3, 5)), (2, True, (4, 3, 5))])
+def test_spurs_over_blocks(spark, cutoff, parity, sides):
+    shapes = images()
+    want = set()
+    for n, pts in shapes.items():
+        chain, degree = chains(graph(pts))
+        gone = set()
+        for c in set(chain.values()):
+            own = [e for e in chain if chain[e] == c]
+            nodes = {p for e in own for p in e}
+            if len(own) <= cutoff and [sum(degree[p] == 1 for p in nodes), sum(degree[p] > 2 for p in nodes)] == [1, 1]:
+                gone |= {p for p in nodes if (degree[p] != 1 if parity else degree[p] <= 2)}
+        want |= {(n, *p) for p in pts - gone}
+    got = skeleton.prune_spurs(frame(spark, shapes), DIMS, cutoff, parity, sides)
+    assert no_join(got)
+    assert {tuple(r) for r in got.select("image_id", *"xyz").collect()} == want and len(want) < sum(map(len, shapes.values()))
