@@ -90,10 +90,11 @@ def wilcoxon_pairs(scores: DataFrame, method: str = "method", case: str = "case_
     size = d.groupBy(*keys, F.abs("d").alias("m")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("plus"))
     below = F.coalesce(F.sum("t").over(Window.partitionBy(*keys).orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = size.withColumn("rank", below + (F.col("t") + 1) / 2)
-    s = ranked.groupBy(*keys).agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("plus"))).alias("w_minus"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    s = ranked.groupBy(*keys).agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("plus"))).alias("w_minus"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
     both = s.unionByName(s.select(F.col("method_2").alias("method_1"), F.col("method_1").alias("method_2"), "n", F.col("w_minus").alias("w_plus"), F.col("w_plus").alias("w_minus"), "ties"))
-    mean = F.col("n") * (F.col("n") + 1) / 4
-    sd = F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48)
+    n = F.col("n").cast("double")  # the cube of a count of two million does not fit a long
+    mean = n * (n + 1) / 4
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     z = F.abs(F.least("w_plus", "w_minus") - mean) / sd
     low = F.least("w_plus", "w_minus")
     p = F.when((F.col("n") <= EXACT) & (F.col("ties") == 0), exact_tail("n", low)).when(z.isNotNull(), 2 * normal_tail(z))
