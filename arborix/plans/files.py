@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.shared import new_path
+from ..functions.shared import new_path, written
 from ..operators import reslice as R
 from ..operators import tracks as K
 from ..operators import voxels as V
@@ -26,7 +26,7 @@ def _numbered(spark, d):
 
 def _exported(spark, d, **how):
     """The folder of the exported branches of all samples, and their branch table."""
-    p = _numbered(spark, d)
+    p = written(_numbered(spark, d), "numbered")
     key = ["sample_id", "component", "branch"]
     b = p.groupBy(*key).agg(F.first("edge_id").alias("edge_id"), F.avg("diameter").alias("diameter"), F.count("*").cast("double").alias("length"))
     b = b.select(*key, (F.col("edge_id") % 11).alias("u"), (F.col("edge_id") % 7).alias("v"), "diameter", "length", (F.col("length") / 8).alias("soam"), (1 / F.col("length")).alias("clr"))
@@ -42,7 +42,7 @@ ck AS (SELECT sample_id, component, row_number() OVER (PARTITION BY sample_id OR
 @query("s05_branch_points", f"{POINTS}, {_PREFIX} SELECT sample_id, component, branch, CAST(np.pos AS INT) AS pos, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM np JOIN bk USING (sample_id, component, branch) JOIN ck USING (sample_id, component) WHERE ck.k = component")
 def s05(spark, d):
     path, _ = _exported(spark, d, summary=False)
-    return S.read_branch_points(spark, f"{path}/points/*/*/*")
+    return S.read_branch_points(spark, f"{path}/points")
 
 
 @query("s21_summary_export", f"{POINTS}, {_NUMBERED} SELECT sample_id, component, branch, arg_min(x, pos) AS x1, arg_min(y, pos) AS y1, arg_min(z, pos) AS z1, arg_max(x, pos) AS x2, arg_max(y, pos) AS y2, arg_max(z, pos) AS z2, count(*)::DOUBLE AS length, {r('count(*) / 8e0')} AS soam FROM np GROUP BY ALL")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.shared import remove, written
 from ..operators.ranks import ranked
 
 VOXELS = "image_id string, x int, y int, z int, t int, channel int, value double"
@@ -60,20 +62,127 @@ def three_slices(voxels: DataFrame, nz: int, channels: int = 1) -> DataFrame:
     return out.where(F.col("z").between(0, nz - 3))
 
 
+def _mounted(path: str) -> str | None:
+    """The path as the file system has it, if it names a folder that is mounted wherever tasks run; None for other stores."""
+    scheme = re.match(r"(\w+):", path)
+    return None if scheme and scheme[1] != "file" else re.sub(r"^file:/*", "/", path)
+
+
+def _tasks(spark: SparkSession) -> int:
+    """A fixed number of tasks: files cost far more than their few bytes, by which adaptive execution would put them together."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+#: Folders of a sample whose name is null, as Spark names them.
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_branch_files(lines: DataFrame, path: str) -> None:
+    """lines(sample_id, component, branch, pos, value) as path/sample_id=.../Component{i}Branch{j}.txt. A task writes its branches one after the other, under another name until they are whole."""
+    spark, top = lines.sparkSession, _mounted(path)
+    remove(spark, path)
+
+    def put(batches):
+        import os
+        import uuid
+        from urllib.parse import quote
+
+        import pyarrow as pa
+
+        now, out, begun, n = None, None, None, 0
+
+        def done():
+            out.close()
+            os.replace(begun, f"{now[0]}/Component{now[1]}Branch{now[2]}.txt")
+
+        for batch in batches:
+            folders = {s: f"{top}/sample_id={_NO_NAME if s is None else quote(s, safe=' -_.,+@')}" for s in set(batch["sample_id"].to_pylist())}
+            keys = list(zip(map(folders.get, batch["sample_id"].to_pylist()), batch["component"].to_pylist(), batch["branch"].to_pylist()))
+            values, i = batch["value"].to_pylist(), 0
+            while i < len(keys):
+                key, end = keys[i], i + 1
+                while end < len(keys) and keys[end] == key:
+                    end += 1
+                if key != now:
+                    if now:
+                        done()
+                    os.makedirs(key[0], exist_ok=True)
+                    now, begun, n = key, f"{key[0]}/.{uuid.uuid4().hex}", n + 1
+                    out = open(begun, "w")
+                out.write("\n".join(values[i:end]) + "\n")
+                i = end
+        if now:
+            done()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    keys = ["sample_id", "component", "branch"]
+    dealt = lines.select(*keys, "pos", "value").repartition(_tasks(spark), *keys).sortWithinPartitions(*keys, "pos")
+    dealt.drop("pos").mapInArrow(put, "n long").agg(F.sum("n")).collect()  # one row
+
+
+def _read_branch_files(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, component, branch, pos, x, y, z) of the files that write_branch_files() wrote: folders are listed by tasks, and their files are dealt over tasks and read in turn."""
+    top = _mounted(path)
+
+    def listed(batches):
+        import os
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for folder in batch["folder"].to_pylist():
+                names = [f"{folder}/{e.name}" for e in os.scandir(f"{top}/{folder}") if not e.name.startswith(".")]
+                for i in range(0, len(names), 10_000):
+                    yield pa.RecordBatch.from_pydict({"name": names[i : i + 10_000]})
+
+    def read(batches):
+        from urllib.parse import unquote
+
+        import pyarrow as pa
+
+        kinds = pa.schema([("sample_id", pa.string()), ("component", pa.int32()), ("branch", pa.int32()), ("pos", pa.int32()), *((c, pa.float64()) for c in "xyz")])
+        rows = []
+        for batch in batches:
+            for name in batch["name"].to_pylist():
+                found = re.fullmatch(r"sample_id=([^/]+)/Component(\d+)Branch(\d+)\.txt", name)
+                if not found:
+                    continue
+                key = (unquote(found[1]), int(found[2]), int(found[3]))
+                pos = 0
+                with open(f"{top}/{name}") as lines:
+                    for line in lines:
+                        v = line.split()
+                        if len(v) >= 3:
+                            rows.append((*key, pos, *map(float, v[:3])))
+                            pos += 1
+                        if len(rows) >= 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.types)], schema=kinds)
+                            rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.types)], schema=kinds)
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folders = [(f.getPath().getName(),) for f in at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(at)]
+    names = spark.createDataFrame(folders, "folder string").repartition(_tasks(spark), "folder").mapInArrow(listed, "name string")
+    return names.repartition(_tasks(spark), "name").mapInArrow(read, "sample_id string, component int, branch int, pos int, x double, y double, z double")
+
+
 def read_branch_points(spark: SparkSession, path: str) -> DataFrame:
     """points from text files Component{i}Branch{j}.txt of `x y z` lines, in a folder of the sample; numbering stops at the first gap of branches, then of components.
 
-    A file may also be a folder of that name, as export_branches() writes it; folders named column=value stand for their values.
+    A file may also be a folder of that name; folders named column=value stand for their values. A path without a wildcard is the points folder of export_branches().
     """
-    lines = spark.read.text(path).select("value", "_metadata.file_path", F.monotonically_increasing_id().alias("_line"))
+    from ..operators.geometry import contiguous_prefix
+
+    whole = lambda p: contiguous_prefix(contiguous_prefix(p, ["sample_id", "component"], "branch"), ["sample_id"], "component")
+    if "*" not in path and _mounted(path):
+        return whole(written(_read_branch_files(spark, path), "branchpoints"))
+    lines = spark.read.text(path if "*" in path else f"{path}/*/*/*").select("value", "_metadata.file_path", F.monotonically_increasing_id().alias("_line"))
     name = r"/(?:[^/=]*=)?([^/=]+)/(?:[^/=]*=)?Component(\d+)Branch(\d+)\.txt(?:/[^/]*)?$"
     p = lines.select(F.regexp_extract("file_path", name, 1).alias("sample_id"), *(F.regexp_extract("file_path", name, g).cast("int").alias(c) for g, c in ((2, "component"), (3, "branch"))), F.split(F.trim("value"), r"\s+").alias("v"), "_line")
     p = p.where("component IS NOT NULL AND size(v) >= 3")
     p = p.withColumn("pos", (F.row_number().over(Window.partitionBy("sample_id", "component", "branch").orderBy("_line")) - 1).cast("int"))
-    p = p.select("sample_id", "component", "branch", "pos", *(F.col("v")[i].cast("double").alias(c) for i, c in enumerate("xyz")))
-    from ..operators.geometry import contiguous_prefix
-
-    return contiguous_prefix(contiguous_prefix(p, ["sample_id", "component"], "branch"), ["sample_id"], "component")
+    return whole(p.select("sample_id", "component", "branch", "pos", *(F.col("v")[i].cast("double").alias(c) for i, c in enumerate("xyz"))))
 
 
 def summary_rows(flat: DataFrame, keys: list[str], width: int = 10, names: list[str] = SUMMARY) -> DataFrame:
@@ -241,14 +350,19 @@ def append_slice(volume: DataFrame, tile: DataFrame) -> DataFrame:
 def export_branches(points: DataFrame, branches: DataFrame, path: str, first_branch: int = 1, adjacency: bool = False, summary: bool = True) -> None:
     """Polylines, scalars, summaries and adjacency of branches(sample_id, component, branch, u, v, metrics) and their points(sample_id, component, branch, pos, x, y, z).
 
-    points/sample_id=.../file=Component{i}Branch{j}.txt has `x y z` lines, {diameter,length,soam,clr} the scalars by branch, summary ten values a
-    branch (both ends and the metrics), adjacency the node pairs of each component. Branches are numbered from first_branch.
+    points/sample_id=.../Component{i}Branch{j}.txt has `x y z` lines, {diameter,length,soam,clr} the scalars by branch, summary ten values a
+    branch (both ends and the metrics), adjacency the node pairs of each component. Branches are numbered from first_branch. In stores that are not mounted as folders, where Spark
+    alone can write, a branch is a folder file=Component{i}Branch{j}.txt of one file.
     """
     j = F.col("branch") - 1 + first_branch
-    file = F.concat(F.lit("Component"), "component", F.lit("Branch"), j, F.lit(".txt")).alias("file")
-    lines = points.select("sample_id", file, "pos", F.concat_ws(" ", *"xyz").alias("value"))
-    lines.repartition("sample_id", "file").sortWithinPartitions("sample_id", "file", "pos").select("sample_id", "file", "value").write.mode("overwrite").partitionBy("sample_id", "file").text(f"{path}/points")
-    named = branches.withColumn("branch", j)
+    value = F.concat_ws(" ", *"xyz").alias("value")
+    if _mounted(path):
+        write_branch_files(points.select("sample_id", "component", j.alias("branch"), "pos", value), f"{path}/points")
+    else:
+        file = F.concat(F.lit("Component"), "component", F.lit("Branch"), j, F.lit(".txt")).alias("file")
+        lines = points.select("sample_id", file, "pos", value)
+        lines.repartition("sample_id", "file").sortWithinPartitions("sample_id", "file", "pos").select("sample_id", "file", "value").write.mode("overwrite").partitionBy("sample_id", "file").text(f"{path}/points")
+    named = written(branches.withColumn("branch", j), "exported")
     for c in ("diameter", "length", "soam", "clr"):
         named.select("sample_id", "component", "branch", c).write.mode("overwrite").option("header", True).csv(f"{path}/{c}")
     if summary:
